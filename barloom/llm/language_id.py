@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 600
 DICTIONARY_BYTES = 96 << 10
 MOST_LANGUAGES = 512
-BLOCK = 4000
-LEVEL = 3
+BLOCK = 1000
+#: Short matches tell languages apart best: on held-out texts far better than the presets for speed or for size.
+SEARCH = {"window_log": 18, "chain_log": 16, "hash_log": 16, "search_log": 4, "min_match": 4, "target_length": 32, "strategy": zstandard.STRATEGY_GREEDY}
 
 
 def sample(docs: DataFrame, learn: Column) -> dict[str, list[str]]:
@@ -67,8 +68,8 @@ class Model:
             self.coders = []
             for d in self.dictionaries:
                 z = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                z.precompute_compress(level=LEVEL)
-                self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=z, write_content_size=False, write_checksum=False, write_dict_id=False))
+                how = zstandard.ZstdCompressionParameters(**SEARCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+                self.coders.append(zstandard.ZstdCompressor(compression_params=how, dict_data=z))
         blocks = [text[i : i + BLOCK].encode() for i in range(0, len(text), BLOCK)]
         return np.array([sum(len(c.compress(b)) for b in blocks) for c in self.coders])
 
