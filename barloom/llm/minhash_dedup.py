@@ -1,14 +1,17 @@
 """Near-duplicate documents by MinHash, with odd sketches for the banded candidates (operator 10).
 
 1. One pass over the texts hashes the distinct word shingles of each document, takes PERMUTATIONS minima and
-   folds them into a parity bitmap (the odd sketch). Texts leave that pass as a few hundred bytes each.
+   folds them into a parity bitmap (the odd sketch); a second bitmap folds the whole set, where it is small enough for that.
+   Texts leave that pass as a few hundred bytes each.
 2. Documents with equal shingle sets are one class, so exact copies never meet as pairs.
 3. Classes that share a band of minima are candidates. Each class is first paired with one class only, so that
-   a band with thousands of members yields no more pairs than members.
-4. The population count of two sketches' XOR estimates how similar the two are. Pairs far below the threshold go.
-5. The others are confirmed on the full shingle sets of the two texts.
-6. Candidates that steps 3 to 5 left in different components are then compared as well, all of them, so
-   that no link between two components is lost to step 3.
+   a band with thousands of members yields no more pairs than members. The population count of two sketches' XOR estimates how similar
+   the two are; pairs far below the threshold go, and of the rest of a class the most similar one stays.
+4. Pairs are confirmed on the full shingle sets of the two texts, and components are formed.
+5. Bands whose members lie in several components are looked at again, in blocks: each member outside the
+   largest component names its most similar member of another one, by the bitmap of the whole set; again at most one pair each.
+6. In what is then left in different components, all pairs of a band are compared by their bitmaps, and those that come near the threshold
+   are confirmed. Nothing is left out: a pair of a band either lies in one component, or has been compared.
 
 Defined cases: null, empty and blank texts have an empty set and no links. A null doc_id has no links and a
 null component. Rows that share a doc_id are one document whose links are merged. Repeated rows count once.
@@ -32,8 +35,11 @@ SKETCH_BITS = 256
 #: A pair whose estimated similarity is this far below the threshold is not compared in full: about five
 #: standard deviations of the estimate at the threshold.
 MARGIN = 0.4
+#: The whole set is folded into a bitmap of its own if it has at most so many shingles; its estimate is within
+#: CLOSE of the true similarity, by five standard deviations of the largest sets.
+WHOLE_BITS, MOST_WHOLE, CLOSE = 2048, 1500, 0.06
 #: Members of a band that are compared with each other in one task.
-BLOCK = 1024
+BLOCK = 4096
 
 
 def _signatures(k: int):
@@ -47,12 +53,12 @@ def _signatures(k: int):
         band_seed = mix(np.arange(1, BANDS + 1).astype(U))
         for batch in batches:
             ids, texts = batch.column(0), [t.lower() for t in batch.column(1).to_pylist()]
-            n_set, digests, bands, sketches = [], [], [], []
+            n_set, digests, bands, sketches, wholes = [], [], [], [], []
             for _, (one, two) in run_hashes(texts, k, hashers, whole_if_short=True):
                 one, at = np.unique(one, return_index=True)
                 n_set.append(len(one))
                 if not len(one):
-                    digests.append(None), bands.append(None), sketches.append(None)
+                    digests.append(None), bands.append(None), sketches.append(None), wholes.append(None)
                     continue
                 two = two[at]
                 digests.append(np.array([one.sum(dtype=U), mix(one).sum(dtype=U) ^ mix(two).sum(dtype=U)], U).tobytes())
@@ -62,21 +68,26 @@ def _signatures(k: int):
                 bit = mix(low + np.arange(PERMUTATIONS).astype(U) * U(0x9E3779B97F4A7C15)) % U(SKETCH_BITS)
                 odd = np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1
                 sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                if len(one) <= MOST_WHOLE:
+                    odd = np.bincount((mix(one) % U(WHOLE_BITS)).astype(np.int64), minlength=WHOLE_BITS) & 1
+                    wholes.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                else:
+                    wholes.append(b"")
                 band = band_seed.copy()
                 for r in range(ROWS):
                     band = mix(band ^ low[r::ROWS])
                 bands.append(band.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n_set, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                [ids, pa.array(n_set, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(wholes, pa.binary())],
+                ["doc_id", "n_shingles", "digest", "bands", "sketch", "whole"],
             )
 
     return run
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, bands and odd sketch of each row; null where the set is empty."""
-    return docs.select("doc_id", text_bytes(F.col("text")).alias("b")).mapInArrow(_signatures(k), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
+    """doc_id, n_shingles, digest of the set, bands, odd sketch and bitmap of the whole set of each row; null where the set is empty."""
+    return docs.select("doc_id", text_bytes(F.col("text")).alias("b")).mapInArrow(_signatures(k), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary, whole binary")
 
 
 def estimate(one, two):
@@ -128,30 +139,71 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return with_v.select("u", "v", "a", "b").mapInArrow(_similar(k, percent), "u long, v long").distinct()
 
 
-def _across(least: float):
-    """All pairs of a block of one band that lie in different components and whose sketches are close."""
+def _bits(column) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
+
+
+def _across(percent: int, best: bool):
+    """Pairs (u, v) of a block of a band that lie in different components and may reach the percentage: for each
+    v outside the block's largest component all of them, or only the most similar one, with its estimate ``near``."""
 
     def run(key, table):
-        ids = table.column("rep").to_numpy()
-        roots = table.column("root").to_numpy()
-        sides = table.column("side").to_numpy()
-        bits = np.unpackbits(np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1).astype(np.float32)
+        ids, roots, sides, sizes = (table.column(c).to_numpy() for c in ("rep", "root", "side", "n"))
         i_block, j_block = key[1].as_py(), key[2].as_py()
-        most = SKETCH_BITS / 2 * (1 - np.exp((least - 1) * 4 * PERMUTATIONS / SKETCH_BITS))
-        ones = bits.sum(axis=1)
-        rows = np.flatnonzero(sides == i_block)
-        cols = rows if i_block == j_block else np.flatnonzero(sides == j_block)
-        u, v = [], []
-        for r in rows:
-            d = ones[r] + ones[cols] - 2 * (bits[cols] @ bits[r])
-            hit = cols[(d <= most) & (roots[cols] != roots[r])]
-            u.append(np.minimum(ids[hit], ids[r])), v.append(np.maximum(ids[hit], ids[r]))
-        out = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0) if u else np.empty((0, 2), np.int64)
-        return pa.table({"u": pa.array(out[:, 0], pa.int64()), "v": pa.array(out[:, 1], pa.int64())})
+        values, counts = np.unique(roots, return_counts=True)
+        rows = np.flatnonzero(roots != values[np.argmax(counts)])
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(rows):
+            coarse = _bits(table.column("sketch"))
+            whole = table.column("whole").to_pylist()
+            small = np.array([len(w) > 0 for w in whole])
+            fine = _bits(pa.array([w or b"\0" * (WHOLE_BITS // 8) for w in whole], pa.binary()))
+            for r in rows:
+                # The bounds on sizes are exact: more than the percentage cannot be shared otherwise.
+                ok = (roots != roots[r]) & (100 * np.minimum(sizes, sizes[r]) >= percent * np.maximum(sizes, sizes[r]))
+                cols = np.flatnonzero(ok & (sides != sides[r]) if i_block != j_block else ok)
+                if not len(cols):
+                    continue
+                d = np.bitwise_count(coarse[cols] ^ coarse[r]).sum(axis=1, dtype=np.int64)
+                near = 1 + SKETCH_BITS / (4 * PERMUTATIONS) * np.log(np.maximum(1 - 2 * d / SKETCH_BITS, 1e-9))
+                keep = near >= percent / 100 - MARGIN
+                cols, near = cols[keep], near[keep]
+                both = small[cols] & small[r]
+                if both.any():
+                    at = cols[both]
+                    d = np.bitwise_count(fine[at] ^ fine[r]).sum(axis=1, dtype=np.int64)
+                    apart = -WHOLE_BITS / 2 * np.log(np.maximum(1 - 2 * d / WHOLE_BITS, 1e-9))
+                    total = sizes[at] + sizes[r]
+                    near[both] = (total - apart) / (total + apart)
+                    keep = ~both | (near >= percent / 100 - CLOSE)
+                    cols, near = cols[keep], near[keep]
+                if not len(cols):
+                    continue
+                if best:
+                    top = int(np.lexsort((ids[cols], -near))[0])
+                    cols, near = cols[top : top + 1], near[top : top + 1]
+                out.append((ids[cols], np.full(len(cols), ids[r]), near))
+        u, v, near = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        if not best:
+            (u, v), near = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1), None
+            near = np.zeros(len(u))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "near": pa.array(near, pa.float64())})
 
     return run
 
 
+def _still_apart(classes: DataFrame, roots: DataFrame, percent: int, best: bool) -> DataFrame:
+    """What ``_across`` finds in the bands whose members lie in several components: u, v, near."""
+    placed = classes.select("rep", "bands").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "bands")
+    members = placed.select("rep", "root", F.explode("bands").alias("band"))
+    split = members.groupBy("band").agg(F.count("*").alias("k"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("g"))
+    slim = members.join(split, "band").withColumn("side", F.pmod(F.xxhash64("rep"), "g").cast("int"))
+    rows = slim.join(classes.select("rep", "n", "sketch", "whole"), "rep")
+    blocks = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("band", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "rep", "root", "side", "n", "sketch", "whole")
+    return blocks.groupBy("band", "i", "j").applyInArrow(_across(percent, best), "u long, v long, near double")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -161,7 +213,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     least = percent / 100 - MARGIN
     sig = durable(signatures(docs, k), "signatures")
     classes = durable(
-        sig.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min_by(F.struct("bands", "sketch"), "doc_id").alias("x"), F.min("doc_id").alias("rep")).select("digest", "rep", "x.bands", "x.sketch"), "classes"
+        sig.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min_by(F.struct("bands", "sketch", "whole", "n_shingles"), "doc_id").alias("x"), F.min("doc_id").alias("rep")).select("digest", "rep", "x.bands", "x.sketch", "x.whole", F.col("x.n_shingles").alias("n")), "classes"
     )
     bands = classes.select("rep", F.explode("bands").alias("band"))
     low = bands.groupBy("band").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1")
@@ -174,15 +226,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = durable(first, "pairs")
     links = durable(confirmed(first, docs, k, percent), "links")
     roots = connected_components(links)
-    # Bands whose members are not all in one component yet.
-    placed = classes.select("rep", "sketch", "bands").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sketch", "bands", F.coalesce("root", "rep").alias("root"))
-    members = placed.select("rep", "sketch", "root", F.explode("bands").alias("band"))
-    split = members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"))
-    side = members.join(split, "band").withColumn("side", F.pmod(F.xxhash64("rep"), "g").cast("int"))
-    blocks = side.select("band", "rep", "sketch", "root", "side", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o")).select("band", "rep", "sketch", "root", "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"))
-    rest = blocks.groupBy("band", "i", "j").applyInArrow(_across(least), "u long, v long").distinct()
-    more = confirmed(durable(rest.join(first.withColumnsRenamed({"u": "x", "v": "y"}), (F.col("u") == F.col("x")) & (F.col("v") == F.col("y")), "left_anti"), "rest"), docs, k, percent)
-    links = durable(links.unionByName(more), "links")
+    second = _still_apart(classes, roots, percent, True).groupBy("v").agg(F.max_by("u", F.struct("near", -F.col("u"))).alias("u")).select("u", "v")
+    links = durable(links.unionByName(confirmed(durable(second, "pairs"), docs, k, percent)), "links")
+    roots = connected_components(links)
+    third = _still_apart(classes, roots, percent, False).select("u", "v").distinct()
+    links = durable(links.unionByName(confirmed(durable(third, "pairs"), docs, k, percent)), "links")
     roots = connected_components(links)
     grouped = classes.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "digest").join(grouped, "digest", "left")
