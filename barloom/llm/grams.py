@@ -12,7 +12,7 @@ import numpy as np
 
 U = np.uint64
 #: Texts are hashed in groups of about this many bytes; a longer text is a group of its own.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 256 << 10
 
 
 def words_by(pattern_is_word) -> np.ndarray:

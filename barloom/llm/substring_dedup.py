@@ -35,7 +35,7 @@ DEPTH = 2
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 28
 PIECE = 1 << 20
 #: A task hands its cells over after so many windows, which bounds its memory.
-FLUSH = 4 << 20
+FLUSH = 2 << 20
 
 
 def cells_for(docs: DataFrame) -> int:
@@ -45,12 +45,14 @@ def cells_for(docs: DataFrame) -> int:
 
 
 def _cells(h: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return ((h * U((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[row])) >> U(64 - (cells.bit_length() - 1))).astype(np.int64)
+    out = h * U((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[row])
+    out >>= U(64 - (cells.bit_length() - 1))
+    return out.astype(np.uint32)
 
 
 def _packed(sorted_cells: np.ndarray) -> bytes:
     """Gaps between sorted cells as bytes, 255 for each 255 skipped, compressed."""
-    gaps = np.diff(sorted_cells, prepend=-1) - 1
+    gaps = np.diff(sorted_cells.astype(np.int64), prepend=-1) - 1
     more = gaps // 255
     out = np.full(int(more.sum()) + len(gaps), 255, np.uint8)
     out[np.cumsum(more + 1) - 1] = gaps % 255
@@ -70,7 +72,8 @@ def _count(width: int, cells: int):
     def rows(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         every = np.concatenate(found) if found else np.empty(0, U)
         for row in range(DEPTH):
-            at = np.sort(_cells(every, row, cells))
+            at = _cells(every, row, cells)
+            at.sort()
             once = np.ones(len(at), bool)
             once[1:] = at[1:] != at[:-1]
             again = np.unique(at[~once])
@@ -79,7 +82,7 @@ def _count(width: int, cells: int):
             for (values, twice) in ((at, False), (again, True)):
                 cut = np.searchsorted(values, edges)
                 for piece in np.flatnonzero(cut[1:] > cut[:-1]):
-                    yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "piece": pa.array([int(piece)], pa.int32()), "twice": [twice], "cells": [_packed(values[cut[piece] : cut[piece + 1]] - piece * size)]})
+                    yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "piece": pa.array([int(piece)], pa.int32()), "twice": [twice], "cells": [_packed(values[cut[piece] : cut[piece + 1]] - np.uint32(piece * size))]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers, found, n = [Hasher(81)], [], 0
@@ -168,7 +171,7 @@ def _repeated(width: int, cells: int, sent: _Sent):
                 full = np.ones(len(h), bool)
                 for row, bits in enumerate(rows):
                     c = _cells(h, row, cells)
-                    full &= (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
+                    full &= (bits[c >> np.uint32(3)] >> (np.uint32(7) - (c & np.uint32(7))).astype(np.uint8)) & 1 == 1
                 at = np.flatnonzero(full)
                 if len(at):
                     at = at[np.unique(h[at], return_index=True)[1]]
