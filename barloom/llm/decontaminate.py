@@ -153,13 +153,16 @@ class Index:
         self.postings = durable(postings(self.forward, sorted({t for t, _, _ in self.anchors}), len(self.counts)), "postings")
 
     def anchor_table(self) -> DataFrame:
-        rows = self.spark.createDataFrame(self.anchors, "term int, item int, offset int")
+        """term, item, offset, and need: the least number of rarest terms that a window of the item has."""
+        need = [min((len(set(o)) for _, _, o in w), default=1) for w in self.by_item]
+        rows = self.spark.createDataFrame([(t, i, o, need[i]) for t, i, o in self.anchors], "term int, item int, offset int, need int")
         return small_side(durable(rows, "anchors"))
 
     def starts(self) -> DataFrame:
         """Per document: the (item, start) at which all rarest terms of some window of the item agree."""
-        hits = self.postings.join(self.anchor_table(), "term").select("doc_id", "key", "item", (F.col("at") - F.col("offset")).alias("start"), "offset")
-        found = hits.groupBy("doc_id", "key", "item", "start").agg(F.collect_set("offset").alias("offsets"))
+        hits = self.postings.join(self.anchor_table(), "term").select("doc_id", "key", "item", (F.col("at") - F.col("offset")).alias("start"), "offset", "need")
+        # Fewer agreeing terms than any window of the item has cannot be a window; most starts end here.
+        found = hits.groupBy("doc_id", "key", "item", "start", "need").agg(F.collect_set("offset").alias("offsets")).where("size(offsets) >= need").drop("need")
         sent = self.spark.sparkContext.broadcast([sorted({frozenset(o) for _, _, o in w}, key=sorted) for w in self.by_item])
 
         def run(batches):
