@@ -1,0 +1,67 @@
+"""Backtests as a grouped map: each run is a group, so runs are spread over all machines."""
+
+from __future__ import annotations
+
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from barloom.operators.kernel import EVENT_FIELDS, EVENT_SCHEMA, Bar, Execution, Instrument, Session
+from barloom.operators.strategies import STRATEGIES
+
+RUN_SCHEMA = "run_id string, instrument string, strategy string, params string"
+
+
+def simulate(run_id: str, strategy: str, params: dict, bars: list[Bar], instrument: Instrument, execution: Execution, cash: int, seed: int = 1, flatten: bool = True) -> list[tuple]:
+    """Events of one run over bars in order."""
+    s = Session(STRATEGIES[strategy](instrument=instrument.symbol, **params), {instrument.symbol: instrument}, cash=cash, execution=execution, seed=seed, flatten=flatten)
+    for b in bars:
+        s.bar(b)
+    s.finish()
+    return s.take_events()
+
+
+def backtest(bars: DataFrame, runs: DataFrame, instrument: Instrument | None = None, execution: Execution | None = None, cash: int = 10_000_000 * 10**8, flatten: bool = True) -> DataFrame:
+    """Events (run_id and EVENT_SCHEMA) of runs (run_id, instrument, strategy, params as JSON) over bars of their instrument.
+
+    The few runs go to the bars, each bar is copied for the runs of its instrument, and one shuffle by run_id follows. A run's bars must fit into a
+    Python worker; a million take about 200 MB.
+    """
+    base, ex = instrument or Instrument("", kind="spot", accounting="cash", point_value=10**6), execution or Execution()
+    rows = bars.join(runs, "instrument")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("close_ts", kind="stable")
+        first = frame.iloc[0]
+        own = Instrument(**{**base.__dict__, "symbol": first["instrument"]})
+        b = [Bar(*x) for x in zip(*(frame[c].tolist() for c in Bar._fields), strict=True)]
+        events = simulate(first["run_id"], first["strategy"], json.loads(first["params"]), b, own, ex, cash, flatten=flatten)
+        out = pd.DataFrame(events, columns=EVENT_FIELDS)
+        for c, kind in (f.split() for f in EVENT_SCHEMA.split(", ")):
+            if kind in ("long", "int"):
+                out[c] = out[c].astype("Int64")
+        out.insert(0, "run_id", first["run_id"])
+        return out
+
+    run.__annotations__.clear()
+    return rows.select("run_id", "strategy", "params", *Bar._fields).groupBy("run_id").applyInPandas(run, f"run_id string, {EVENT_SCHEMA}")
+
+
+def fills(events: DataFrame) -> DataFrame:
+    return events.where("kind = 'fill'").select("run_id", "ts", "seq", "order_id", "instrument", "side", "price", "qty", "leaves", "commission", "slippage", "liquidity", "tag")
+
+
+def trades(events: DataFrame) -> DataFrame:
+    return events.where("kind = 'trade'").select(
+        "run_id", "instrument", F.col("side").alias("direction"), "qty", F.col("ts").alias("entry_ts"), "exit_ts", F.col("price").alias("entry_price"), "exit_price", F.col("amount").alias("gross"), "commission", (F.col("amount") - F.col("commission")).alias("net"), "bars", "mae", "mfe"
+    )
+
+
+def equity(events: DataFrame) -> DataFrame:
+    return events.where("kind = 'equity'").select(F.col("run_id").alias("run"), "ts", F.col("amount").alias("equity"))
+
+
+def counters(events: DataFrame) -> DataFrame:
+    return events.where("kind = 'count'").groupBy("run_id").pivot("reason", ["submitted", "rejected", "filled", "cancelled", "amended", "fills", "partial", "ambiguous", "deferred", "sub_bar", "oco"]).agg(F.first("amount"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("market", "trading")
+MODULES = ("market", "trading", "simulation")
 
 
 def load() -> None:
