@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import durable, small_side, text_bytes
+from barloom.llm.grams import slices
 
 RAREST = 3
 #: The benchmark is read by the driver; more bytes than this are refused rather than risked.
@@ -72,7 +73,7 @@ class Benchmark:
 def _forward(terms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = terms.value
-        for batch in batches:
+        for batch in slices(batches):
             n_words, flat, ends = [], [], [0]
             for t in batch.column(2).to_pylist():
                 w = words(t)

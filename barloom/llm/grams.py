@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 #: Texts are hashed in groups of about this many bytes; a longer text is a group of its own.
@@ -78,6 +79,13 @@ class Hasher:
         return mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that only a few texts at a time are Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about GROUP_BYTES."""
     at = size = 0

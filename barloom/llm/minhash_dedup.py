@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import connected_components, durable, text_bytes
-from barloom.llm.grams import SPACED, U, Hasher, mix, run_hashes
+from barloom.llm.grams import U, Hasher, mix, run_hashes, slices
 
 BANDS, ROWS = 28, 4
 PERMUTATIONS = BANDS * ROWS
@@ -51,7 +51,7 @@ def _signatures(k: int):
         times = (draw.integers(0, 1 << 62, PERMUTATIONS).astype(U) * U(2) + U(1))[:, None]
         plus = draw.integers(0, 1 << 62, PERMUTATIONS).astype(U)[:, None]
         band_seed = mix(np.arange(1, BANDS + 1).astype(U))
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0), [t.lower() for t in batch.column(1).to_pylist()]
             n_set, digests, bands, sketches, wholes = [], [], [], [], []
             for _, (one, two) in run_hashes(texts, k, hashers, whole_if_short=True):
@@ -118,7 +118,7 @@ def _similar(k: int, percent: int):
             kept[key] = (text, made)
             return made
 
-        for batch in batches:
+        for batch in slices(batches):
             u, v, a, b = (c.to_pylist() for c in batch.columns)
             keep = []
             for i in range(len(u)):

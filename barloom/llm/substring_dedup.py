@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import BROADCAST_BYTES, durable, partitions, stored_bytes, text_bytes
-from barloom.llm.grams import U, Hasher, run_hashes
+from barloom.llm.grams import U, Hasher, run_hashes, slices
 
 DEPTH = 2
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 28
@@ -86,7 +86,7 @@ def _count(width: int, cells: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers, found, n = [Hasher(81)], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for _, (h,) in run_hashes(batch.column(0).to_pylist(), width, hashers):
                 if len(h):
                     found.append(np.unique(h))
@@ -164,7 +164,7 @@ def _repeated(width: int, cells: int, sent: _Sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers, rows = [Hasher(81), Hasher(82)], _bits(sent, cells)
-        for batch in batches:
+        for batch in slices(batches, 100):
             ids, out = batch.column(0).to_numpy(zero_copy_only=False), []
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             for i, (_, (h, g)) in enumerate(run_hashes(batch.column(2).to_pylist(), width, hashers)):
@@ -187,7 +187,7 @@ def _remove(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = [Hasher(81)]
-        for batch in batches:
+        for batch in slices(batches):
             texts, marks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             todo = [i for i, m in enumerate(marks) if m]
             gone = {}
