@@ -1,0 +1,209 @@
+from __future__ import annotations
+
+import pickle
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from barloom.operators.kernel import Bar, Execution, Instrument, Rng, Session, Strategy, Tick
+from barloom.operators.ledger import Position
+from barloom.plans.simulation import FLAT, Scripted, scenario
+
+FIELDS = {"kind": 0, "ts": 1, "side": 5, "price": 7, "qty": 8, "leaves": 9, "commission": 10, "slippage": 11, "liquidity": 12, "reason": 14, "amount": 15}
+
+
+def events(session: Session, kind: str) -> list[dict]:
+    return [{n: e[i] for n, i in FIELDS.items()} for e in session.events if e[0] == kind]
+
+
+def count(session: Session, name: str) -> int:
+    return next(e[15] for e in session.events if e[0] == "count" and e[14] == name)
+
+
+def run(bars, *orders, ex=None, then=None, **more):
+    return scenario(bars, Scripted({0: list(orders)}, then), ex, **more)
+
+
+@pytest.mark.parametrize(
+    ("bars", "order", "price", "liquidity"),
+    [
+        ([FLAT, (110, 115, 105, 112)], {}, 110, "taker"),
+        ([FLAT, (100, 105, 95, 102)], {"kind": "limit", "limit": 97}, 97, "maker"),
+        ([FLAT, (90, 92, 88, 91)], {"kind": "limit", "limit": 97}, 90, "maker"),
+        ([FLAT, (100, 110, 99, 105)], {"kind": "stop", "stop": 105}, 105, "taker"),
+        ([FLAT, (120, 125, 119, 124)], {"kind": "stop", "stop": 105}, 120, "taker"),
+    ],
+)
+def test_a_bar_fills_at(bars, order, price, liquidity):
+    (fill,) = events(run(bars, {"side": 1, "qty": 1, **order}), "fill")
+    assert (fill["price"], fill["liquidity"]) == (price, liquidity)
+
+
+def test_orders_of_the_last_bar_are_cancelled():
+    s = run([FLAT], {"side": 1, "qty": 1})
+    assert not events(s, "fill") and events(s, "cancelled")[0]["reason"] == "run_ended"
+
+
+def test_limit_that_is_not_reached():
+    assert not events(run([FLAT, (100, 105, 95, 102)], {"side": 1, "qty": 1, "kind": "limit", "limit": 90}), "fill")
+
+
+def test_slippage_is_paid_by_takers():
+    (fill,) = events(run([FLAT, (100, 110, 99, 105)], {"side": 1, "qty": 1, "kind": "stop", "stop": 105}, ex=Execution(slippage=("ticks", 2))), "fill")
+    assert fill["price"] == 107 and fill["slippage"] == 2 * 10**8
+    (fill,) = events(run([FLAT, (100, 105, 95, 102)], {"side": 1, "qty": 1, "kind": "limit", "limit": 97}, ex=Execution(slippage=("ticks", 2))), "fill")
+    assert fill["price"] == 97
+
+
+@pytest.mark.parametrize(("policy", "ts", "deferred"), [("pessimistic", 180_000_000, 1), ("optimistic", 120_000_000, 0)])
+def test_stop_limit(policy, ts, deferred):
+    s = run([FLAT, (100, 110, 100, 108), (108, 109, 104, 106)], {"side": 1, "qty": 1, "kind": "stop_limit", "stop": 105, "limit": 106}, ex=Execution(policy=policy))
+    assert events(s, "fill")[0]["ts"] == ts and count(s, "deferred") == deferred
+
+
+@pytest.mark.parametrize(("tif", "fills", "cancels"), [("gtc", [10, 10], 1), ("ioc", [10], 1), ("fok", [], 1)])
+def test_participation_and_time_in_force(tif, fills, cancels):
+    s = run([(*FLAT, 100)] * 3, {"side": 1, "qty": 25, "tif": tif}, ex=Execution(participation=1000))
+    assert [f["qty"] for f in events(s, "fill")] == fills and len(events(s, "cancelled")) == cancels
+
+
+@pytest.mark.parametrize(("policy", "second"), [("pessimistic", 90), ("optimistic", 110), ("ohlc-path", 90)])
+def test_policy_decides_which_leg_is_first(policy, second):
+    legs = {2: [{"side": -1, "qty": 1, "kind": "limit", "limit": 110, "oco": "x"}, {"side": -1, "qty": 1, "kind": "stop", "stop": 90, "oco": "x"}], 0: [{"side": 1, "qty": 1}]}
+    s = scenario([FLAT, FLAT, FLAT, (100, 112, 88, 100)], Scripted(legs), Execution(policy=policy))
+    assert [f["price"] for f in events(s, "fill")] == [100, second] and count(s, "ambiguous") == 1
+
+
+def test_bracket_with_and_without_oco():
+    legs = lambda oco: {"entry": [{"side": -1, "qty": 1, "kind": "stop", "stop": 95, "oco": oco}, {"side": -1, "qty": 1, "kind": "limit", "limit": 105, "oco": oco}]}
+    bars = [FLAT, FLAT, (100, 106, 94, 100), FLAT]
+    assert len(events(run(bars, {"side": 1, "qty": 1, "tag": "entry"}, then=legs(None)), "fill")) == 3
+    s = run(bars, {"side": 1, "qty": 1, "tag": "entry"}, then=legs("x"))
+    assert [f["price"] for f in events(s, "fill")] == [100, 95] and events(s, "cancelled")[0]["reason"] == "oco"
+
+
+@pytest.mark.parametrize(
+    ("order", "reason"),
+    [({"qty": 0}, "invalid_quantity"), ({"qty": 1, "kind": "limit"}, "missing_price"), ({"qty": 1, "limit": 97}, "invalid_price")],
+)
+def test_unsound_orders_are_rejected(order, reason):
+    assert events(run([FLAT], {"side": 1, **order}), "rejected")[0]["reason"] == reason
+
+
+@pytest.mark.parametrize(("minutes", "sub_bar"), [(2, 0), (2.5, 1)])
+def test_latency(minutes, sub_bar):
+    bars = [FLAT, FLAT, (100, 200, 100, 200), (150, 200, 150, 200), (200, 200, 200, 200)]
+    s = run(bars, {"side": 1, "qty": 1}, ex=Execution(latency=(int(minutes * 60_000_000),) * 2))
+    assert events(s, "fill")[0]["price"] == 150 and count(s, "sub_bar") == sub_bar
+
+
+class OnFirstTick(Strategy):
+    def __init__(self, **order):
+        self.order = order
+
+    def on_tick(self, s, tick):
+        if self.order:
+            s.submit("TF", 1, 1, **self.order)
+            self.order = None
+
+
+@pytest.mark.parametrize(
+    ("order", "prices", "latency", "fill"),
+    [
+        ({}, [100, 101, 105, 110], 0, (101, 2000)),
+        ({"kind": "limit", "limit": 97}, [100, 99, 96], 0, (96, 3000)),
+        ({"kind": "stop_limit", "stop": 105, "limit": 105}, [100, 106, 104], 0, (104, 3000)),
+        ({}, [100, 101, 105, 110], 1500, (105, 3000)),
+    ],
+)
+def test_ticks(order, prices, latency, fill):
+    s = Session(OnFirstTick(kind=order.get("kind", "market"), **{k: v for k, v in order.items() if k != "kind"}), {"TF": Instrument("TF")}, execution=Execution(latency=(latency, latency)))
+    for i, p in enumerate(prices):
+        s.tick(Tick("TF", 1000 * (i + 1), p, 10))
+    (found,) = events(s, "fill")
+    assert (found["price"], found["ts"]) == fill
+
+
+def test_heartbeat_activates_but_does_not_fill_and_time_does_not_go_back():
+    s = Session(Scripted({0: [{"side": 1, "qty": 1, "kind": "limit", "limit": 50}]}), {"TF": Instrument("TF")}, execution=Execution(latency=(90_000_000, 90_000_000)))
+    s.bar(Bar("TF", 0, 60_000_000, *FLAT, 10))
+    assert s.orders[1].status == "pending"
+    s.heartbeat(150_000_001)
+    assert s.orders[1].status == "working" and not events(s, "fill")
+    with pytest.raises(ValueError, match="back"):
+        s.heartbeat(1)
+
+
+def test_late_bars_are_refused():
+    s = Session(Strategy(), {"TF": Instrument("TF")})
+    s.bar(Bar("TF", 0, 60_000_000, *FLAT, 10))
+    with pytest.raises(ValueError, match="overlaps"):
+        s.bar(Bar("TF", 30_000_000, 90_000_000, *FLAT, 10))
+
+
+def test_day_orders_end_at_midnight():
+    s = Session(Scripted({0: [{"side": 1, "qty": 1, "kind": "limit", "limit": 50, "tif": "day"}]}), {"TF": Instrument("TF")})
+    s.bar(Bar("TF", 0, 60_000_000, *FLAT, 10))
+    s.bar(Bar("TF", 86_340_000_000, 86_400_000_000, 50, 50, 50, 50, 10))
+    assert events(s, "cancelled")[0]["reason"] == "expired" and not events(s, "fill")
+
+
+def test_ledger_cases():
+    p = Position(10**8, 1)
+    assert p.apply(1, 2, 100) == (0, 2, 0) and p.apply(-1, 5, 120) == (2, 3, 40 * 10**8) and p.qty == -3 and p.basis == -360 * 10**8
+    p = Position(10**8, 1)
+    p.apply(1, 1, 100), p.apply(1, 3, 200)
+    assert p.basis == 700 * 10**8
+
+
+def test_trades_of_a_reversal():
+    s = scenario([(100, 100, 100, 100), (100, 100, 100, 100), (120, 120, 120, 120), (120, 120, 120, 120), (110, 110, 110, 110)], Scripted({0: [{"side": 1, "qty": 1}], 2: [{"side": -1, "qty": 2}]}), flatten=True)
+    assert [(e[5], e[15]) for e in s.events if e[0] == "trade"] == [(1, 20 * 10**8), (-1, 10 * 10**8)]
+
+
+def test_excursions():
+    s = scenario([(p, p, p, p) for p in (100, 100, 95, 110, 105)], Scripted({0: [{"side": 1, "qty": 1}], 3: [{"side": -1, "qty": 1}]}))
+    (t,) = [e for e in s.events if e[0] == "trade"]
+    assert (t[7], t[17], t[15], t[18], t[19], t[20]) == (100, 105, 5 * 10**8, 3, -5 * 10**8, 10 * 10**8)
+
+
+def test_random_streams_repeat_and_differ():
+    a, b = Rng(7).fork("broker"), Rng(7).fork("broker")
+    assert [a.u32() for _ in range(50)] == [b.u32() for _ in range(50)]
+    assert Rng(7).fork("strategy").u32() != Rng(7).fork("broker").u32()
+    assert all(3 <= Rng(1).between(3, 9) < 9 for _ in range(20))
+
+
+fills = st.lists(st.tuples(st.sampled_from([1, -1]), st.integers(1, 20), st.integers(1, 500)), max_size=40)
+
+
+@given(fills)
+@settings(max_examples=100, deadline=None)
+def test_realised_and_unrealised_add_up(given_fills):
+    p, cash = Position(10**6, 100), 0
+    for side, qty, price in given_fills:
+        p.apply(side, qty, price)
+        cash -= side * qty * price * 10**4
+    mark = 77
+    assert p.realised + (p.qty * mark * 10**4 - p.basis) == cash + p.qty * mark * 10**4
+
+
+@given(st.lists(st.tuples(st.integers(80, 120), st.integers(0, 9), st.integers(0, 9), st.integers(80, 120)), min_size=3, max_size=40), st.integers(1, 39))
+@settings(max_examples=40, deadline=None)
+def test_pickling_anywhere_and_prefixes_change_nothing(shape, cut):
+    bars = [(o, max(o, c) + u, min(o, c) - d, c, 100) for o, u, d, c in shape]
+    script = {i: [{"side": 1 if i % 2 else -1, "qty": 1 + i % 3, "kind": ("market", "limit", "stop")[i % 3], **({"limit": 100} if i % 3 == 1 else {"stop": 100} if i % 3 == 2 else {})}] for i in range(len(bars))}
+    made = lambda: Session(Scripted(script), {"TF": Instrument("TF")}, execution=Execution(slippage=("ticks", 1), jitter=2, latency=(0, 70_000_000)))
+    whole, halves = made(), made()
+    for i, b in enumerate(bars):
+        row = Bar("TF", i * 60_000_000, (i + 1) * 60_000_000, *b)
+        whole.bar(row)
+        if i == cut:
+            halves = pickle.loads(pickle.dumps(halves))
+        halves.bar(row)
+    assert whole.events == halves.events
+    prefix = made()
+    for i, b in enumerate(bars[:cut]):
+        prefix.bar(Bar("TF", i * 60_000_000, (i + 1) * 60_000_000, *b))
+    assert whole.events[: len(prefix.events)] == prefix.events
