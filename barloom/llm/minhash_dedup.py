@@ -8,8 +8,8 @@
    a band with thousands of members yields no more pairs than members. The population count of two sketches' XOR estimates how similar
    the two are; pairs far below the threshold go, and of the rest of a class the most similar one stays.
 4. Pairs are confirmed on the full shingle sets of the two texts, and components are formed.
-5. Bands whose members lie in several components are looked at again, in blocks: each member outside the
-   largest component names its most similar member of another one, by the bitmap of the whole set; again at most one pair each.
+5. Bands whose members lie in several components are looked at again, in blocks. By the bitmaps of the whole sets a block is
+   joined to as few components as they allow, each join by the most similar pair at hand; again a member names a few pairs at most.
 6. In what is then left in different components, all pairs of a band are compared by their bitmaps, and those that come near the threshold
    are confirmed. Nothing is left out: a pair of a band either lies in one component, or has been compared.
 
@@ -37,7 +37,7 @@ SKETCH_BITS = 256
 MARGIN = 0.4
 #: The whole set is folded into a bitmap of its own if it has at most so many shingles; its estimate is within
 #: CLOSE of the true similarity, by five standard deviations of the largest sets.
-WHOLE_BITS, MOST_WHOLE, CLOSE = 2048, 1500, 0.06
+WHOLE_BITS, MOST_WHOLE, CLOSE = 2048, 1500, 0.035
 #: Members of a band that are compared with each other in one task.
 BLOCK = 4096
 
@@ -144,64 +144,71 @@ def _bits(column) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
 
 
-def _across(percent: int, best: bool):
-    """Pairs (u, v) of a block of a band that lie in different components and may reach the percentage: for each
-    v outside the block's largest component all of them, or only the most similar one, with its estimate ``near``."""
+def _across(percent: int, join: bool):
+    """Pairs (u, v) of a block of a band that lie in different components and may reach the percentage.
+
+    With ``join`` only such as join the block's components, first by pairs that surely reach it, then by one pair that may for each
+    member; otherwise all of them.
+    """
 
     def run(key, table):
         ids, roots, sides, sizes = (table.column(c).to_numpy() for c in ("rep", "root", "side", "n"))
         i_block, j_block = key[1].as_py(), key[2].as_py()
-        values, counts = np.unique(roots, return_counts=True)
-        rows = np.flatnonzero(roots != values[np.argmax(counts)])
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(rows):
-            coarse = _bits(table.column("sketch"))
-            whole = table.column("whole").to_pylist()
-            small = np.array([len(w) > 0 for w in whole])
-            fine = _bits(pa.array([w or b"\0" * (WHOLE_BITS // 8) for w in whole], pa.binary()))
-            for r in rows:
-                # The bounds on sizes are exact: more than the percentage cannot be shared otherwise.
-                ok = (roots != roots[r]) & (100 * np.minimum(sizes, sizes[r]) >= percent * np.maximum(sizes, sizes[r]))
-                cols = np.flatnonzero(ok & (sides != sides[r]) if i_block != j_block else ok)
-                if not len(cols):
+        _, part = np.unique(roots, return_inverse=True)
+        whole = table.column("whole").to_pylist()
+        small = np.array([len(w) > 0 for w in whole])
+        coarse, fine = _bits(table.column("sketch")), _bits(pa.array([w or b"\0" * (WHOLE_BITS // 8) for w in whole], pa.binary()))
+
+        def near(r: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+            """Members of other components than r's that may be so similar, and their estimates."""
+            # The bounds on sizes are exact: more than the percentage cannot be shared otherwise.
+            ok = (part != part[r]) & (100 * np.minimum(sizes, sizes[r]) >= percent * np.maximum(sizes, sizes[r]))
+            cols = np.flatnonzero(ok & (sides != sides[r]) if i_block != j_block else ok)
+            d = np.bitwise_count(coarse[cols] ^ coarse[r]).sum(axis=1, dtype=np.int64)
+            alike = 1 + SKETCH_BITS / (4 * PERMUTATIONS) * np.log(np.maximum(1 - 2 * d / SKETCH_BITS, 1e-9))
+            keep = alike >= percent / 100 - MARGIN
+            cols, alike = cols[keep], alike[keep]
+            both = small[cols] & small[r]
+            at = cols[both]
+            d = np.bitwise_count(fine[at] ^ fine[r]).sum(axis=1, dtype=np.int64)
+            apart = -WHOLE_BITS / 2 * np.log(np.maximum(1 - 2 * d / WHOLE_BITS, 1e-9))
+            total = sizes[at] + sizes[r]
+            alike[both] = (total - apart) / (total + apart)
+            keep = alike >= np.where(both, least, percent / 100 - MARGIN)
+            return cols[keep], alike[keep]
+
+        out: list[np.ndarray] = []
+        for least in (percent / 100 + 0.01, percent / 100 - CLOSE) if join else (percent / 100 - CLOSE,):
+            largest = np.argmax(np.bincount(part))
+            for r in np.flatnonzero(part != largest):
+                if join and part[r] == largest:
                     continue
-                d = np.bitwise_count(coarse[cols] ^ coarse[r]).sum(axis=1, dtype=np.int64)
-                near = 1 + SKETCH_BITS / (4 * PERMUTATIONS) * np.log(np.maximum(1 - 2 * d / SKETCH_BITS, 1e-9))
-                keep = near >= percent / 100 - MARGIN
-                cols, near = cols[keep], near[keep]
-                both = small[cols] & small[r]
-                if both.any():
-                    at = cols[both]
-                    d = np.bitwise_count(fine[at] ^ fine[r]).sum(axis=1, dtype=np.int64)
-                    apart = -WHOLE_BITS / 2 * np.log(np.maximum(1 - 2 * d / WHOLE_BITS, 1e-9))
-                    total = sizes[at] + sizes[r]
-                    near[both] = (total - apart) / (total + apart)
-                    keep = ~both | (near >= percent / 100 - CLOSE)
-                    cols, near = cols[keep], near[keep]
+                cols, alike = near(r, least)
                 if not len(cols):
                     continue
-                if best:
-                    top = int(np.lexsort((ids[cols], -near))[0])
-                    cols, near = cols[top : top + 1], near[top : top + 1]
-                out.append((ids[cols], np.full(len(cols), ids[r]), near))
-        u, v, near = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        if not best:
-            (u, v), near = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1), None
-            near = np.zeros(len(u))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "near": pa.array(near, pa.float64())})
+                if join:
+                    best = cols[np.lexsort((ids[cols], -alike))[0]]
+                    out.append(np.array([[ids[r], ids[best]]]))
+                    one, other = part[r], part[best]
+                    # The largest keeps its number.
+                    part[part == (one if other == largest else other)] = other if other == largest else one
+                else:
+                    out.append(np.stack([np.full(len(cols), ids[r]), ids[cols]], axis=1))
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.empty((0, 2), np.int64)
+        return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
 
     return run
 
 
-def _still_apart(classes: DataFrame, roots: DataFrame, percent: int, best: bool) -> DataFrame:
-    """What ``_across`` finds in the bands whose members lie in several components: u, v, near."""
+def _still_apart(classes: DataFrame, roots: DataFrame, percent: int, join: bool) -> DataFrame:
+    """What ``_across`` finds in the bands whose members lie in several components: u, v."""
     placed = classes.select("rep", "bands").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "bands")
     members = placed.select("rep", "root", F.explode("bands").alias("band"))
     split = members.groupBy("band").agg(F.count("*").alias("k"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("g"))
     slim = members.join(split, "band").withColumn("side", F.pmod(F.xxhash64("rep"), "g").cast("int"))
     rows = slim.join(classes.select("rep", "n", "sketch", "whole"), "rep")
     blocks = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("band", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "rep", "root", "side", "n", "sketch", "whole")
-    return blocks.groupBy("band", "i", "j").applyInArrow(_across(percent, best), "u long, v long, near double")
+    return blocks.groupBy("band", "i", "j").applyInArrow(_across(percent, join), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -226,12 +233,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = durable(first, "pairs")
     links = durable(confirmed(first, docs, k, percent), "links")
     roots = connected_components(links)
-    second = _still_apart(classes, roots, percent, True).groupBy("v").agg(F.max_by("u", F.struct("near", -F.col("u"))).alias("u")).select("u", "v")
-    links = durable(links.unionByName(confirmed(durable(second, "pairs"), docs, k, percent)), "links")
-    roots = connected_components(links)
-    third = _still_apart(classes, roots, percent, False).select("u", "v").distinct()
-    links = durable(links.unionByName(confirmed(durable(third, "pairs"), docs, k, percent)), "links")
-    roots = connected_components(links)
+    for join in (True, False):
+        rest = durable(_still_apart(classes, roots, percent, join), "pairs")
+        more = durable(confirmed(rest, docs, k, percent), "links")
+        # Components so far stand for their links.
+        roots = connected_components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     grouped = classes.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "digest").join(grouped, "digest", "left")
     linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
