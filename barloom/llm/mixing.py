@@ -67,13 +67,14 @@ def rates(sizes: DataFrame, goals: DataFrame, most: int = MOST_COPIES) -> DataFr
 
     Documents enter by the words of each size, so that a step reads one row for each size of a source and not each document.
     """
-    by_size = durable(sizes.where("size > 0").groupBy("source", "size").agg((F.count("*") * F.col("size")).cast("double").alias("words")), "sizes")
+    by_size = durable(sizes.where("size > 0").groupBy("source", "size").agg((F.count("*") * F.col("size")).alias("words")), "sizes")
     now = durable(goals.select("source", "target", F.lit(0.0).alias("lam")), "multipliers")
     for _ in range(MOST_STEPS):
         r = F.least(F.exp("lam"), F.lit(float(most)))
-        at = by_size.join(small_side(now), by_size["source"].eqNullSafe(now["source"])).select(now["source"], "target", "lam", (F.col("words") * r).alias("words"))
-        # The dual's gradient is the target less the words taken; its curvature is the words taken.
-        sums = at.groupBy("source", "target", "lam").agg(F.sum("words").alias("taken"))
+        at = by_size.join(small_side(now), by_size["source"].eqNullSafe(now["source"])).select(now["source"], "target", "lam", "words", r.alias("r"))
+        # The dual's gradient is the target less the words taken; its curvature is the words taken. The words are added as integers, so that
+        # reruns agree to the last digit.
+        sums = at.groupBy("source", "target", "lam").agg((F.sum("words") * F.max("r")).alias("taken"))
         gap = F.col("target") - F.col("taken")
         # The multiplier stays below the logarithm of the limit, which every target allows.
         step = F.least(F.col("lam") + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gap / F.col("taken"))), F.log(F.lit(float(most))))
@@ -91,9 +92,10 @@ def rates(sizes: DataFrame, goals: DataFrame, most: int = MOST_COPIES) -> DataFr
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
-    """docs (doc_id, text, source) without text, with size, source_size, target, rate, copies and taken (copies times size)."""
+    """doc_id, source, size, source_size, target, rate, copies and taken (copies times size) of each row of docs (doc_id, text, source); other columns
+    are left out."""
     hashed = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1 << 52)) / float(1 << 52)
-    rows = durable(sized(docs).withColumn("u", hashed).withColumn("bin", F.floor(F.col("u") * BINS).cast("int")).drop("text"), "sized")
+    rows = durable(sized(docs.select("doc_id", "text", "source")).withColumn("u", hashed).withColumn("bin", F.floor(F.col("u") * BINS).cast("int")).drop("text"), "sized")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = durable(targets(sums, weights, share, most), "targets")
     by_source = durable(rates(rows, goals, most).withColumn("base", F.floor(F.col("rate") + 1e-9)).withColumn("wanted", F.col("target") - F.col("base") * F.col("source_size")), "rates")

@@ -35,6 +35,8 @@ BUCKET = 256
 FOUND = 6.0
 CODES = 3
 BLOCK = 1024
+#: Shorter vectors are padded with zeros, as few dimensions have too few directions for a product code.
+LEAST_DIMS = 32
 
 
 def _tail(x: float) -> float:
@@ -59,6 +61,7 @@ class Code:
     """The product code for vectors of a length."""
 
     def __init__(self, dims: int, height: float, b: int, seed: int = 41):
+        dims = max(dims, LEAST_DIMS)
         draw = np.random.default_rng([seed, dims])
         self.turn = np.linalg.qr(draw.normal(size=(dims, dims)))[0]
         self.half, self.b = dims // 2, b
@@ -70,7 +73,7 @@ class Code:
 
     def decode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) for all filters that the unit vectors exceed."""
-        turned = units @ self.turn
+        turned = units @ self.turn[: units.shape[1]]
         one, two = turned[:, : self.half] @ self.books[0].T, turned[:, self.half :] @ self.books[1].T
         order = np.argsort(-two, axis=1)
         two = -np.take_along_axis(two, order, axis=1)  # ascending

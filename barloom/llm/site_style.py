@@ -195,9 +195,9 @@ def main_text(page: str | None, low: frozenset[str] | set[str]) -> str:
 
 
 def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """pages (url, html and more) with the column main_text."""
+    """pages (url, html and more; names that begin with an underscore are kept for this) with the column main_text."""
     # What is removed for its presentation needs no look-up; the rest is small, and its size is checked.
-    nodes = durable(importance(pages).where((F.col("importance") < least) & (F.col("sign") == 0)).groupBy("host").agg(F.collect_set("path").alias("low")).withColumnRenamed("host", "_host"), "style-nodes")
+    nodes = durable(importance(pages).where((F.col("importance") < least) & (F.col("sign") == 0)).groupBy("host").agg(F.collect_set("path").alias("_low")).withColumnRenamed("host", "_host"), "style-nodes")
     side = F.broadcast(nodes) if stored_bytes(nodes) * 8 <= BROADCAST_BYTES else nodes
     rows = pages.withColumn("_host", host(F.col("url"))).join(side, "_host", "left")
 
@@ -205,4 +205,4 @@ def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
         return pd.Series([main_text(h, frozenset() if x is None else frozenset(x)) for h, x in zip(html, low, strict=True)], dtype=object)
 
     text.__annotations__.clear()
-    return rows.withColumn("main_text", F.pandas_udf(text, "string")("html", "low")).select(*pages.columns, "main_text")
+    return rows.withColumn("main_text", F.pandas_udf(text, "string")("html", "_low")).select(*pages.columns, "main_text")
