@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import times
@@ -35,6 +35,15 @@ def sum_of_last(n: int, source: str = "close") -> Column:
     return F.when(_full(n), F.sum(price(source)).over(_last(n)))
 
 
+def moving_sums(bars: DataFrame, periods: dict[str, int], source: str = "close") -> DataFrame:
+    """bars with the sums of the last n of an integer price, by name: differences of one running sum, so that the cost does not grow with n."""
+    w = by_time()
+    rows = bars.withColumn("_sum", F.sum(price(source)).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
+    for name, n in periods.items():
+        rows = rows.withColumn(name, F.when(F.col("_n") >= n, F.col("_sum") - F.coalesce(F.lag("_sum", n).over(w), F.lit(0))))
+    return rows.drop("_sum", "_n")
+
+
 def rolling_stats(n: int, source: str = "close") -> dict[str, Column]:
     """mean, variance and std_dev of the population of the last n."""
     w = _last(n)
@@ -51,8 +60,6 @@ def bollinger(n: int = 20, k: float = 2.0, source: str = "close") -> dict[str, C
 def vwap(reset: str = "day", source: str = "hlc3") -> Column:
     """Mean price weighted by volume, since the start of the UTC day of the close, or since ever; bars without volume add nothing."""
     keys = ("instrument", times.day_index(F.col("close_ts"))) if reset == "day" else ("instrument",)
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy("close_ts").rowsBetween(Window.unboundedPreceding, 0)
     volume = F.sum("volume").over(w)
     return F.when(volume > 0, F.sum(price(source) * F.col("volume")).over(w) / F.nullif(volume, F.lit(0)))

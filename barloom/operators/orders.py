@@ -27,8 +27,9 @@ def validation(qty: Column, kind: Column, limit: Column, stop: Column, tick: Col
 
 def _worse(price: Column, offset: Column, side: Column, tick: Column | int) -> Column:
     """Price moved against the taker, and on to the next tick in that direction. side is 1 to buy and -1 to sell."""
-    raw = price + offset * side
-    return F.when(side > 0, fixed.round_to_tick(raw, tick, "up")).otherwise(fixed.round_to_tick(raw, tick, "down"))
+    # In the taker's direction both sides round up; the offset is written as seldom as can be, since generated code grows with it.
+    raw = price * side + offset
+    return (raw + F.pmod(-raw, tick if isinstance(tick, Column) else F.lit(tick))) * side
 
 
 def slippage(model: str, price: Column, side: Column, taker: Column, tick: Column | int, amount: int = 0, bar_range: Column | None = None) -> Column:
@@ -120,9 +121,10 @@ def crossover_targets(bars: DataFrame, fast: int, slow: int, qty: int, short: bo
 
     The averages are compared as integers, so that a tie is a tie; a tie keeps the side before it.
     """
-    from barloom.operators.indicators import sum_of_last
+    from barloom.operators.indicators import moving_sums
 
-    side = F.signum(sum_of_last(fast) * slow - sum_of_last(slow) * fast)
-    sided = bars.withColumn("_side", side.cast("int")).withColumn("_held", F.last(F.nullif(F.col("_side"), F.lit(0)), ignorenulls=True).over(_bars.by_time().rowsBetween(Window.unboundedPreceding, 0)))
+    sums = moving_sums(bars, {"_fast": fast, "_slow": slow})
+    sided = sums.withColumn("_side", F.signum(F.col("_fast") * slow - F.col("_slow") * fast).cast("int"))
+    sided = sided.withColumn("_held", F.last(F.nullif(F.col("_side"), F.lit(0)), ignorenulls=True).over(_bars.by_time().rowsBetween(Window.unboundedPreceding, 0)))
     wanted = F.when(F.col("_held") > 0, qty).when(F.col("_held") < 0, -qty if short else 0).otherwise(0)
-    return sided.withColumn("target", wanted.cast("long")).drop("_side", "_held")
+    return sided.withColumn("target", wanted.cast("long")).drop("_fast", "_slow", "_side", "_held")
