@@ -9,7 +9,8 @@
    gradient exceeds TOLERANCE of its target. All sources step at once; the sums combine before they shuffle.
 4. Copies: a rate's whole part, and one more for documents whose hash falls below a cut of the source. The cut is set where the
    words taken meet the target, first by the sums of BINS ranges of the hash, then document by document within the one range
-   that the cut falls into; so a source's words miss its target by half a document at most.
+   that the cut falls into; so a source's words miss its target by half a document at most. What is missing is then made up, CORRECTIONS
+   times, by one more or one less copy of the largest document that fits into it.
 
 Defined cases: null and blank texts have size 0 and are taken as 0 words. A null source is a source of its own and comes last. Sources
 without words have target 0. Rows that repeat are documents of their own. An empty table gives no rows.
@@ -28,6 +29,7 @@ MOST_COPIES = 2
 TOLERANCE = 1e-9
 BINS = 4096
 MOST_STEPS = 100
+CORRECTIONS = 4
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -116,4 +118,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     inside = inside.withColumn("sum", F.col("before") + F.sum("size").over(order)).withColumn("extra", (F.col("sum") - F.col("size") / 2.0 <= F.col("wanted")).cast("int")).drop("sum")
     done = at.where("extra is not null").unionByName(inside)
     copies = F.when(F.col("size") > 0, F.least(F.col("base") + F.col("extra"), F.lit(most))).otherwise(F.lit(0)).cast("long")
-    return done.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("u", "bin", "base", "wanted", "cut", "before", "extra")
+    done = durable(done.withColumn("copies", copies).drop("bin", "base", "wanted", "cut", "before", "extra"), "copies")
+    done = corrected(done, most)
+    return done.withColumn("taken", F.col("copies") * F.col("size")).drop("u")
+
+
+def corrected(rows: DataFrame, most: int) -> DataFrame:
+    """rows with copies changed by one for at most CORRECTIONS documents of a source, such that its words come nearer to its target.
+
+    Each time a source's largest document that fits into what is missing (or is too much) is found by a grouped maximum. Rows that
+    repeat change together, if they fit together.
+    """
+    keys = ("source", "size", "u", "doc_id")
+
+    def same(a: str, b: str):
+        out = F.lit(True)
+        for k in keys:
+            out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+        return out
+
+    gaps = durable(rows.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("taken")).select("source", (F.col("target") - F.col("taken")).alias("gap")), "gaps")
+    changes = None
+    for _ in range(CORRECTIONS):
+        open_ = rows.alias("r") if changes is None else rows.alias("r").join(small_side(changes).alias("c"), same("r", "c"), "left_anti")
+        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("gap")) & F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+        at = open_.join(small_side(gaps).select(F.col("source").alias("s"), "gap"), F.col("r.source").eqNullSafe(F.col("s"))).where(fits)
+        best = at.groupBy("s").agg(F.max(F.struct("size", "u", "doc_id")).alias("x"), F.max("gap").alias("gap"))
+        best = durable(best.select(F.col("s").alias("source"), "x.size", "x.u", "x.doc_id", "gap"), "best")
+        n = rows.alias("r").join(small_side(best).alias("b"), same("r", "b")).groupBy(*(f"b.{k}" for k in keys)).agg(F.count("*").alias("n"), F.max("gap").alias("gap"))
+        delta = F.when(F.col("n") * F.col("size") <= F.abs("gap"), F.signum("gap").cast("int")).otherwise(F.lit(0))
+        new = durable(n.select(*keys, delta.alias("delta"), (delta * F.col("n") * F.col("size")).alias("moved")), "changes")
+        changes = new if changes is None else durable(changes.unionByName(new), "changes")
+        moved = small_side(new).select(F.col("source").alias("s"), "moved")
+        gaps = durable(gaps.join(moved, F.col("source").eqNullSafe(F.col("s")), "left").select("source", (F.col("gap") - F.coalesce("moved", F.lit(0))).alias("gap")), "gaps")
+    out = rows.alias("r").join(small_side(changes).alias("c"), same("r", "c"), "left")
+    return out.select(*(F.col(f"r.{c}") for c in rows.columns if c != "copies"), (F.col("r.copies") + F.coalesce("c.delta", F.lit(0))).alias("copies"))
