@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import fixed, times
 
+#: First bytes and columns of the format (fixed values).
 MAGIC = b"TAPEDCK1"
 BAR_COLUMNS = ("openTs", "closeTs", "open", "high", "low", "close", "volume")
 TICK_COLUMNS = (("ts", "f64"), ("price", "f64"), ("size", "f64"), ("aggressor", "i8"))
