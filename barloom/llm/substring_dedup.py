@@ -1,5 +1,7 @@
 """Exact removal of repeated word windows, behind a count-min prefilter (operator 8).
 
+0. Copies: a text that a smaller document has as well is covered by that document's windows, whole; it is left out of
+   the next steps. Its smallest document stands for it.
 1. Sketch: every task counts its window hashes in DEPTH rows of cells, once for each document, and hands over
    only which cells it saw once and which more often, by pieces of the rows. Pieces are merged over all tasks.
    A cell seen by two documents is full. The merged sketch overestimates: a repeated window's cells are all full.
@@ -28,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BROADCAST_BYTES, durable, partitions, stored_bytes, text_bytes
+from barloom.llm.common import durable, partitions, small_side, text_bytes
 from barloom.llm.grams import U, Hasher, run_hashes, slices
 
 DEPTH = 2
@@ -36,6 +38,8 @@ LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 28
 PIECE = 1 << 20
 #: A task hands its cells over after so many windows, which bounds its memory.
 FLUSH = 2 << 20
+#: Stands for all windows of a text.
+WHOLE = -1
 
 
 def cells_for(docs: DataFrame) -> int:
@@ -189,8 +193,11 @@ def _remove(width: int):
         hasher = [Hasher(81)]
         for batch in slices(batches):
             texts, marks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            todo = [i for i, m in enumerate(marks) if m]
+            todo = [i for i, m in enumerate(marks) if m and WHOLE not in m]
             gone = {}
+            for i in (i for i, m in enumerate(marks) if m and WHOLE in m):
+                n = len(texts[i].split())
+                gone[i] = np.full(n, n >= width)
             for i, (n, (h,)) in zip(todo, run_hashes([texts[i] for i in todo], width, hasher), strict=True):
                 begins = np.flatnonzero(np.isin(h, h[np.asarray(marks[i])]))
                 edge = np.zeros(n + 1, np.int64)
@@ -220,24 +227,32 @@ def _key():
     return F.shiftright(F.xxhash64("text"), 33).alias("key")
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, key) of texts that a document with a smaller id has as well. Only digests are shuffled; equal ones combine before that."""
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", _key(), F.unhex(F.md5("text")).alias("same"))
+    several = rows.groupBy("same").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("same", "low")
+    return rows.join(several, "same").where("doc_id > low").select("doc_id", "key").distinct()
+
+
 def removals(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, at): for each text the first positions of windows that start in a smaller document."""
+    """(doc_id, key, at): for each text the first positions of windows that start in a smaller document, or WHOLE for copies."""
     spark = docs.sparkSession
+    again = durable(copies(docs), "copies")
+    docs = docs.select("doc_id", "text", _key()).join(small_side(again), ["doc_id", "key"], "left_anti")
     cells = cells_for(docs)
     merged = sketch(docs, width, cells).collect()  # at most DEPTH * MOST_CELLS bits
     sent = _Sent(spark.sparkContext.broadcast((cells, [tuple(r) for r in merged])), hash((cells, id(merged))))
-    rows = docs.where("doc_id is not null").select("doc_id", _key(), text_bytes(F.col("text")).alias("b"))
+    rows = docs.where("doc_id is not null").select("doc_id", "key", text_bytes(F.col("text")).alias("b"))
     found = rows.mapInArrow(_repeated(width, cells, sent), "doc_id long, h long, g long, at long")
     least = found.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low")
     later = found.join(least, ["h", "g"]).where("doc_id > low")
-    return later.groupBy("doc_id", F.shiftright("at", 32).alias("key")).agg(F.collect_set(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).alias("at"))
+    marks = later.groupBy("doc_id", F.shiftright("at", 32).alias("key")).agg(F.collect_set(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).alias("at"))
+    return marks.unionByName(again.withColumn("at", F.array(F.lit(WHOLE).cast("long"))))
 
 
 def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, n_removed and kept (UTF-8 of the words left)."""
-    marks = durable(removals(docs, width), "removals")
-    if stored_bytes(marks) * 4 <= BROADCAST_BYTES:
-        marks = F.broadcast(marks)
+    marks = small_side(durable(removals(docs, width), "removals"))
     rows = docs.select("doc_id", _key(), text_bytes(F.col("text")).alias("b")).join(marks, ["doc_id", "key"], "left")
     return rows.select("doc_id", "b", "at").mapInArrow(_remove(width), "doc_id long, n_words long, n_removed long, kept binary")
 
