@@ -3,7 +3,7 @@
 Writing: each page becomes an HTTP response in chunked framing. Of records with equal payloads of at least LEAST_SHARED bytes the one
 with the smallest page_id is stored, the others are revisit records that refer to it. A block of more than ``segment``
 bytes is written as a first segment and continuation records. Archives are files in the shared folder, written by
-Spark's own committer, so that a lost executor leaves no half file behind; a file holds about FILE_BYTES.
+Spark's own committer and compressed, so that a lost executor leaves no half file behind; a file holds about FILE_BYTES.
 
 Reading: files are parsed record by record. Continuations are grouped by the record they continue, ordered by segment number,
 and checked for gaps and for the total length; then the chunked framing is decoded. Only segmented records are shuffled.
@@ -15,6 +15,7 @@ inconsistent record raises ``ValueError`` with its identifier; nothing is droppe
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from barloom.llm.common import shared_dir, text_bytes
 LEAST_SHARED = 100
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
-FILE_BYTES = 24 << 20
+FILE_BYTES = 8 << 20
 END = b"\r\n\r\n"
 VERSION = b"WARC/1.1"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -109,7 +110,7 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) -> None:
     out = rows.join(shared, "digest", "left").select("page_id", "url", text_bytes(F.col("html")).alias("b"), "digest", refers.alias("refers_to"))
     text = out.mapInArrow(_written(segment, path), "record binary").select(F.col("record").cast("string").alias("value"))
     # The text writer puts the bytes as they are, and the end of a record between them.
-    text.write.option("lineSep", END.decode()).option("maxRecordsPerFile", max(1, FILE_BYTES // 4096)).mode("errorifexists").text(path)
+    text.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // 4096)).mode("errorifexists").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -140,7 +141,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             out: list[tuple] = []
-            for h, block in parse(content.as_py()):
+            data = content.as_py()
+            for h, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 number = lambda name: int(h[name]) if h.get(name) else None  # noqa: B023, E731
                 kind = h["warc-type"]
                 first = kind != "continuation"
