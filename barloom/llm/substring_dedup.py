@@ -11,7 +11,7 @@
 3. Words covered by a window that also starts in a document with a smaller id are removed.
 
 The sketch has twice as many cells a row as there are windows, up to MOST_CELLS, so what is broadcast is at most
-DEPTH * MOST_CELLS / 8 = 64 MB; beyond about 100 million windows more windows go to the exact pass, which is an
+DEPTH * MOST_CELLS / 8 = 128 MB; beyond about 270 million windows more windows go to the exact pass, which is an
 ordinary distributed aggregation and join.
 
 Defined cases: null and blank texts have no words and hash the empty string. A document with a null doc_id
@@ -34,7 +34,7 @@ from barloom.llm.common import durable, partitions, small_side, text_bytes
 from barloom.llm.grams import U, Hasher, run_hashes, slices
 
 DEPTH = 2
-LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 28
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 29
 PIECE = 1 << 20
 #: A task hands its cells over after so many windows, which bounds its memory.
 FLUSH = 2 << 20
@@ -43,14 +43,17 @@ WHOLE = -1
 
 
 def cells_for(docs: DataFrame) -> int:
-    """Cells in a row of the sketch: a power of two, at least twice the words, estimated from the characters."""
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(MOST_CELLS, max(LEAST_CELLS, 1 << int(2 * chars / 6).bit_length()))
+    """Cells in a row of the sketch: twice the words, estimated from the bytes, in whole pieces; so it is equally full at every size."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    unit = PIECE if size / 3 >= PIECE else LEAST_CELLS
+    return min(MOST_CELLS, max(LEAST_CELLS, -(-size // 3 // unit) * unit))
 
 
 def _cells(h: np.ndarray, row: int, cells: int) -> np.ndarray:
     out = h * U((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[row])
-    out >>= U(64 - (cells.bit_length() - 1))
+    out >>= U(32)
+    out *= U(cells)
+    out >>= U(32)
     return out.astype(np.uint32)
 
 
