@@ -155,6 +155,11 @@ def _bits(sent, cells: int) -> list[np.ndarray]:
     return _LOADED[sent.id]
 
 
+def _forget() -> None:
+    """Frees the sketch in a worker that has no more use for it."""
+    _LOADED.clear()
+
+
 class _Sent:
     """A broadcast with an id that is equal in all workers."""
 
@@ -189,20 +194,37 @@ def _repeated(width: int, cells: int, sent: _Sent):
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of positions as their runs: pairs of the first and last, packed, as most windows to remove follow one another."""
+    for batch in batches:
+        out = []
+        for row in batch.column(2):
+            at = np.sort(row.values.to_numpy(zero_copy_only=False))
+            ends = np.flatnonzero(np.diff(at) != 1)
+            out.append(np.stack([at[np.append(0, ends + 1)], at[np.append(ends, len(at) - 1)]], axis=1).astype(np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "key", "at"])
+
+
+def _positions(runs: bytes) -> np.ndarray:
+    pairs = np.frombuffer(runs, np.int32).reshape(-1, 2)
+    return np.concatenate([np.arange(a, z + 1) for a, z in pairs])
+
+
 def _remove(width: int):
     """Words left of each text: given the first positions of the windows to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = [Hasher(81)]
+        _forget()
         for batch in slices(batches):
-            texts, marks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            todo = [i for i, m in enumerate(marks) if m and WHOLE not in m]
+            texts, marks = batch.column(1).to_pylist(), {i: _positions(m) for i, m in enumerate(batch.column(2).to_pylist()) if m}
+            todo = [i for i, m in marks.items() if m[0] != WHOLE]
             gone = {}
-            for i in (i for i, m in enumerate(marks) if m and WHOLE in m):
+            for i in (i for i, m in marks.items() if m[0] == WHOLE):
                 n = len(texts[i].split())
                 gone[i] = np.full(n, n >= width)
             for i, (n, (h,)) in zip(todo, run_hashes([texts[i] for i in todo], width, hasher), strict=True):
-                begins = np.flatnonzero(np.isin(h, h[np.asarray(marks[i])]))
+                begins = np.flatnonzero(np.isin(h, h[marks[i]]))
                 edge = np.zeros(n + 1, np.int64)
                 np.add.at(edge, begins, 1), np.add.at(edge, begins + width, -1)
                 gone[i] = np.cumsum(edge)[:n] > 0
@@ -238,7 +260,7 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, at): for each text the first positions of windows that start in a smaller document, or WHOLE for copies."""
+    """(doc_id, key, at): for each text the first positions of windows that start in a smaller document, or WHOLE for copies, as packed runs."""
     spark = docs.sparkSession
     again = durable(copies(docs), "copies")
     docs = docs.select("doc_id", "text", _key()).join(small_side(again), ["doc_id", "key"], "left_anti")
@@ -250,7 +272,8 @@ def removals(docs: DataFrame, width: int) -> DataFrame:
     least = found.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low")
     later = found.join(least, ["h", "g"]).where("doc_id > low")
     marks = later.groupBy("doc_id", F.shiftright("at", 32).alias("key")).agg(F.collect_set(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).alias("at"))
-    return marks.unionByName(again.withColumn("at", F.array(F.lit(WHOLE).cast("long"))))
+    every = marks.unionByName(again.withColumn("at", F.array(F.lit(WHOLE).cast("long"))))
+    return every.mapInArrow(_runs, "doc_id long, key long, at binary")
 
 
 def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
