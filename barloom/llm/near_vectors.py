@@ -5,9 +5,11 @@ each has a codebook of b random unit vectors, and the b * b directions are all p
 the filters whose direction it exceeds the cap's height on. They are list-decoded: scores of the halves are sorted, and
 only pairs of codewords that reach the height are visited. Vectors that share a filter are compared exactly.
 
-The height is set so that about BUCKET vectors pass each filter, whatever their number, and b so that a pair at the
-threshold shares FOUND filters of a code on average. Hits within one code depend on each other, through the halves, so
-CODES independent codes are used: a pair is lost only if it shares no filter of any of them (measured: README).
+The height is set so that about BUCKET vectors pass each filter, whatever their number: by the share of the sphere that a
+cap of it covers, for the vectors' own length. b begins where a pair at the threshold shares FOUND filters of a code on
+average. Hits within one code depend on each other, through the halves, so CODES independent codes are used: a pair is
+lost only if it shares no filter of any of them. b then grows until at most MISSED of PAIRS simulated pairs at the
+threshold are lost, so that the loss does not follow the number of vectors (measured: README).
 
 Equal vectors are one class and are never compared with each other. A filter that more than BLOCK vectors pass is
 compared in pairs of blocks, each a task of its own. A comparison hands over two numbers for each vector of a
@@ -21,6 +23,7 @@ vec_id are one vector in components and several in counts of links, as long as t
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -32,29 +35,59 @@ from pyspark.sql import functions as F
 from barloom.llm.common import connected_components, durable
 
 BUCKET = 256
-FOUND = 6.0
-CODES = 3
+FOUND = 3.0
+CODES = 6
+#: Pairs at the threshold that may be lost, and how many are simulated; closer pairs are lost far more rarely.
+MISSED = 0.001
+PAIRS = 4096
 BLOCK = 1024
 #: Shorter vectors are padded with zeros, as few dimensions have too few directions for a product code.
 LEAST_DIMS = 32
 
 
-def _tail(x: float) -> float:
-    return 0.5 * math.erfc(x / math.sqrt(2))
-
-
-def plan(n: int, least: float) -> tuple[float, int]:
-    """Height of the caps, in standard deviations of a score, and codewords of each half."""
-    share = min(0.05, BUCKET / max(n, 1))
-    low, high = 0.0, 40.0
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if _tail(mid) > share else (low, mid)
-    rest = math.sqrt(1 - least * least)
-    x = np.linspace(low, low + 8, 4001)
-    dense = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-    both = float(np.sum(dense * np.array([_tail((low - least * v) / rest) for v in x])) * (x[1] - x[0]))
-    return low, max(2, math.ceil(math.sqrt(FOUND / both)))
+def _tail(dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points, and the share of the unit sphere whose coordinate is above each."""
+    # Cosines of even angles: fine steps where caps of many dimensions end, none lost at the poles.
+    angle = np.linspace(np.pi, 0, 40_001)
+    dense = np.sin(angle) ** (dims - 2)
+    below = np.concatenate([[0.0], np.cumsum((dense[1:] + dense[:-1]) / 2)])
+    return np.cos(angle), 1 - below / below[-1]
+
+
+def missed(dims: int, height: float, b: int, least: float) -> float:
+    """Share of PAIRS random pairs at the threshold that no filter of any code holds, measured on the codes that are used."""
+    draw = np.random.default_rng([97, dims])
+    x, y = draw.normal(size=(2, PAIRS, dims))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y = least * x + math.sqrt(1 - least * least) * y / np.linalg.norm(y, axis=1)[:, None]
+    found = np.zeros(PAIRS, bool)
+    for c in range(CODES):
+        code = Code(dims, height, b, 41 + c)
+        for s in range(0, PAIRS, 256):
+            own = s + np.flatnonzero(~found[s : s + 256])
+            one, two = (row * b * b + f for row, f in (code.decode(v[own]) for v in (x, y)))
+            found[own[np.intersect1d(one, two, assume_unique=True) // (b * b)]] = True
+    return 1 - float(found.mean())
+
+
+@functools.lru_cache(256)
+def plan(n: int, least: float, dims: int) -> tuple[float, int]:
+    """Height of the caps, in standard deviations of a score, and codewords of each half, for n vectors of a length."""
+    dims = max(dims, LEAST_DIMS)
+    at, above = _tail(dims)
+    low = float(np.interp(-min(0.05, BUCKET / max(n, 1)), -above, at))
+    # A pair at the threshold, seen from a direction: the first score is x, the second follows on the sphere across it.
+    x = np.linspace(low, 1, 4001)[:-1]
+    dense = (1 - x * x) ** ((dims - 3) / 2)
+    across, above = _tail(dims - 1)
+    second = np.interp((low - least * x) / np.sqrt((1 - least * least) * (1 - x * x)), across, above)
+    every = math.sqrt(math.pi) * math.gamma((dims - 1) / 2) / math.gamma(dims / 2) if dims < 300 else math.sqrt(2 * math.pi / (dims - 1.5))
+    both = float(np.sum(dense * second)) * (x[1] - x[0]) / every
+    height, b = low * math.sqrt(dims), max(2, math.ceil(math.sqrt(FOUND / both)))
+    while missed(dims, height, b, least) > MISSED:
+        b = math.ceil(b * 1.1)
+    return height, b
 
 
 class Code:
@@ -87,7 +120,13 @@ class Code:
         return row_of, first * self.b + order[row_of, place]
 
 
-def _assign(height: float, b: int):
+def _rounded(n: int) -> int:
+    """n up to an eighth of its power of two; below that all caps have the largest share."""
+    step = 1 << max(0, n.bit_length() - 4)
+    return max(BUCKET * 20, -(-n // step) * step)
+
+
+def _assign(plans: dict[int, tuple[float, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, list[Code]] = {}
         for batch in batches:
@@ -95,6 +134,7 @@ def _assign(height: float, b: int):
             lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
             for dims in np.unique(lengths):
                 at = np.flatnonzero(lengths == dims)
+                height, b = plans[int(dims)]
                 if dims not in codes:
                     codes[dims] = [Code(int(dims), height, b, 41 + c) for c in range(CODES)]
                 for s in range(0, len(at), 512):
@@ -188,9 +228,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     classes = durable(
         rows.where("same is not null").groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("embedding", "vec_id").alias("embedding")), "vectors"
     )
-    n = classes.count()
-    height, b = plan(n, least)
-    passed = classes.select("rep", "copies", "embedding").repartition("rep").mapInArrow(_assign(height, b), "dims int, filter long, rep long, copies long, v binary, filters binary")
+    # Filters hold vectors of one length, so each length has a plan of its own; nearly equal numbers share it.
+    lengths = classes.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).collect()
+    plans = {r["dims"]: plan(_rounded(r["n"]), least, max(r["dims"], LEAST_DIMS)) for r in lengths}
+    passed = classes.select("rep", "copies", "embedding").repartition("rep").mapInArrow(_assign(plans), "dims int, filter long, rep long, copies long, v binary, filters binary")
     sizes = passed.groupBy("dims", "filter").agg(F.count("*").alias("n")).where("n > 1").select("dims", "filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"))
     side = passed.join(sizes, ["dims", "filter"]).withColumn("side", F.pmod(F.xxhash64("rep"), "g").cast("int"))
     blocks = side.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("dims", "filter", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "rep", "copies", "v", "filters")

@@ -193,6 +193,19 @@ def test_vectors(spark, monkeypatch):
     assert near_vectors.near_duplicates(table.where("false")).count() == 0
 
 
+def test_vectors_at_the_threshold_in_a_large_table(spark, monkeypatch):
+    # A bucket of a quarter vector makes caps as high as those of three million vectors.
+    monkeypatch.setattr(near_vectors, "BUCKET", 0.25)
+    r = np.random.default_rng(44)
+    x, y = r.normal(size=(2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    found = near_vectors.near_duplicates(table).where("n_links > 0").count() / 3000
+    assert found >= 0.995
+
+
 # 5
 
 
