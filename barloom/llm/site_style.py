@@ -6,14 +6,14 @@ normalised entropy of the pages that carry the same content, as templates repeat
 presented (``presentation``: an article or main part is content, navigation, forms, adverts and the like are not, links
 make up little of a content node). A branch is removed from a page when its importance is low.
 
-1. ``branches``: each page's blocks, one row for each (host, style path, content), counted with map-side combining, so
-   that a host with a third of all pages is spread by its contents.
+1. ``branches``: each page's blocks, one row for each (host, style path, content, page), where pages of a host with the
+   same blocks are one; a host with a third of all pages is spread by its contents and pages.
 2. ``importance``: (host, path) to importance.
 3. ``extract``: each page again, without its unimportant branches.
 
 Defined cases: null and empty pages have an empty text; so have pages without any kept block. Pages whose url is null or names no
 host are a site of their own each path. A style path seen on fewer than LEAST_PAGES pages tells nothing by its entropy and is kept.
-Repeated rows count as pages of their own. Broken mark-up is read to its end; unclosed tags end with their parent.
+Copies of a page on a host count once, as they say nothing of its templates. Broken mark-up is read to its end; unclosed tags end with their parent.
 """
 
 from __future__ import annotations
@@ -34,11 +34,11 @@ LEAST_PAGES = 4
 #: A node is removed if it is less important than this.
 LEAST_IMPORTANCE = 0.4
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACE = re.compile(r"\s+")
 #: Elements by how HTML defines them (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg xmp noframes math object select".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noframes select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -141,10 +141,10 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int, int]]:
             continue
         names, hidden = [], False
         for name, value in _ATTRIBUTE.findall(m["attrs"]):
-            value = value.strip("\"'").lower()
-            if name.lower() in ("class", "id", "role"):
+            name, value = name.lower(), value.strip("\"'").lower()
+            if name in ("class", "id", "role"):
                 names.append(re.sub(r"\d+", "", value))
-            elif name.lower() == "hidden" or value == "true":
+            elif name == "hidden" or name == "aria-hidden" and value == "true":
                 hidden = True
         tags.append(tag)
         path.append("dialog" if hidden else f"{tag}.{' '.join(names)}" if names else tag)
@@ -167,22 +167,27 @@ def _branches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for site, page in zip(batch["host"], batch["html"], strict=True):
             seen: dict[tuple[str, str], int] = {}
+            whole = hashlib.blake2b(digest_size=8)
             for path, text, link, size in blocks(page):
-                key = (_label(path), int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), signed=True), presentation(path))
+                digest = hashlib.blake2b(text.encode(), digest_size=8).digest()
+                key = (_label(path), int.from_bytes(digest, signed=True), presentation(path))
+                whole.update(key[0].encode() + b"\0" + digest)
                 seen[key] = max(seen.get(key, 0), int(100 * link / max(1, size)))
-            rows.extend((site, *k, x) for k, x in seen.items())
-        yield pd.DataFrame(rows, columns=["host", "path", "content", "sign", "links"])
+            copy = int.from_bytes(whole.digest(), signed=True)
+            rows.extend((site, *k, x, copy) for k, x in seen.items())
+        yield pd.DataFrame(rows, columns=["host", "path", "content", "sign", "links", "page"])
 
 
 def importance(pages: DataFrame) -> DataFrame:
     """host, path, sign (how it is presented), pages, importance: the style nodes of all sites.
 
-    With m pages that have the node, a content on n of them has the entropy log n / log m; the importance is one minus the
+    With m different pages that have the node, a content on n of them has the entropy log n / log m; the importance is one minus the
     mean over the pages, times the share of characters outside links; presentation as content makes it one, as
     surroundings zero.
     """
-    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(_branches, "host string, path string, content long, sign int, links int")
-    contents = rows.groupBy("host", "path", "sign", "content").agg(F.count("*").alias("n"), F.avg("links").alias("links"))
+    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(_branches, "host string, path string, content long, sign int, links int, page long")
+    different = rows.groupBy("host", "path", "sign", "content", "page").agg(F.max("links").alias("links"))
+    contents = different.groupBy("host", "path", "sign", "content").agg(F.count("*").alias("n"), F.avg("links").alias("links"))
     nodes = contents.groupBy("host", "path", "sign").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("h"), F.avg("links").alias("links"))
     entropy = F.when(F.col("pages") >= LEAST_PAGES, F.col("h") / F.col("pages") / F.log("pages")).otherwise(F.lit(0.0))
     by_content = (1 - entropy) * (1 - F.col("links") / 100)

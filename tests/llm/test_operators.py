@@ -153,6 +153,26 @@ def test_repeated_branches_of_a_site_are_removed(spark):
     assert all("Template" not in out[i] and out[i] for i in range(12)) and out[50] == "only" and out[51].startswith("Template") and out[52] == ""
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    r = random.Random(33)
+    page = lambda: f"<div class='head'>Words of the site</div><div class='post'><p>{sentence(r, 12)}</p></div>"
+    copy = page()
+    rows = [(i, "http://site.example/a", copy if i < 300 else page()) for i in range(330)]
+    out = {x["page_id"]: x["main_text"] for x in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == re.search("<p>(.*?)</p>", html)[1] for i, _, html in rows)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article style='overflow:hidden'>a</article>", "a"), ("<article data-hidden title='no hidden part'>b</article>", "b"), ("<p data-class='menu' title=\"class='ads'\">c</p>", "c"), ("<p x-aria-hidden=true>d", "d"),
+        ("<p aria-hidden='true'>no</p><p HIDDEN>no</p><p a=b hidden=''>no</p><p Class=menu>no</p>e", "e"), ("<p aria-hidden='false'>f", "f"), ("<p>x is <math><mi>y</mi></math> z<object data='a'>g</object>", "x is y zg"),
+    ],
+)
+def test_attributes_by_exact_name_and_what_math_and_objects_hold(page, text):
+    assert site_style.main_text(page, frozenset()) == text
+
+
 # 4
 
 
