@@ -14,7 +14,7 @@
 ``proximity_matches`` uses the same index for terms that lie near each other in any order.
 
 Defined cases: null, empty and wordless texts have no words and no hits; such items occur nowhere. Rows with the same
-doc_id and text get equal results, as do repeated items. Very long texts are handled whole.
+doc_id and text get equal results, as do repeated items; a null doc_id is one like any other. Very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -181,7 +181,9 @@ class Index:
     def exact_matches(self) -> DataFrame:
         """Per row of the corpus: doc_id, key, n_words, n_hit, items (list of item ids), spans (list of [from, to) in words)."""
         sent = self.spark.sparkContext.broadcast((self.benchmark.items, self.benchmark.ids, self.benchmark.width))
-        rows = self.forward.join(self.starts(), ["doc_id", "key"], "left")
+        # Rows without a doc_id are told apart by their text alone, and must meet their starts all the same.
+        found = self.starts().withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("key", "_key")
+        rows = self.forward.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("key") == F.col("_key")), "left")
 
         def run(batches):
             items, ids, width = sent.value

@@ -329,6 +329,16 @@ def test_benchmark_passages(spark):
     assert decontaminate.decontaminate(d.where("false"), bench).count() == 0
 
 
+def test_benchmark_passages_without_a_doc_id(spark):
+    r = random.Random(77)
+    item = sentence(r, 15)
+    texts = [f"{sentence(r, 5)} {item}", sentence(r, 20), item, f"{sentence(r, 5)} {item}", None]
+    d = docs(spark, texts, ids=[None, None, 1, None, None])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = Counter(tuple(x) for x in decontaminate.digests(decontaminate.decontaminate(d, bench)).collect())
+    assert got == Counter((i, *x) for i, x in zip([None, None, 1, None, None], brute_benchmark(texts, [(1, item)], 10), strict=True))
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "quick brown fox jumps over lazy dogs near river banks")], "item_id long, text string")
     d = docs(spark, ["banks of the river where lazy dogs and a quick brown fox jumps over near", "quick", "nothing"])
