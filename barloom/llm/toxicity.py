@@ -41,7 +41,9 @@ _DIGIT = re.compile(r"\d")
 _UPPER = re.compile(r"[A-Z\u00C0-\u00DE]")
 _SHOUTED = re.compile(r"\b[A-Z\u00C0-\u00DE]{3,}\b")
 _REPEATED = re.compile(r"(\w)\1\1")
-_SPOKEN = re.compile(r"(?:\b\w[ .*_-]){3,}\w\b")
+#: What (?:\b\w[ .*_-]){3,}\w\b finds; without a way back, so that a run of any length takes no memory. An underscore
+#: is part of a word, hence it can only stand before the last letter.
+_SPOKEN = re.compile(r"\b\w(?:(?:[ .*-]\w\b)++[ .*-]\w_\w\b|(?:[ .*-]\w\b){3,}+)")
 NAMES = ("words", "word_hits", "word_rate", "word_weight", "start_hits", "start_rate", "start_weight", "most_weight", "signed_hits", "near_you", "you_rate", "capitals", "shouted", "punctuation", "marks", "digits", "repeated", "spaced")
 
 
@@ -103,7 +105,7 @@ class Lexicon:
         points = max(0, size - letters - digits - text.count(" ") - text.count("\n"))
         return [
             float(np.log1p(len(found))), word_hits, word_hits / n, word_weight / n, start_hits, start_hits / n, start_weight / n, most, float(signed), float(near), you / n,
-            upper / letters, shouted / n, points / size, marks / n, digits / size, len(_REPEATED.findall(low)) / n, float(len(_SPOKEN.findall(text)) if size < 1 << 20 else 0),
+            upper / letters, shouted / n, points / size, marks / n, digits / size, len(_REPEATED.findall(low)) / n, float(sum(1 for _ in _SPOKEN.finditer(text))),
         ]
 
 

@@ -116,6 +116,22 @@ def test_toxicity_separates_and_calibrates(spark):
     assert {x["score"] for x in toxicity.score(d, empty).collect()} == {0.0}
 
 
+def test_spaced_words_are_counted_at_every_length():
+    lexicon, at = toxicity.Lexicon({}, {}), toxicity.NAMES.index("spaced")
+    for size in ((1 << 20) - 1, 1 << 20, (1 << 20) + 1):
+        text = "h.o.r.r.i.d and v i l e, " + "word " * (size // 5)
+        assert lexicon.features(text[: size - 8] + " n_a_s-t" + "")[at] == 2 and lexicon.features(text[: size - 8] + " b*a*d_x")[at] == 3
+    assert lexicon.features("a " * (1 << 21))[at] == 1
+
+
+def test_spaced_words_are_those_of_the_plain_pattern():
+    r, plain = random.Random(22), re.compile(r"(?:\b\w[ .*_-]){3,}\w\b")
+    for signs in ("ab _.", "a _", "a b-*_", "a. _x1\u00e9!", "a \n_"):
+        for _ in range(4000):
+            t = "".join(r.choice(signs) for _ in range(r.randrange(5, 24)))
+            assert [m.span() for m in toxicity._SPOKEN.finditer(t)] == [m.span() for m in plain.finditer(t)], t
+
+
 def test_isotonic_does_not_fall():
     r = np.random.default_rng(1)
     x = r.normal(size=300)
