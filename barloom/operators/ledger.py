@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -96,17 +98,31 @@ class Position:
 
 
 def cost_basis(fills: DataFrame, point_value: int, divisor: int) -> DataFrame:
-    """fills with position, basis, closed, opened and realised: recursive, so a grouped map by instrument."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts_us", "seq"], kind="stable")
-        p, out = Position(point_value, divisor), []
-        for side, qty, price in zip(frame["side"].tolist(), frame["qty"].tolist(), frame["price"].tolist(), strict=True):
-            closed, opened, gained = p.apply(side, qty, price)
-            out.append((p.qty, p.basis, closed, opened, gained))
-        made = np.array(out, dtype=np.int64).reshape(len(frame), 5)
-        return frame.assign(**dict(zip(("position", "basis", "closed", "opened", "realised"), made.T, strict=True)))
-
-    run.__annotations__.clear()
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fills.schema] + [f"{n} long" for n in ("position", "basis", "closed", "opened", "realised")])
-    return fills.groupBy("instrument").applyInPandas(run, schema)
+    """fills with position, basis, closed, opened and realised: recursive within a flat-to-flat trade, and each trade begins anew.
+
+    Trades are dealt out and sorted; a worker reads them in batches and carries the position from one to the next, so
+    neither an instrument nor a long trade is ever held whole. A fill that turns the position is split and put together again.
+    """
+    rows = trade_ids(fills).withColumn("_n", F.row_number().over(by_order()))
+    turns = F.col("ends") & (F.col("position") != 0)
+    parts = rows.withColumn("_turns", turns).withColumn("_part", F.explode(F.when(turns, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    qty = F.when(F.col("_part") == 1, F.abs("position")).when(F.col("_turns"), F.abs("before")).otherwise(F.col("qty")).cast("long")
+    parts = parts.select(*fills.columns, "_n", "_part", (F.col("trade") + F.col("_part")).alias("_trade"), qty.alias("_qty"))
+    made = ("position", "basis", "closed", "opened", "realised")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, p = None, Position(point_value, divisor)
+        for frame in frames:
+            out = []
+            for key, side, n, price in zip(zip(frame["instrument"].tolist(), frame["_trade"].tolist(), strict=True), frame["side"].tolist(), frame["_qty"].tolist(), frame["price"].tolist(), strict=True):
+                if key != own:
+                    own, p = key, Position(point_value, divisor)
+                closed, opened, gained = p.apply(side, n, price)
+                out.append((p.qty, p.basis, closed, opened, gained))
+            values = np.array(out, dtype=np.int64).reshape(len(frame), 5)
+            yield frame.assign(**dict(zip(made, values.T, strict=True)))
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema] + [f"{n} long" for n in made])
+    done = parts.repartition("instrument", "_trade").sortWithinPartitions("instrument", "_trade", "_n").mapInPandas(run, schema)
+    whole = done.groupBy("instrument", "_n").agg(F.first(F.struct(*fills.columns)).alias("_fill"), F.max_by(F.struct("position", "basis"), "_part").alias("_after"), *(F.sum(c).alias(c) for c in made[2:]))
+    return whole.select("_fill.*", "_after.*", *made[2:])

@@ -92,3 +92,23 @@ def test_reports(spark):
     assert "<script" not in page and "r&lt;1&gt;" in page and page.count("<tr>") > 30
     assert report.money(-150000000) == "-1.50000000" and report.figure(float("nan")) is None and report.iso(1500) == "1970-01-01T00:00:00.001Z"
     assert report.path([], 1, 1) == "" and report.path([(0, 5), (1, 5)], 10, 10) == "M0.00,5.00L10.00,5.00"
+
+
+def test_cost_basis_is_dealt_by_trade(spark):
+    import random
+
+    from barloom.operators import ledger
+
+    r = random.Random(12)
+    rows = [(k, t, t, r.choice((-1, 1)), r.randrange(1, 6), r.randrange(900, 1100)) for k in ("a", "b") for t in range(400)]
+    rows += [("long", t, t, 1, 3, 1000 + t % 7) for t in range(500)] + [("long", 500, 500, -1, 2000, 990)]
+    frame = ledger.cost_basis(spark.createDataFrame(rows, "instrument string, ts_us long, seq long, side int, qty long, price long"), 100, 3)
+    want = {}
+    for k in ("a", "b", "long"):
+        p = ledger.Position(100, 3)
+        for _, t, _, side, qty, price in (x for x in rows if x[0] == k):
+            closed, opened, gained = p.apply(side, qty, price)
+            want[k, t] = (side, qty, price, p.qty, p.basis, closed, opened, gained)
+    got = {(x["instrument"], x["seq"]): tuple(x)[3:] for x in frame.collect()}
+    assert got == want and frame.count() == len(rows)
+    assert "FlatMapGroups" not in frame._jdf.queryExecution().toString()
