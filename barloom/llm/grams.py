@@ -1,7 +1,8 @@
-"""Vectorised hashes of words and of runs of words, over many UTF-8 texts at once.
+"""Hashes of runs of words in UTF-8 texts.
 
-A text's bytes are hashed by prefix sums modulo 2**64, so that neither words nor runs of words are ever made
-as Python objects. All functions take a list of ``bytes`` and work on whole texts.
+A word is hashed by 128-bit xxh3 over its bytes. A run's hash has two halves of 64 bits: each adds up its words' halves times a random
+odd number for each place (multilinear hashing), so nothing in how words follow one another can make different runs meet more often
+than chance does: among 10**13 different runs, two of equal hash are met with a probability of about 10**-12.
 """
 
 from __future__ import annotations
@@ -10,20 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_128_digest
 
 U = np.uint64
-#: Texts are hashed in groups of about this many bytes; a longer text is a group of its own.
-GROUP_BYTES = 256 << 10
-
-
-def words_by(pattern_is_word) -> np.ndarray:
-    return np.array([bool(pattern_is_word(b)) for b in range(256)])
-
-
-#: Words are runs of anything but space and the controls 9 to 13.
-SPACED = words_by(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
-#: Words are runs of digits, lower-case letters and bytes from 128 on.
-PLAIN = words_by(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
+#: The longest runs that callers ask for.
+MOST_WORDS = 256
+_PLACES = np.random.default_rng(81).integers(0, 1 << 63, (2, MOST_WORDS + 1), dtype=np.int64).astype(U) * U(2) + U(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,51 +27,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, made longer as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.up, self.down = base, np.ones(1, U), np.ones(1, U)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            steps = np.full(n, U(self.base)), np.full(n, U(pow(self.base, -1, 1 << 64)))
-            for s in steps:
-                s[0] = 1
-            self.up, self.down = (np.cumprod(s, dtype=U) for s in steps)
-        return self.up, self.down
-
-
-class Hasher:
-    """Word and run hashes for one seed; two seeds give 128 bits."""
-
-    def __init__(self, seed: int, is_word: np.ndarray = SPACED):
-        draw = np.random.default_rng(seed)
-        self.of_byte = draw.integers(0, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
-        self.in_word = Powers(int(draw.integers(1 << 40, 1 << 62)) | 1)
-        self.in_run = Powers(int(draw.integers(1 << 40, 1 << 62)) | 1)
-        self.is_word = is_word
-
-    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        up, down = self.in_word.to(len(data) + 1)
-        sums = np.empty(len(data) + 1, U)
-        sums[0] = 0
-        np.cumsum(self.of_byte[data] * up[: len(data)], dtype=U, out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts])
-
-    def runs(self, words: np.ndarray, k: int) -> np.ndarray:
-        """Hash of the k words from each position on; of fewer at the end, which callers must not use."""
-        n = len(words)
-        if n < k:
-            return np.empty(0, U)
-        up, down = self.in_run.to(n + 1)
-        sums = np.empty(n + 1, U)
-        sums[0] = 0
-        np.cumsum(words * up[:n], dtype=U, out=sums[1:])
-        return mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in pieces, so that only a few texts at a time are Python objects."""
     for batch in batches:
@@ -86,46 +34,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
-def groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about GROUP_BYTES."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > GROUP_BYTES:
-            yield at, i
-            at, size = i, 0
-        size += len(t) + 1
-    if at < len(texts):
-        yield at, len(texts)
-
-
-def spans(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all texts with a space between, starts and ends of their words, and each text's first word (one
-    more entry at the end)."""
-    data = np.frombuffer(b" ".join(texts), np.uint8)
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = is_word[data]
-    step = np.diff(inside)
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return data, starts, ends, np.searchsorted(starts, offsets)
-
-
-def run_hashes(texts: list[bytes], k: int, hashers: list[Hasher], whole_if_short: bool = False) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """For each text: its number of words, and for each hasher the hashes of its runs of k words in order.
+def run_hashes(text: bytes, k: int, whole_if_short: bool = False) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of words (anything but space and the controls 9 to 13), and both halves of the hashes of a text's runs of k words in order.
 
     A text of fewer words has no run, or with whole_if_short one run of all its words if it has any.
     """
-    is_word = hashers[0].is_word
-    for a, b in groups(texts):
-        data, starts, ends, first = spans(texts[a:b], is_word)
-        by_word = [h.words(data, starts, ends) for h in hashers]
-        by_run = [h.runs(w, k) for h, w in zip(hashers, by_word, strict=True)]
-        for i in range(b - a):
-            p, q = int(first[i]), int(first[i + 1])
-            n = q - p
-            if n >= k:
-                yield n, [r[p : q - k + 1] for r in by_run]
-            elif n and whole_if_short:
-                yield n, [h.runs(w[p:q], n) for h, w in zip(hashers, by_word, strict=True)]
-            else:
-                yield n, [np.empty(0, U) for _ in hashers]
+    words = text.split()
+    n = len(words)
+    size = k if n >= k else n if whole_if_short else 0
+    if not size:
+        return n, np.empty(0, U), np.empty(0, U)
+    each = np.frombuffer(b"".join(map(xxh3_128_digest, words)), U).reshape(-1, 2)
+    halves = []
+    for half, place in enumerate(_PLACES):
+        word = np.ascontiguousarray(each[:, half])
+        total, term = np.full(n - size + 1, size, U) * place[MOST_WORDS], np.empty(n - size + 1, U)
+        for i in range(size):
+            np.multiply(word[i : i + len(total)], place[i], out=term)
+            total += term
+        halves.append(mix(total))
+    return n, halves[0], halves[1]

@@ -19,6 +19,7 @@ null component. Rows that share a doc_id are one document whose links are merged
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import connected_components, durable, text_bytes
-from barloom.llm.grams import U, Hasher, mix, run_hashes, slices
+from barloom.llm.grams import U, mix, run_hashes, slices
 
 BANDS, ROWS = 28, 4
 PERMUTATIONS = BANDS * ROWS
@@ -46,22 +47,21 @@ def _signatures(k: int):
     """From Arrow batches of (doc_id, bytes): doc_id, n, set digest, bands, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashers = [Hasher(101), Hasher(102)]
         draw = np.random.default_rng(103)
         times = (draw.integers(0, 1 << 62, PERMUTATIONS).astype(U) * U(2) + U(1))[:, None]
         plus = draw.integers(0, 1 << 62, PERMUTATIONS).astype(U)[:, None]
         band_seed = mix(np.arange(1, BANDS + 1).astype(U))
         for batch in slices(batches):
-            ids, texts = batch.column(0), [t.lower() for t in batch.column(1).to_pylist()]
-            n_set, digests, bands, sketches, wholes = [], [], [], [], []
-            for _, (one, two) in run_hashes(texts, k, hashers, whole_if_short=True):
+            ids, n_set, digests, bands, sketches, wholes = batch.column(0), [], [], [], [], []
+            for text in batch.column(1):
+                _, one, two = run_hashes(text.as_py().lower(), k, whole_if_short=True)
                 one, at = np.unique(one, return_index=True)
                 n_set.append(len(one))
                 if not len(one):
                     digests.append(None), bands.append(None), sketches.append(None), wholes.append(None)
                     continue
-                two = two[at]
-                digests.append(np.array([one.sum(dtype=U), mix(one).sum(dtype=U) ^ mix(two).sum(dtype=U)], U).tobytes())
+                # Equal digests are equal sets: of all shingles' 128 bits, in order.
+                digests.append(hashlib.blake2b(one.tobytes() + two[at].tobytes(), digest_size=32).digest())
                 low = np.full(PERMUTATIONS, ~U(0))
                 for i in range(0, len(one), 2048):
                     np.minimum(low, (one[None, i : i + 2048] * times + plus).min(axis=1), out=low)

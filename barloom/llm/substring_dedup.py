@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import durable, partitions, small_side, text_bytes
-from barloom.llm.grams import U, Hasher, run_hashes, slices
+from barloom.llm.grams import U, run_hashes, slices
 
 DEPTH = 2
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 29
 PIECE = 1 << 20
 #: A task hands its cells over after so many windows, which bounds its memory.
 FLUSH = 2 << 20
+#: Texts that are Python objects at a time, and windows that a task hands over at once.
+ROWS, PIECE_ROWS = 100, 1 << 16
 #: Stands for all windows of a text.
 WHOLE = -1
 
@@ -92,9 +94,10 @@ def _count(width: int, cells: int):
                     yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "piece": pa.array([int(piece)], pa.int32()), "twice": [twice], "cells": [_packed(values[cut[piece] : cut[piece + 1]] - np.uint32(piece * size))]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashers, found, n = [Hasher(81)], [], 0
-        for batch in slices(batches):
-            for _, (h,) in run_hashes(batch.column(0).to_pylist(), width, hashers):
+        found, n = [], 0
+        for batch in slices(batches, ROWS):
+            for text in batch.column(0):
+                _, h, _ = run_hashes(text.as_py(), width)
                 if len(h):
                     found.append(np.unique(h))
                     n += len(found[-1])
@@ -140,60 +143,43 @@ def sketch(docs: DataFrame, width: int, cells: int) -> DataFrame:
     return parts.repartition(partitions(docs), "row", "piece").sortWithinPartitions("row", "piece", "twice").mapInArrow(_merge(cells), "row int, piece int, full binary")
 
 
-_LOADED: dict[int, list[np.ndarray]] = {}
-
-
-def _bits(sent, cells: int) -> list[np.ndarray]:
-    """The broadcast sketch as bit arrays, unpacked once in each worker."""
-    if sent.id not in _LOADED:
-        _LOADED.clear()
-        size = min(PIECE, cells) // 8
-        rows = [np.zeros(cells // 8, np.uint8) for _ in range(DEPTH)]
-        for row, piece, full in sent.value[1]:
-            rows[row][piece * size : (piece + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(full), np.uint8)
-        _LOADED[sent.id] = rows
-    return _LOADED[sent.id]
-
-
-def _forget() -> None:
-    """Frees the sketch in a worker that has no more use for it."""
-    _LOADED.clear()
-
-
-class _Sent:
-    """A broadcast with an id that is equal in all workers."""
-
-    def __init__(self, broadcast, at: int):
-        self.broadcast, self.id = broadcast, at
-
-    @property
-    def value(self):
-        return self.broadcast.value
+def _repeated(width: int, cells: int, sent):
+    """Windows whose cells are all full, the first of each in its document, handed over in bounded pieces."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The merged sketch as bits, one array for each row, as the broadcast holds it: a worker has no second copy.
+        rows, out, n = sent.value, [], 0
 
-def _repeated(width: int, cells: int, sent: _Sent):
-    """Windows whose cells are all full, the first of each in its document."""
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*out, strict=True)], ["doc_id", "h", "g", "at"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashers, rows = [Hasher(81), Hasher(82)], _bits(sent, cells)
-        for batch in slices(batches, 100):
-            ids, out = batch.column(0).to_numpy(zero_copy_only=False), []
-            keys = batch.column(1).to_numpy(zero_copy_only=False)
-            for i, (_, (h, g)) in enumerate(run_hashes(batch.column(2).to_pylist(), width, hashers)):
+        for batch in slices(batches, ROWS):
+            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for i, text in enumerate(batch.column(2)):
+                _, h, g = run_hashes(text.as_py(), width)
                 full = np.ones(len(h), bool)
                 for row, bits in enumerate(rows):
                     c = _cells(h, row, cells)
                     full &= (bits[c >> np.uint32(3)] >> (np.uint32(7) - (c & np.uint32(7))).astype(np.uint8)) & 1 == 1
                 at = np.flatnonzero(full)
                 if len(at):
-                    at = at[np.unique(h[at], return_index=True)[1]]
+                    at = at[np.unique(_both(h[at], g[at]), return_index=True)[1]]
                     out.append((np.full(len(at), ids[i]), h[at], g[at], at + (keys[i] << 32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*out, strict=True)], ["doc_id", "h", "g", "at"])
+                    n += len(at)
+                if n >= PIECE_ROWS:
+                    yield done()
+                    out, n = [], 0
+        if out:
+            yield done()
 
     return run
 
 
+def _both(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Hashes as values of 128 bits that can be compared."""
+    return np.stack([h, g], axis=1).view("V16").ravel()
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists of positions as their runs: pairs of the first and last, packed, as most windows to remove follow one another."""
     for batch in batches:
@@ -214,17 +200,17 @@ def _remove(width: int):
     """Words left of each text: given the first positions of the windows to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = [Hasher(81)]
-        _forget()
-        for batch in slices(batches):
+        for batch in slices(batches, ROWS):
             texts, marks = batch.column(1).to_pylist(), {i: _positions(m) for i, m in enumerate(batch.column(2).to_pylist()) if m}
             todo = [i for i, m in marks.items() if m[0] != WHOLE]
             gone = {}
             for i in (i for i, m in marks.items() if m[0] == WHOLE):
                 n = len(texts[i].split())
                 gone[i] = np.full(n, n >= width)
-            for i, (n, (h,)) in zip(todo, run_hashes([texts[i] for i in todo], width, hasher), strict=True):
-                begins = np.flatnonzero(np.isin(h, h[marks[i]]))
+            for i in todo:
+                n, h, g = run_hashes(texts[i], width)
+                both = _both(h, g)
+                begins = np.flatnonzero(np.isin(both, both[marks[i]]))
                 edge = np.zeros(n + 1, np.int64)
                 np.add.at(edge, begins, 1), np.add.at(edge, begins + width, -1)
                 gone[i] = np.cumsum(edge)[:n] > 0
@@ -265,8 +251,10 @@ def removals(docs: DataFrame, width: int) -> DataFrame:
     again = durable(copies(docs), "copies")
     docs = docs.select("doc_id", "text", _key()).join(small_side(again), ["doc_id", "key"], "left_anti")
     cells = cells_for(docs)
-    merged = sketch(docs, width, cells).collect()  # at most DEPTH * MOST_CELLS bits
-    sent = _Sent(spark.sparkContext.broadcast((cells, [tuple(r) for r in merged])), hash((cells, id(merged))))
+    bits, size = [np.zeros(cells // 8, np.uint8) for _ in range(DEPTH)], min(PIECE, cells) // 8
+    for row, piece, full in sketch(docs, width, cells).collect():  # at most DEPTH * MOST_CELLS bits
+        bits[row][piece * size : (piece + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(full), np.uint8)
+    sent = spark.sparkContext.broadcast(bits)
     rows = docs.where("doc_id is not null").select("doc_id", "key", text_bytes(F.col("text")).alias("b"))
     found = rows.mapInArrow(_repeated(width, cells, sent), "doc_id long, h long, g long, at long")
     least = found.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low")

@@ -58,15 +58,24 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert common.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def thue_morse(n: int, flip: bool = False) -> str:
+    """Words of n letters that meet their complements under any polynomial hash modulo a power of two."""
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
 def test_run_hashes_equal_when_words_are(odd_texts):
     texts = [(t or "").encode() for t in odd_texts]
     seen = defaultdict(set)
-    for t, (n, (h,)) in zip(texts, grams.run_hashes(texts, 4, [grams.Hasher(1)]), strict=True):
+    for t in texts:
+        n, h, g = grams.run_hashes(t, 4)
         w = t.split()
         assert n == len(w) and len(h) == max(0, n - 3)
-        for i, x in enumerate(h.tolist()):
+        for i, x in enumerate(zip(h.tolist(), g.tolist(), strict=True)):
             seen[tuple(w[i : i + 4])].add(x)
-    assert all(len(x) == 1 for x in seen.values()) and len({next(iter(x)) for x in seen.values()}) == len(seen)
+    for half in (0, 1):
+        assert all(len(x) == 1 for x in seen.values()) and len({next(iter(x))[half] for x in seen.values()}) == len(seen)
+    assert [len(grams.run_hashes(b"one two", 4, x)[1]) for x in (False, True)] == [0, 1] and len(grams.run_hashes(b" ", 4, True)[1]) == 0
+    assert grams.run_hashes(b"a a", 4, True)[1] != grams.run_hashes(b"a a a", 4, True)[1]
 
 
 # 1
@@ -382,6 +391,28 @@ def test_windows(spark, odd_texts):
     assert [r["n_removed"] for r in substring_dedup.removal_digests(nulls).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("size", [1 << 10, 1 << 12])
+def test_long_words_that_fool_polynomial_hashes(spark, size):
+    texts = [" ".join(["same"] * 12 + [thue_morse(size, flip)]) for flip in (False, True)]
+    assert [r["n_removed"] for r in substring_dedup.removal_digests(docs(spark, texts)).collect()] == [0, 0]
+    words = [thue_morse(size), thue_morse(size, True), thue_morse(size)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs(spark, words), 4).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_texts_of_two_million_characters(spark):
+    r = random.Random(88)
+    long = " ".join(f"w{r.randrange(10**9)}" for _ in range(200_000))
+    texts = [long, long[: len(long) // 2] + " end", "short " + " ".join(long.split()[150_000:150_013])]
+    assert len(long) > 2_000_000
+    removed = {x["doc_id"]: x["n_removed"] for x in substring_dedup.removal_digests(docs(spark, texts)).collect()}
+    assert removed[0] == 0 and removed[1] >= len(texts[1].split()) - 2 and removed[2] == 13
+    near = {x["doc_id"]: x["component_id"] for x in minhash_dedup.near_duplicates(docs(spark, [long, long + " tail", "x"]), 4).collect()}
+    assert near == {0: 0, 1: 0, 2: 2}
+    bench = spark.createDataFrame([(1, " ".join(long.split()[180_000:180_020]))], "item_id long, text string")
+    assert {x["doc_id"]: x["n_hit"] for x in decontaminate.decontaminate(docs(spark, texts), bench).collect()} == {0: 20, 1: 0, 2: 0}
+
+
 def test_a_full_sketch_loses_nothing(spark, odd_texts, monkeypatch):
     monkeypatch.setattr(substring_dedup, "MOST_CELLS", 1 << 10)
     monkeypatch.setattr(substring_dedup, "LEAST_CELLS", 1 << 10)
