@@ -4,31 +4,39 @@ Features of a text: densities and counts of lexicon words and of lexicon word be
 words, shares of capitals, punctuation, digits, repeated letters and of words spelt with signs for letters. The lexicon is
 learned from the labels: words and word beginnings that toxic texts use far more often than others.
 
-What is learned comes from a bounded sample: at most about SAMPLE_ROWS different labelled texts, picked by a hash of the text
-over all rows. Near copies (texts that share the least hash of their word triples) count once, so that a group of
-copies does not fill the lexicon with its own words. The lexicon, the trees and the calibration use different folds.
+1. ``sample``: at most about SAMPLE_ROWS different labelled texts, whole, picked by a hash of the text over all rows. Near copies (texts
+   that share the least hash of their word triples) count once, so that a group of copies does not fill the lexicon with its own words.
+2. ``lexicons``: in how many texts of each label and fold a word or beginning is found is counted in tasks; only the up to MOST_LEXICON
+   most telling ones (a bound of the model's size) go to the driver.
+3. Features of the sample are made in tasks, from a lexicon that has not seen the row; the driver gets one row of numbers for each sampled text, and
+   grows the trees and the calibration on different folds.
+4. ``score``: the model, a few megabytes whatever the table's size, goes to the tasks.
 
 Defined cases: null, empty and blank texts have all features 0 and get the score of such a text. Rows whose label is
 null, or whose doc_id is null, are not learned from; a doc_id with several labels has the largest. Without labelled
-rows of both kinds every score is the share of toxic rows (0 without any). Very long texts are read whole.
+rows of both kinds every score is the share of toxic rows (0 without any). Repeated rows are learned from once. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import durable
+from barloom.llm.grams import run_hashes, slices
 
 SAMPLE_ROWS = 16_000
-#: Of a sampled text at most so many characters are learned from; scoring reads all.
-SAMPLE_CHARS = 20_000
+#: A word or beginning belongs to the lexicon if so many toxic texts have it, and have it so many times as often as others.
+LEAST_ROWS, LEAST_ODDS = 4, 12.0
+#: Words that a task counts before it hands its counts over.
+FLUSH = 200_000
 THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6, 7)
 MOST_LEXICON = 4_000
@@ -109,30 +117,52 @@ class Lexicon:
         ]
 
 
-def learn_lexicon(texts: list[str], labels: np.ndarray, least_rows: int = 4, least_odds: float = 12.0) -> Lexicon:
-    """Words and beginnings found in toxic texts least_odds times as often as in others, by number of texts."""
-    both = []
-    for use in (lambda t: set(_WORD.findall(t.lower())), lambda t: {w[:k] for w in set(_WORD.findall(t.lower())) for k in BEGINNINGS if len(w) >= k}):
-        toxic = Counter()
-        for t, y in zip(texts, labels, strict=True):
-            if y:
-                toxic.update(use(t))
-        # Only what toxic texts use often enough is counted in the others: most words are never held.
-        toxic = {w: k for w, k in toxic.items() if k >= least_rows}
-        clean = dict.fromkeys(toxic, 0)
-        for t, y in zip(texts, labels, strict=True):
-            if not y:
-                for w in use(t):
-                    if w in clean:
-                        clean[w] += 1
-        a, b = max(1, int(labels.sum())), max(1, int((labels == 0).sum()))
-        odds = {w: (k / a) / ((clean[w] + 0.5) / b) for w, k in toxic.items()}
-        best = sorted((-o, w) for w, o in odds.items() if o >= least_odds)[:MOST_LEXICON]
-        both.append({w: float(np.log(-o)) for o, w in best})
-    # A beginning says nothing that a shorter one does not say as clearly.
-    words, starts = both
-    kept = {s: x for s, x in starts.items() if not any(s[:k] in starts and starts[s[:k]] >= x for k in BEGINNINGS if k < len(s))}
-    return Lexicon(words, kept)
+def grams_of(text: str) -> tuple[set[str], set[str]]:
+    """A text's different words and word beginnings."""
+    found = set(_WORD.findall(text.lower()))
+    return found, {w[:k] for w in found for k in BEGINNINGS if len(w) >= k}
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (text, y, fold): kind (0 word, 1 beginning), gram, and in how many texts it is: of each half and label."""
+    counts: dict[tuple[int, str], list[int]] = {}
+
+    def done():
+        rows = list(counts.items())
+        columns = [pa.array([k[0] for k, _ in rows], pa.int32()), pa.array([k[1] for k, _ in rows], pa.string()), *(pa.array([v[i] for _, v in rows], pa.int64()) for i in range(4))]
+        counts.clear()
+        return pa.RecordBatch.from_arrays(columns, ["kind", "gram", "c0", "t0", "c1", "t1"])
+
+    for batch in slices(batches):
+        for text, y, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            place = 2 * (fold % 2) + y
+            for kind, grams in enumerate(grams_of(text)):
+                for g in grams:
+                    if (c := counts.get((kind, g))) is None:
+                        c = counts[(kind, g)] = [0, 0, 0, 0]
+                    c[place] += 1
+            if len(counts) >= FLUSH:
+                yield done()
+    yield done()
+
+
+def lexicons(picked: DataFrame) -> list[Lexicon]:
+    """Learned from rows (text, y, fold) of even folds, of odd folds, and of all: what is found in toxic texts LEAST_ODDS times as often
+    as in others, by number of texts."""
+    sizes = picked.agg(*(F.count_if((F.col("fold") % 2 == half) & (F.col("y") == y)).alias(f"{k}{half}") for half in (0, 1) for y, k in enumerate("ct"))).first()
+    parts = picked.select("text", "y", "fold").mapInArrow(_counted, "kind int, gram string, c0 long, t0 long, c1 long, t1 long")
+    grams = durable(parts.groupBy("kind", "gram").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1"))).where(f"t0 + t1 >= {LEAST_ROWS}"), "grams")
+    out = []
+    for clean, toxic, n_clean, n_toxic in ((F.col("c0"), F.col("t0"), sizes.c0, sizes.t0), (F.col("c1"), F.col("t1"), sizes.c1, sizes.t1), (F.col("c0") + F.col("c1"), F.col("t0") + F.col("t1"), sizes.c0 + sizes.c1, sizes.t0 + sizes.t1)):
+        odds = (toxic / max(1, n_toxic)) / ((clean + 0.5) / max(1, n_clean))
+        both = []
+        for kind in (0, 1):
+            best = grams.where((F.col("kind") == kind) & (toxic >= LEAST_ROWS)).select("gram", odds.alias("odds")).where(F.col("odds") >= LEAST_ODDS)
+            both.append({r.gram: float(np.log(r.odds)) for r in best.orderBy(F.desc("odds"), "gram").limit(MOST_LEXICON).collect()})
+        # A beginning says nothing that a shorter one does not say as clearly.
+        words, starts = both
+        out.append(Lexicon(words, {s: x for s, x in starts.items() if not any(s[:k] in starts and starts[s[:k]] >= x for k in BEGINNINGS if k < len(s))}))
+    return out
 
 
 class Trees:
@@ -211,28 +241,21 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, texts: list[str], labels: np.ndarray):
-        self.share = float(labels.mean()) if len(labels) else 0.0
+    """From the features x of the sample, its labels y and folds (0 to 3), and the lexicon of all of it. Without rows of both labels in
+    both halves there are no trees, and every score is the share of toxic rows."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray, lexicon: Lexicon):
+        self.share = float(y.mean()) if len(y) else 0.0
         self.lexicon = None
-        if len(labels) < 20 or labels.sum() < 4 or (labels == 0).sum() < 4:
-            return
-        fold = np.array([xxhash.xxh32_intdigest(t.encode(), 7) % 4 for t in texts])
-        # Features come from a lexicon that has not seen the row, so that the trees see them as they will be.
-        x = np.zeros((len(texts), len(NAMES)))
-        for half in (0, 1):
-            seen = fold % 2 == half
-            lexicon = learn_lexicon([t for t, s in zip(texts, seen, strict=True) if s], labels[seen])
-            for i in np.flatnonzero(~seen):
-                x[i] = lexicon.features(texts[i])
         held = fold >= 2
-        if not 0 < labels[~held].sum() < (~held).sum() or not 0 < labels[held].sum() < held.sum():
+        if len(y) < 20 or y.sum() < 4 or (y == 0).sum() < 4 or not 0 < y[~held].sum() < (~held).sum() or not 0 < y[held].sum() < held.sum():
             return
-        first, second = Trees().fit(x[~held], labels[~held]), Trees().fit(x[held], labels[held])
-        out = np.empty(len(texts))
+        first, second = Trees().fit(x[~held], y[~held]), Trees().fit(x[held], y[held])
+        out = np.empty(len(y))
         out[held], out[~held] = first.decide(x[held]), second.decide(x[~held])
         self.trees = (first, second)
-        self.at, self.to = isotonic(out, labels.astype(float))
-        self.lexicon = learn_lexicon(texts, labels)
+        self.at, self.to = isotonic(out, y.astype(float))
+        self.lexicon = lexicon
 
     def scores(self, texts) -> np.ndarray:
         if self.lexicon is None:
@@ -242,8 +265,18 @@ class Model:
         return np.clip(np.interp(raw, self.at, self.to), 0.0, 1.0)
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[list[str], np.ndarray]:
-    """Different labelled texts and their labels, at most about SAMPLE_ROWS, evenly over all labelled rows."""
+def _copies_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the least hash of their texts' word triples."""
+    for batch in slices(batches):
+        keys = []
+        for text in batch.column("text"):
+            _, h, _ = run_hashes(text.as_py().lower().encode(), 3, whole_if_short=True)
+            keys.append(int(h.min().astype(np.int64)) if len(h) else 0)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "copy"])
+
+
+def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
+    """h (hash of the text), text, y (1 toxic) and fold of different labelled texts, at most about SAMPLE_ROWS, evenly over all labelled rows."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     hashed = docs.where(learn & (F.octet_length("text") > 0)).select("doc_id", F.xxhash64("text").alias("h"))
     # Only ids and hashes meet the labels; the texts of the few that are picked are fetched after that.
@@ -251,23 +284,35 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[list[str]
     n = rows.agg(F.approx_count_distinct("h", 0.03)).first()[0]
     share = min(1.0, SAMPLE_ROWS / max(1, n))
     few = rows.where(F.pmod("h", F.lit(1 << 32)) < int(share * (1 << 32))).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("_toxic").alias("_toxic"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(few), ["doc_id", "h"]).select("h", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "_toxic")
-    picked = {}
-    for r in texts.toLocalIterator():
-        w = r.text.lower().split()
-        key = min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode()) for i in range(max(1, len(w) - 2))), default=0)
-        if key not in picked or picked[key][0] > r.h:
-            picked[key] = (r.h, r.text, r._toxic)
-    rows = [picked[k] for k in sorted(picked)]
-    return [r[1] for r in rows], np.array([int(r[2] > 0) for r in rows], np.int64)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(few), ["doc_id", "h"]).select("h", "text", (F.col("_toxic") > 0).cast("int").alias("y"))
+    keyed = texts.mapInArrow(_copies_key, "h long, text string, y int, copy long")
+    picked = keyed.groupBy("copy").agg(F.min_by(F.struct("h", "text", "y"), "h").alias("x")).select("x.*")
+    return durable(picked.withColumn("fold", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(4)).cast("int")), "sample")
+
+
+def _features(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = [np.array(sent.value[1 - fold % 2].features(text)).tobytes() for text, fold in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(x, pa.binary())], ["h", "y", "fold", "x"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
-    return Model(*sample(docs, labels, learn))
+    """A model of the rows of docs (doc_id, text) that ``learn`` picks and labels (doc_id, toxic) mark."""
+    picked = sample(docs, labels, learn)
+    even, odd, whole = lexicons(picked)
+    sent = docs.sparkSession.sparkContext.broadcast((even, odd))
+    # Features come from a lexicon that has not seen the row, so that the trees see them as they will be. At most about SAMPLE_ROWS rows.
+    rows = picked.select("h", "text", "y", "fold").mapInArrow(_features(sent), "h long, y int, fold int, x binary").orderBy("h").toPandas()
+    sent.destroy()
+    x = np.frombuffer(b"".join(rows["x"]), np.float64).reshape(len(rows), len(NAMES))
+    return Model(x, rows["y"].to_numpy(np.int64), rows["fold"].to_numpy(np.int64), whole)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the column score, from the column text alone."""
+    """docs with the column score, from the column text alone; a column of that name is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(texts):

@@ -141,6 +141,70 @@ def test_spaced_words_are_those_of_the_plain_pattern():
             assert [m.span() for m in toxicity._SPOKEN.finditer(t)] == [m.span() for m in plain.finditer(t)], t
 
 
+def test_lexicons_are_those_of_a_plain_count(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FLUSH", 40)
+    r = random.Random(21)
+    rows = []
+    for i in range(120):
+        y = int(i % 4 == 0)
+        w = sentence(r, 12).split() + ["nasty" + r.choice(["", "ness", "ly"])] * (y or r.random() < 0.03) + ["Vilest"] * (y and i % 8 == 0)
+        rows.append((i, " ".join(w), y, i // 4 % 4))
+    found = toxicity.lexicons(spark.createDataFrame(rows, "h long, text string, y int, fold int").repartition(3))
+    for lexicon, seen in zip(found, (lambda f: f % 2 == 0, lambda f: f % 2 == 1, lambda f: True), strict=True):
+        part = [(toxicity.grams_of(t), y) for _, t, y, f in rows if seen(f)]
+        n = [sum(y == k for _, y in part) for k in (0, 1)]
+        words = {}
+        for w in {w for (words_of, _), _ in part for w in words_of}:
+            c, t = (sum(w in g[0] for g, y in part if y == k) for k in (0, 1))
+            if t >= 4 and (odds := t / n[1] / ((c + 0.5) / n[0])) >= 12:
+                words[w] = pytest.approx(np.log(odds))
+        assert lexicon.words == words and words
+
+
+def test_trees_are_those_of_a_plain_loop():
+    r = np.random.default_rng(23)
+    x = np.round(r.normal(size=(90, 3)), 1)
+    y = (x[:, 0] + x[:, 1] * (x[:, 2] > 0) + r.normal(size=90) / 3 > 0.3).astype(int)
+    made = toxicity.Trees(rounds=4, depth=2, bins=6).fit(x, y)
+    edges = [np.unique(np.concatenate([np.quantile(x[:, j], np.linspace(0, 1, 6)), [0.0]])) for j in range(3)]
+    score = [made.base] * 90
+    for _ in range(4):
+        p = [1 / (1 + np.exp(-s)) for s in score]
+        g, h = [y[i] - p[i] for i in range(90)], [p[i] * (1 - p[i]) for i in range(90)]
+        leaves = [list(range(90))]
+        for _ in range(2):
+            below = []
+            for rows in leaves:
+                best, cut = 1e-9, None
+                for j in range(3):
+                    for e in edges[j]:
+                        left = [i for i in rows if x[i, j] <= e]
+                        right = [i for i in rows if x[i, j] > e]
+                        if sum(h[i] for i in left) < 1 or sum(h[i] for i in right) < 1:
+                            continue
+                        gain = sum(sum(g[i] for i in s) ** 2 / (sum(h[i] for i in s) + 1) for s in (left, right)) - sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + 1)
+                        if gain > best + 1e-12:
+                            best, cut = gain, (left, right)
+                below += cut or (rows, [])
+            leaves = below
+        for rows in leaves:
+            for i in rows:
+                score[i] += 0.15 * sum(g[k] for k in rows) / (sum(h[k] for k in rows) + 1)
+    assert np.allclose(made.decide(x), score)
+
+
+def test_toxicity_of_long_repeated_and_clashing_rows(spark):
+    r = random.Random(24)
+    rows = [(i, " ".join(sentence(r, 30).split() + ["vilest"] * (2 * (i % 4 == 0))), i % 4 == 0) for i in range(200)]
+    long = "word " * 400_000 + "vilest you vilest"
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t, _ in rows] + [(3, rows[3][1], "y", 2)] * 20 + [(900, long, "z", 3), (None, None, None, None)], "doc_id long, text string, h string, copy int")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows], "doc_id long, toxic int")
+    out = toxicity.score(d, toxicity.fit(d, labels, F.col("doc_id") < 150))
+    assert out.columns == ["doc_id", "text", "h", "copy", "score"] and out.count() == 222
+    assert {x["h"] for x in out.where("doc_id = 900").collect()} == {"z"}
+    assert toxicity.sample(d, labels, F.col("doc_id") < 150).where("text = '" + rows[3][1] + "'").count() == 1
+
+
 def test_isotonic_does_not_fall():
     r = np.random.default_rng(1)
     x = r.normal(size=300)
