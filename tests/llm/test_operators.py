@@ -262,6 +262,50 @@ def test_attributes_by_exact_name_and_what_math_and_objects_hold(page, text):
     assert site_style.main_text(page, frozenset()) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body class='has-sidebar'><article>a</article></body>", "a"), ("<p data-id='menu'>b</p>", "b"), ("<section id='related-work'>c</section>", "c"), ("<h2 id='comments-on-the-law'>d</h2>", "d"), ("<p class='notice-of-motion'>e</p>", "e"),
+        ("<article><header><nav>no</nav><h1>T</h1><p>by</p></header><p>f</p></article>", "T\nf"), ("<header><h1>Site</h1></header><p>g", "g"), ("<div class='site-footer'>no</div><div class='left sidebar-box'>no</div><div class='post-comments'>no</div>h", "h"),
+        ("<xmp>i</xmp><noframes>j</noframes>", "ij"), ("<div role='navigation'>no</div><div role='article'>k</div>", "k"), ("<label>no</label>l", "l"), ("<svg><text>no</text></svg>m", "m"),
+    ],
+)
+def test_names_of_surroundings_and_of_articles(page, text):
+    assert site_style.main_text(page) == text
+
+
+def nameless(html: str) -> str:
+    """A page whose elements are called nothing."""
+    return re.sub(r"<(/?)(?:article|nav|footer)\b[^>]*>", r"<\1div>", html).replace(' class="ad"', "")
+
+
+def test_entropy_alone_finds_the_articles_of_a_site(spark):
+    """Ablation: on a large site whose elements are called nothing, the style tree does what names cannot."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").withColumn("host", site_style.host(F.col("url")))
+    top = pages.groupBy("host").count().orderBy(F.desc("count"), "host").first()["host"]
+    rows = [(r["page_id"], r["url"], nameless(r["html"]), r["html"]) for r in pages.where(F.col("host") == top).collect()]
+    bare = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    want = {i: site_style.main_text(h) for i, _, _, h in rows}
+    got = {r["page_id"]: r["main_text"] for r in site_style.extract(bare, use_prior=False).collect()}
+    alone = {i: site_style.main_text(h) for i, _, h, _ in rows}
+
+    def right(found):
+        return np.mean([found[i] == want[i] for i in want])
+
+    assert len(rows) > 200 and right(got) > 0.95 and right(alone) < 0.05
+    removed = site_style.importance(bare).withColumn("x", F.col("content") * (site_style.ALIKE + (1 - site_style.ALIKE) * F.col("varied")) * (1 - F.col("links")))
+    assert removed.where(F.col("x") < site_style.LEAST_IMPORTANCE).count() > 0
+
+
+def test_pages_with_clashing_columns_nulls_and_long_texts(spark):
+    long = "<article><p>" + "many words " * 200_000 + "</p></article>"
+    rows = [(1, "http://a.example/x", long, "m", 1), (1, "http://a.example/x", long, "m", 1), (2, "http://a.example/y", "", "m", 1), (None, None, None, None, None), (3, "no url", "<p>k", "m", 1)]
+    out = site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string, main_text string, node int"))
+    assert out.columns == ["page_id", "url", "html", "node", "main_text"]
+    assert sorted((r["page_id"] or 0, len(r["main_text"])) for r in out.collect()) == [(0, 0), (1, 2_199_999), (1, 2_199_999), (2, 0), (3, 1)]
+    assert site_style.extract(out.where("false")).count() == 0
+
+
 # 4
 
 
