@@ -1,15 +1,18 @@
 """Near-duplicate vectors by spherical-cap filters (operator 4).
 
-Filter directions come from a structured random product code: after one random rotation the space is cut into two halves,
-each has a codebook of b random unit vectors, and the b * b directions are all pairs of codewords. A vector passes
-the filters whose direction it exceeds the cap's height on. They are list-decoded: scores of the halves are sorted, and
-only pairs of codewords that reach the height are visited. Vectors that share a filter are compared exactly.
+0. Vectors are centred on their mean and whitened as far as their mean variance (a sum of products over all vectors gives both), so that
+   vectors that lie around one direction, as real embeddings do, spread over the sphere. Filters work on these; links are judged on the vectors themselves.
+1. Filter directions come from a structured random product code: after one random rotation the space is cut into two halves,
+   each has a codebook of b random unit vectors, and the b * b directions are all pairs of codewords. A vector passes
+   the filters whose direction it exceeds the cap's height on. They are list-decoded: scores of the halves are sorted, and
+   only pairs of codewords that reach the height are visited.
+2. Vectors that share a filter are compared exactly, as products of blocks of at most BLOCK vectors.
 
 The height is set so that about BUCKET vectors pass each filter, whatever their number: by the share of the sphere that a
-cap of it covers, for the vectors' own length. b begins where a pair at the threshold shares FOUND filters of a code on
-average. Hits within one code depend on each other, through the halves, so CODES independent codes are used: a pair is
-lost only if it shares no filter of any of them. b then grows until at most MISSED of PAIRS simulated pairs at the
-threshold are lost, so that the loss does not follow the number of vectors (measured: README).
+cap of it covers, for the vectors' own length. Hits within one code depend on each other, through the halves, so CODES independent codes are
+used: a pair is lost only if it shares no filter of any of them. b grows (and where that does not help, the height falls) until at most MISSED of
+PAIRS simulated pairs at the threshold are lost: vectors of the table, each with another at exactly the threshold from it in a random direction. So the
+loss follows neither the number of vectors nor how they lie (measured: README).
 
 Equal vectors are one class and are never compared with each other. A filter that more than BLOCK vectors pass is
 compared in pairs of blocks, each a task of its own. A comparison hands over two numbers for each vector of a
@@ -23,7 +26,6 @@ vec_id are one vector in components and several in counts of links, as long as t
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -34,13 +36,20 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import connected_components, durable
 
-BUCKET = 256
-FOUND = 3.0
-CODES = 6
+BUCKET = 1024
+CODES = 24
 #: Pairs at the threshold that may be lost, and how many are simulated; closer pairs are lost far more rarely.
 MISSED = 0.001
 PAIRS = 4096
-BLOCK = 1024
+BLOCK = 2048
+#: Products of a block are made for so many of its vectors at a time.
+STRIPE = 512
+#: Links of a block that are held before they are folded into components.
+MOST_LINKS = 1 << 20
+#: The largest share of the vectors in a filter, for small tables.
+MOST_SHARE = 0.02
+#: Filters that a vector passes on average, beyond which caps are widened instead of added.
+MOST_FILTERS = 64
 #: Shorter vectors are padded with zeros, as few dimensions have too few directions for a product code.
 LEAST_DIMS = 32
 
@@ -54,40 +63,58 @@ def _tail(dims: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cos(angle), 1 - below / below[-1]
 
 
-def missed(dims: int, height: float, b: int, least: float) -> float:
-    """Share of PAIRS random pairs at the threshold that no filter of any code holds, measured on the codes that are used."""
-    draw = np.random.default_rng([97, dims])
-    x, y = draw.normal(size=(2, PAIRS, dims))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    y -= (x * y).sum(axis=1)[:, None] * x
-    y = least * x + math.sqrt(1 - least * least) * y / np.linalg.norm(y, axis=1)[:, None]
-    found = np.zeros(PAIRS, bool)
+def units_of(v: np.ndarray) -> np.ndarray:
+    x = v.astype(np.float64)
+    x /= np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+class Space:
+    """Where filters work: unit vectors, centred, whitened as far as their mean variance, and made units again."""
+
+    def __init__(self, n: int, total: np.ndarray, products: np.ndarray):
+        self.mean = total / max(n, 1)
+        spread = products / max(n, 1) - np.outer(self.mean, self.mean)
+        values, axes = np.linalg.eigh(spread)
+        level = max(float(values.mean()), 1e-12)
+        self.turn = (axes * np.sqrt(2 * level / (np.maximum(values, 0) + level))) @ axes.T
+
+    def __call__(self, units: np.ndarray) -> np.ndarray:
+        x = (units - self.mean) @ self.turn
+        size = np.linalg.norm(x, axis=1)[:, None]
+        return np.where(size > 1e-12, x / np.maximum(size, 1e-12), units)
+
+
+def missed(space: Space, sample: np.ndarray, height: float, b: int, least: float) -> float:
+    """Share of pairs that no filter of any code holds: the sample's vectors, each with another at the threshold in a random direction."""
+    n, dims = sample.shape
+    y = np.random.default_rng([97, dims]).normal(size=(n, dims))
+    y -= (sample * y).sum(axis=1)[:, None] * sample
+    y = least * sample + math.sqrt(1 - least * least) * y / np.maximum(np.linalg.norm(y, axis=1)[:, None], 1e-12)
+    one, two = space(sample), space(y)
+    found = np.zeros(n, bool)
     for c in range(CODES):
         code = Code(dims, height, b, 41 + c)
-        for s in range(0, PAIRS, 256):
+        for s in range(0, n, 256):
             own = s + np.flatnonzero(~found[s : s + 256])
-            one, two = (row * b * b + f for row, f in (code.decode(v[own]) for v in (x, y)))
-            found[own[np.intersect1d(one, two, assume_unique=True) // (b * b)]] = True
+            p, q = (row * b * b + f for row, f in (code.decode(v[own]) for v in (one, two)))
+            found[own[np.intersect1d(p, q, assume_unique=True) // (b * b)]] = True
     return 1 - float(found.mean())
 
 
-@functools.lru_cache(256)
-def plan(n: int, least: float, dims: int) -> tuple[float, int]:
-    """Height of the caps, in standard deviations of a score, and codewords of each half, for n vectors of a length."""
-    dims = max(dims, LEAST_DIMS)
+def plan(n: int, least: float, space: Space, sample: np.ndarray) -> tuple[float, int]:
+    """Height of the caps, in standard deviations of a score, and codewords of each half, for n vectors of which these are a sample (repeated to PAIRS)."""
+    dims = max(sample.shape[1], LEAST_DIMS)
     at, above = _tail(dims)
-    low = float(np.interp(-min(0.05, BUCKET / max(n, 1)), -above, at))
-    # A pair at the threshold, seen from a direction: the first score is x, the second follows on the sphere across it.
-    x = np.linspace(low, 1, 4001)[:-1]
-    dense = (1 - x * x) ** ((dims - 3) / 2)
-    across, above = _tail(dims - 1)
-    second = np.interp((low - least * x) / np.sqrt((1 - least * least) * (1 - x * x)), across, above)
-    every = math.sqrt(math.pi) * math.gamma((dims - 1) / 2) / math.gamma(dims / 2) if dims < 300 else math.sqrt(2 * math.pi / (dims - 1.5))
-    both = float(np.sum(dense * second)) * (x[1] - x[0]) / every
-    height, b = low * math.sqrt(dims), max(2, math.ceil(math.sqrt(FOUND / both)))
-    while missed(dims, height, b, least) > MISSED:
-        b = math.ceil(b * 1.1)
-    return height, b
+    low = float(np.interp(-min(MOST_SHARE, BUCKET / max(n, 1)), -above, at)) * math.sqrt(dims)
+    sample = np.resize(sample, (PAIRS, sample.shape[1]))
+    b = start = 2
+    while missed(space, sample, low, b, least) > MISSED:
+        b = max(b + 1, math.ceil(b * 1.15))
+        if b > max(64, 4 * start) and b * b * CODES * min(MOST_SHARE, BUCKET / max(n, 1)) > MOST_FILTERS:
+            # More directions no longer help: wider caps do, up to the whole sphere.
+            low, b = low - 0.25, start
+    return low, b
 
 
 class Code:
@@ -120,98 +147,121 @@ class Code:
         return row_of, first * self.b + order[row_of, place]
 
 
-def _rounded(n: int) -> int:
-    """n up to an eighth of its power of two; below that all caps have the largest share."""
-    step = 1 << max(0, n.bit_length() - 4)
-    return max(BUCKET * 20, -(-n // step) * step)
+def _vectors(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dims, rows, vectors) of a batch, some hundred vectors of one length at a time."""
+    lengths = batch.column(column).value_lengths().to_numpy(zero_copy_only=False)
+    for dims in np.unique(lengths):
+        at = np.flatnonzero(lengths == dims)
+        for s in range(0, len(at), 512):
+            own = at[s : s + 512]
+            yield int(dims), own, batch.column(column).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), dims)
 
 
-def _assign(plans: dict[int, tuple[float, int]]):
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each length: number of vectors, and the sums of the units and of their products."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for dims, _, v in _vectors(batch, 0):
+            x = units_of(v)
+            n, total, products = sums.setdefault(dims, [0, np.zeros(dims), np.zeros((dims, dims))])
+            sums[dims] = [n + len(x), total + x.sum(axis=0), products + x.T @ x]
+    for dims, (n, total, products) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([products.tobytes()], pa.binary())], ["dims", "n", "total", "products"])
+
+
+def _assign(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, list[Code]] = {}
         for batch in batches:
             ids, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            for dims in np.unique(lengths):
-                at = np.flatnonzero(lengths == dims)
-                height, b = plans[int(dims)]
+            for dims, own, v in _vectors(batch, 2):
+                space, height, b = sent.value[dims]
                 if dims not in codes:
-                    codes[dims] = [Code(int(dims), height, b, 41 + c) for c in range(CODES)]
-                for s in range(0, len(at), 512):
-                    own = at[s : s + 512]
-                    v = batch.column(2).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), dims)
-                    x = v.astype(np.float64)
-                    x /= np.abs(x).max(axis=1)[:, None]
-                    units = x / np.linalg.norm(x, axis=1)[:, None]
-                    parts = [code.decode(units) for code in codes[dims]]
-                    row, f = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + c * b * b for c, p in enumerate(parts)])
-                    if not len(row):
-                        continue
-                    order = np.lexsort((f, row))
-                    row, f = row[order], f[order]
-                    cut = np.searchsorted(row, np.arange(len(own) + 1))
-                    lists = [f[cut[r] : cut[r + 1]].astype(np.int64).tobytes() for r in range(len(own))]
-                    raw = [v[r].tobytes() for r in range(len(own))]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), dims), pa.int32()), pa.array(f, pa.int64()), pa.array(ids[own][row]), pa.array(copies[own][row]), pa.array([raw[r] for r in row], pa.binary()), pa.array([lists[r] for r in row], pa.binary())],
-                        ["dims", "filter", "rep", "copies", "v", "filters"],
-                    )
+                    codes[dims] = [Code(dims, height, b, 41 + c) for c in range(CODES)]
+                seen = space(units_of(v))
+                parts = [code.decode(seen) for code in codes[dims]]
+                row, f = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + c * b * b for c, p in enumerate(parts)])
+                if not len(row):
+                    continue
+                order = np.lexsort((f, row))
+                row, f = row[order], f[order].astype(np.int32)
+                first = np.searchsorted(row, row)
+                raw = [x.tobytes() for x in v]
+                # With a filter go the smaller ones that the vector passes too: a pair is counted under the smallest that it shares.
+                before = [f[a:i].tobytes() for i, a in enumerate(first)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(row), dims), pa.int32()), pa.array(f, pa.int32()), pa.array(ids[own][row]), pa.array(copies[own][row]), pa.array([raw[r] for r in row], pa.binary()), pa.array(before, pa.binary())],
+                    ["dims", "filter", "rep", "copies", "v", "before"],
+                )
 
     return run
 
 
+def _components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest place that each place reaches over the links (u, v)."""
+    low = np.arange(n)
+    while True:
+        now = low.copy()
+        np.minimum.at(now, u, low[v])
+        np.minimum.at(now, v, low[u])
+        # The places themselves follow, and with them all that hangs on them.
+        np.minimum.at(now, low, now)
+        now = now[now]
+        if (now == low).all():
+            return low
+        low = now
+
+
 def _compare(least: float, kind: str):
     def run(key, table):
+        i_block, j_block = key[2].as_py(), key[3].as_py()
         ids, copies, side = (table.column(c).to_numpy() for c in ("rep", "copies", "side"))
-        i_block, j_block, this = key[2].as_py(), key[3].as_py(), key[1].as_py()
-        x = np.frombuffer(b"".join(table.column("v").to_pylist()), kind).reshape(len(ids), -1).astype(np.float64)
-        x = x / np.abs(x).max(axis=1)[:, None]
-        x /= np.linalg.norm(x, axis=1)[:, None]
-        filters = [np.frombuffer(f, np.int64) for f in table.column("filters").to_pylist()]
+        order = np.argsort(ids)
+        ids, copies, side = ids[order], copies[order], side[order]
+        v = table.column("v").to_pylist()
+        x = units_of(np.frombuffer(b"".join(v), kind).reshape(len(ids), -1)[order])
+        lists = [np.frombuffer(f, np.int32) for f in table.column("before").to_pylist()]
+        del v
+        # Smaller filters as rows of equal length; the fill differs on both sides of a comparison.
+        width = max(1, max(map(len, lists)))
+        before = np.full((len(ids), width), -1, np.int32)
+        for place, i in enumerate(order):
+            before[place, : len(lists[i])] = lists[i]
         rows = np.flatnonzero(side == i_block)
         cols = rows if i_block == j_block else np.flatnonzero(side == j_block)
-        n_links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-        def root(a):
-            while parent[a] != a:
-                parent[a] = parent[parent[a]]
-                a = parent[a]
-            return a
-
-        # Filters as sorted lists of numbers: a pair is counted here if no smaller filter holds both.
-        before = [f[: np.searchsorted(f, this)] for f in filters]
-        every, at = np.unique(np.concatenate(before), return_inverse=True) if len(before) else (np.empty(0), np.empty(0))
-        own = np.repeat(np.arange(len(ids)), [len(f) for f in before])
-        by_filter = np.lexsort((own, at))
-        starts = np.searchsorted(at[by_filter], np.arange(len(every) + 1))
-        in_filter = own[by_filter]
-        lists_of = [at[a:b] for a, b in zip(np.cumsum([0] + [len(f) for f in before])[:-1], np.cumsum([len(f) for f in before]), strict=True)]
-        for r in rows:
-            near = cols[x[cols] @ x[r] >= least]
-            near = near[near > r] if i_block == j_block else near
-            if not len(near):
-                continue
-            base = root(r)
-            for c in near:
-                other = root(c)
-                if other != base:
-                    parent[max(base, other)] = base = min(base, other)
-            seen = np.zeros(len(ids), bool)
-            for f in lists_of[r]:
-                seen[in_filter[starts[f] : starts[f + 1]]] = True
-            near = near[~seen[near]]
-            n_links[r] += copies[near].sum()
-            n_links[near] += copies[r]
-        roots = np.array([root(a) for a in range(len(ids))])
-        low = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(low, roots, ids)
-        low = low[roots]
+        n_links, links = np.zeros(len(ids), np.int64), []
+        low = np.arange(len(ids))
+        for s in range(0, len(rows), STRIPE):
+            r, c = np.nonzero(x[rows[s : s + STRIPE]] @ x[cols].T >= least)
+            r, c = rows[s : s + STRIPE][r], cols[c]
+            if i_block == j_block:
+                r, c = r[r < c], c[r < c]
+            links.append((r, c))
+            if sum(len(p[0]) for p in links) > MOST_LINKS:
+                low = _joined(len(ids), low, links)
+                links = []
+            for t in range(0, len(r), 1 << 16):
+                a, z = r[t : t + (1 << 16)], c[t : t + (1 << 16)]
+                again = np.zeros(len(a), bool)
+                for k in range(width):
+                    own = before[a, k]
+                    again |= (own >= 0) & (before[z] == own[:, None]).any(axis=1)
+                a, z = a[~again], z[~again]
+                np.add.at(n_links, a, copies[z])
+                np.add.at(n_links, z, copies[a])
+        low = ids[_joined(len(ids), low, links)]
         keep = (n_links > 0) | (low != ids)
         return pa.table({"rep": pa.array(ids[keep]), "n_links": pa.array(n_links[keep]), "low": pa.array(low[keep])})
 
     return run
 
 
+def _joined(n: int, low: np.ndarray, links: list) -> np.ndarray:
+    """Components of what was joined before and of new links."""
+    u, v = (np.concatenate([np.arange(n) if k == 0 else low, *(p[k] for p in links)]) for k in (0, 1))
+    return _components(n, u, v)
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """Per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
@@ -228,13 +278,23 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     classes = durable(
         rows.where("same is not null").groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("embedding", "vec_id").alias("embedding")), "vectors"
     )
-    # Filters hold vectors of one length, so each length has a plan of its own; nearly equal numbers share it.
-    lengths = classes.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).collect()
-    plans = {r["dims"]: plan(_rounded(r["n"]), least, max(r["dims"], LEAST_DIMS)) for r in lengths}
-    passed = classes.select("rep", "copies", "embedding").repartition("rep").mapInArrow(_assign(plans), "dims int, filter long, rep long, copies long, v binary, filters binary")
+    # Filters hold vectors of one length, so each length has a space and a plan of its own. What the driver gets follows the lengths, not the vectors.
+    moments = classes.select("embedding").mapInArrow(_moments, "dims int, n long, total binary, products binary").collect()
+    sums: dict[int, list] = {}
+    for r in moments:
+        n, total, products = sums.get(r.dims, (0, 0, 0))
+        sums[r.dims] = [n + r.n, total + np.frombuffer(r.total), products + np.frombuffer(r.products).reshape(r.dims, r.dims)]
+    plans = {}
+    for dims, (n, total, products) in sorted(sums.items()):
+        space = Space(n, total, products)
+        share = min(1.0, 1.5 * PAIRS / n)
+        own = classes.where((F.size("embedding") == dims) & (F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("rep", "embedding").orderBy("rep").limit(PAIRS).collect()
+        plans[dims] = (space, *plan(n, least, space, units_of(np.array([r.embedding for r in own] or [[1.0] * dims]))))
+    sent = vectors.sparkSession.sparkContext.broadcast(plans)
+    passed = classes.select("rep", "copies", "embedding").repartition("rep").mapInArrow(_assign(sent), "dims int, filter int, rep long, copies long, v binary, before binary")
     sizes = passed.groupBy("dims", "filter").agg(F.count("*").alias("n")).where("n > 1").select("dims", "filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"))
     side = passed.join(sizes, ["dims", "filter"]).withColumn("side", F.pmod(F.xxhash64("rep"), "g").cast("int"))
-    blocks = side.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("dims", "filter", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "rep", "copies", "v", "filters")
+    blocks = side.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("dims", "filter", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "rep", "copies", "v", "before")
     found = durable(blocks.groupBy("dims", "filter", "i", "j").applyInArrow(_compare(least, dtype), "rep long, n_links long, low long"), "links")
     counts = found.groupBy("rep").agg(F.sum("n_links").alias("others"))
     roots = connected_components(found.select(F.col("rep").alias("u"), F.col("low").alias("v")))
