@@ -33,7 +33,7 @@ B3 = Calendar(-180, (0, 6), (("regular", 540, 1080),), ("01-01", "04-21", "05-01
 
 
 def sessions(spark: SparkSession, calendar: Calendar, first: str, last: str) -> DataFrame:
-    """date, day (days since 1970), name, open_ts, close_ts of each session of the local days from first to last."""
+    """date, day (days since 1970), midnight (when the local day begins), name, open_ts, close_ts of each session of the local days from first to last."""
     if calendar.valid_from and first < calendar.valid_from:
         raise ValueError(f"the calendar holds from {calendar.valid_from} on")
     days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("date"))
@@ -50,8 +50,8 @@ def sessions(spark: SparkSession, calendar: Calendar, first: str, last: str) ->
         other = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(a).alias("a"), F.lit(z).alias("z")) for n, a, z in hours)) if hours else F.slice(usual, 1, 0)
         own = F.when(F.col("date") == F.to_date(F.lit(day)), other).otherwise(own)
     rows = days.withColumn("s", F.explode(own)).withColumn("day", F.unix_date("date"))
-    at = lambda m: F.col("day").cast("long") * times.DAY + (F.col(m) - calendar.offset_minutes).cast("long") * MINUTE
-    return rows.select("date", "day", "s.name", at("s.a").alias("open_ts"), at("s.z").alias("close_ts"))
+    at = lambda m: F.col("day").cast("long") * times.DAY + ((F.col(m) if isinstance(m, str) else m) - calendar.offset_minutes).cast("long") * MINUTE
+    return rows.select("date", "day", at(F.lit(0)).alias("midnight"), "s.name", at("s.a").alias("open_ts"), at("s.z").alias("close_ts"))
 
 
 def trading_days(s: DataFrame) -> DataFrame:
@@ -60,10 +60,21 @@ def trading_days(s: DataFrame) -> DataFrame:
 
 
 def next_close(left: DataFrame, s: DataFrame, ts: str) -> DataFrame:
-    """left with next_close: the first session close after ts."""
-    keyed = left.withColumn("_k", F.lit(1))
-    closes = s.select(F.lit(1).alias("_k"), "close_ts", F.col("close_ts").alias("next_close"))
-    return lookups.as_of(keyed, closes, "_k", ts, "close_ts", ["next_close"], forward=True, strict=True).drop("_k")
+    """left with next_close: the first session close after ts on its local day; if that has none left, the last close of the next trading day."""
+    days = s.groupBy("day").agg(F.max("close_ts").alias("_last"))
+    found = lookups.step(left, s.join(days, "day").select("close_ts", "midnight", "_last"), F.col(ts), "close_ts", ["close_ts", "midnight", "_last"], times.DAY)
+    return found.select(*left.columns, F.when(F.col(ts) >= F.col("midnight"), F.col("close_ts")).otherwise(F.col("_last")).alias("next_close"))
+
+
+def next_open(left: DataFrame, s: DataFrame, ts: str) -> DataFrame:
+    """left with next_open: ts itself within a session, else the next session's open."""
+    found = lookups.step(left, s.select("close_ts", F.col("open_ts").alias("_open")), F.col(ts), "close_ts", ["_open"], times.DAY)
+    return found.withColumn("next_open", F.greatest("_open", F.col(ts))).withColumn("next_open", F.when(F.col("_open").isNotNull(), F.col("next_open"))).drop("_open")
+
+
+def is_open(left: DataFrame, s: DataFrame, ts: str) -> DataFrame:
+    """left with is_open: whether a session holds ts."""
+    return lookups.step(left, s, F.col(ts), "close_ts", ["open_ts"], times.DAY).withColumn("is_open", F.coalesce(F.col("open_ts") <= F.col(ts), F.lit(False))).drop("open_ts")
 
 
 MONTH_CODES = "FGHJKMNQUVXZ"
@@ -114,9 +125,8 @@ def contracts(s: DataFrame, series: Series, first_year: int, last_year: int) ->
         base = F.last_day(day(1))
     else:
         base = day(series.day)
-    grid = months.withColumn("base", base).withColumn("_k", F.lit(1))
-    numbered = trading_days(s).withColumn("_k", F.lit(1)).withColumn("d", F.col("date"))
-    found = lookups.as_of(grid, numbered, "_k", "base", "date", ["d", "n"], forward=not backward)
+    numbered = trading_days(s).withColumn("d", F.col("date")).withColumn("_day", F.unix_date("date").cast("long"))
+    found = lookups.step(months.withColumn("base", base), numbered, F.unix_date("base").cast("long"), "_day", ["d", "n"], 32, strict=False, backward=backward)
     closes = s.groupBy("date").agg(F.max("close_ts").alias("close_ts"))
     rolls = numbered.select((F.col("n") + series.roll_days).alias("n"), F.col("date").alias("roll_date"))
     out = found.join(closes.withColumnsRenamed({"date": "d", "close_ts": "expiry"}), "d").join(rolls, "n").join(closes.withColumnsRenamed({"date": "roll_date", "close_ts": "rolls_at"}), "roll_date")
@@ -125,59 +135,45 @@ def contracts(s: DataFrame, series: Series, first_year: int, last_year: int) ->
 
 def front(left: DataFrame, c: DataFrame, ts: str) -> DataFrame:
     """left with front: the contract that rolls next after ts."""
-    keyed = left.withColumn("_k", F.lit(1))
-    return lookups.as_of(keyed, c.select(F.lit(1).alias("_k"), "rolls_at", F.col("symbol").alias("front")), "_k", ts, "rolls_at", ["front"], forward=True, strict=True).drop("_k")
+    return lookups.step(left, c.select("rolls_at", F.col("symbol").alias("front")), F.col(ts), "rolls_at", ["front"], times.DAY)
 
 
-def roll_points(bars: DataFrame, c: DataFrame, roll_on: str = "rule") -> list[dict]:
-    """Segments of a continuous series, oldest first: symbol, after and until (closes, until included), and for all but the last gap and ratio to the next.
+def roll_points(bars: DataFrame, c: DataFrame, roll_on: str = "rule") -> DataFrame:
+    """Segments of a continuous series: symbol, after and until (closes, until included), and for all but the last to, trigger, gap and ratio to the next.
 
-    bars are (instrument, close_ts, close, volume) with a contract's symbol as instrument. Bars are reduced to a row or two for each contract before
-    the contracts, a few for each year, are walked through here: one whose roll comes before its predecessor's is left out.
+    bars are (instrument, close_ts, close, volume) with a contract's symbol as instrument; contracts without bars are left out, and so is one whose roll
+    comes before its predecessor's. Bars are reduced to a row or two for each contract; only contracts, a few for each year, are put in one order.
     """
-    order = [r for r in c.orderBy("expiry").select("symbol", "rolls_at").collect()]
-    have = {r[0] for r in bars.select("instrument").distinct().collect()}
-    order = [r for r in order if r.symbol in have]
-    spark = bars.sparkSession
-    at = {r.symbol: r.rolls_at for r in order}
-    triggers = dict.fromkeys(at, "rule")
+    line = Window.orderBy("expiry", "symbol")
+    have = bars.select(F.col("instrument").alias("symbol")).distinct()
+    order = c.select("symbol", "expiry", "rolls_at").join(have, "symbol").withColumn("to", F.lead("symbol").over(line))
+    limits = order.select("symbol", "to", "expiry", F.col("rolls_at").alias("roll"), F.lit("rule").alias("trigger"))
     if roll_on == "volume":
-        pairs = spark.createDataFrame([(a.symbol, b.symbol) for a, b in zip(order, order[1:], strict=False)], "one string, two string")
-        one = bars.join(F.broadcast(pairs), bars["instrument"] == pairs["one"]).select("one", "two", "close_ts", "volume")
-        two = bars.join(F.broadcast(pairs), bars["instrument"] == pairs["two"]).select("one", "two", "close_ts", "volume")
-        for r in lookups.first_crossing(one, two, ["one", "two"]).collect():
-            at[r.one], triggers[r.one] = r.ts, "volume"
-    limits = spark.createDataFrame([(k, v) for k, v in at.items()], "instrument string, roll long")
-    ends = {r[0]: r[1] for r in bars.join(F.broadcast(limits), "instrument").where("close_ts <= roll").groupBy("instrument").agg(F.max("close_ts")).collect()}
-    out: list[dict] = []
-    previous = None
-    for i, r in enumerate(order):
-        end = ends.get(r.symbol)
-        if i == len(order) - 1:
-            out.append({"symbol": r.symbol, "after": previous, "until": None})
-        elif end is not None and (previous is None or end > previous):
-            out.append({"symbol": r.symbol, "after": previous, "until": end, "to": order[i + 1].symbol, "trigger": triggers[r.symbol]})
-            previous = end
-    wanted = spark.createDataFrame([(x["until"], s) for x in out if x["until"] is not None for s in (x["symbol"], x["to"])] or [(0, "")], "close_ts long, instrument string")
-    closes = {(r.instrument, r.close_ts): r.close for r in bars.join(F.broadcast(wanted), ["instrument", "close_ts"]).select("instrument", "close_ts", "close").collect()}
-    for x in out:
-        if x["until"] is not None:
-            own, other = closes[(x["symbol"], x["until"])], closes.get((x["to"], x["until"]))
-            x["gap"] = 0 if other is None else other - own
-            x["ratio"] = 1.0 if own == 0 else (own + x["gap"]) / own
-    return out
-
-
-def continuous(bars: DataFrame, segments: list[dict], method: str = "difference") -> DataFrame:
+        pairs = order.where("to is not null").select(F.col("symbol").alias("one"), F.col("to").alias("two"))
+        sides = [bars.join(lookups.small(pairs), bars["instrument"] == pairs[k]).select("one", "two", "close_ts", "volume") for k in ("one", "two")]
+        crossed = lookups.first_crossing(*sides, ["one", "two"]).select(F.col("one").alias("symbol"), "ts")
+        limits = limits.join(crossed, "symbol", "left").select("symbol", "to", "expiry", F.coalesce("ts", "roll").alias("roll"), F.when(F.col("ts").isNotNull(), "volume").otherwise("rule").alias("trigger"))
+    side = lookups.small(limits.select(F.col("symbol").alias("instrument"), "roll"))
+    ends = bars.join(side, "instrument").where("close_ts <= roll").groupBy(F.col("instrument").alias("symbol")).agg(F.max("close_ts").alias("end"))
+    rows = limits.join(ends, "symbol", "left").withColumn("before", F.max(F.when(F.col("to").isNotNull(), F.col("end"))).over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    kept = rows.where(F.col("to").isNull() | (F.col("end") > F.coalesce("before", F.lit(-(2**62)))))
+    cut = kept.select("symbol", "expiry", F.col("before").alias("after"), F.when(F.col("to").isNotNull(), F.col("end")).alias("until"), "to", F.when(F.col("to").isNotNull(), F.col("trigger")).alias("trigger"))
+    closes = bars.select(F.col("instrument").alias("_i"), F.col("close_ts").alias("_t"), F.col("close").alias("_c"))
+    wanted = cut.where("until is not null").select(F.explode(F.array("symbol", "to")).alias("_i"), F.col("until").alias("_t")).distinct()
+    at = closes.join(lookups.small(wanted), ["_i", "_t"])
+    own, other = (at.select(F.col("_i").alias(k), F.col("_t").alias("until"), F.col("_c").alias(v)) for k, v in (("symbol", "_own"), ("to", "_other")))
+    out = cut.join(own, ["symbol", "until"], "left").join(other, ["to", "until"], "left")
+    gap = F.when(F.col("until").isNotNull(), F.coalesce(F.col("_other") - F.col("_own"), F.lit(0)))
+    ratio = F.when(F.col("_own") == 0, 1.0).otherwise((F.col("_own") + F.col("gap")) / F.nullif(F.col("_own"), F.lit(0)))
+    return out.withColumn("gap", gap).select("symbol", "expiry", "after", "until", "to", "trigger", "gap", F.when(F.col("until").isNotNull(), ratio).alias("ratio"))
+
+
+def continuous(bars: DataFrame, segments: DataFrame, method: str = "difference") -> DataFrame:
     """The contracts' bars as one series, older ones moved on to the newest: by sums of gaps, by products of ratios, or not (none)."""
     if method not in ("difference", "ratio", "none"):
         raise ValueError(f"no such method: {method}")
-    shift, scale, rows = 0, 1.0, []
-    for x in reversed(segments):
-        if x["until"] is not None:
-            shift, scale = shift + x["gap"], scale * x["ratio"]
-        rows.append((x["symbol"], x["after"], x["until"], shift, scale))
-    side = bars.sparkSession.createDataFrame(rows, "instrument string, after long, until long, shift long, scale double")
-    inside = bars.join(F.broadcast(side), "instrument").where("(after is null or close_ts > after) and (until is null or close_ts <= until)")
+    newer = Window.orderBy(F.col("expiry").desc(), F.col("symbol").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    moved = segments.select(F.col("symbol").alias("instrument"), "after", "until", F.sum(F.coalesce("gap", F.lit(0))).over(newer).alias("shift"), F.exp(F.sum(F.log(F.coalesce("ratio", F.lit(1.0)))).over(newer)).alias("scale"))
+    inside = bars.join(lookups.small(moved), "instrument").where("(after is null or close_ts > after) and (until is null or close_ts <= until)")
     move = {"difference": lambda p: p + F.col("shift"), "ratio": lambda p: F.floor(p * F.col("scale") + 0.5).cast("long"), "none": lambda p: p}[method]
     return inside.select("instrument", "open_ts", "close_ts", *(move(F.col(p)).alias(p) for p in ("open", "high", "low", "close")), "volume")

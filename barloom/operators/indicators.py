@@ -1,13 +1,11 @@
 """Indicators over bars, per instrument, null until they have enough bars.
 
-Those with a fixed reach are window expressions. Recursive ones (exponential averages and what builds on them) run through ``recursive``, a grouped
-map over NumPy columns: one shuffle on the instrument, one pass over its bars in order.
+Those with a fixed reach are window expressions. Recursive ones (exponential averages and what builds on them) are smoothed in blocks
+(``smoothed``), each a task's work, with a row for each block carried along. An instrument has one bar for each close.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,92 +76,83 @@ def true_range() -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.coalesce(F.abs(F.col("high") - before), F.lit(0)), F.coalesce(F.abs(F.col("low") - before), F.lit(0)))
 
 
-# Recursive indicators, on arrays.
-
-
-def smoothed(x: np.ndarray, n: int, alpha: float) -> np.ndarray:
-    """Starts as the mean of the first n defined values, then moves by alpha; NaN before."""
-    out = np.full(len(x), np.nan)
-    defined = np.flatnonzero(~np.isnan(x))
-    if len(defined) < n:
-        return out
-    at = defined[n - 1]
-    value = float(np.sum(x[defined[:n]]) / n)
-    out[at] = value
-    for i, v in enumerate(x[at + 1 :].tolist(), at + 1):
-        value += alpha * (v - value)
-        out[i] = value
-    return out
-
-
-def ema_values(x: np.ndarray, n: int) -> np.ndarray:
-    return smoothed(x, n, 2.0 / (n + 1))
-
-
-def rma_values(x: np.ndarray, n: int) -> np.ndarray:
-    return smoothed(x, n, 1.0 / n)
-
-
-def rsi_values(x: np.ndarray, n: int) -> np.ndarray:
-    change = np.concatenate([[np.nan], np.diff(x)])
-    gain, loss = rma_values(np.where(np.isnan(change), np.nan, np.maximum(change, 0)), n), rma_values(np.where(np.isnan(change), np.nan, np.maximum(-change, 0)), n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        usual = 100 - 100 / (1 + gain / loss)
-    return np.where(np.isnan(gain), np.nan, np.where(loss == 0, np.where(gain == 0, 50.0, 100.0), usual))
-
-
-def macd_values(x: np.ndarray, fast: int, slow: int, signal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if fast >= slow:
-        raise ValueError("the fast period must be below the slow one")
-    line = ema_values(x, fast) - ema_values(x, slow)
-    smooth = ema_values(line, signal)
-    return np.where(np.isnan(smooth), np.nan, line), smooth, line - smooth
+# Recursive indicators: v moves by alpha toward each new value, v = (1 - alpha) v + alpha x, which is affine in the v before.
 
+#: Values of a series that a task takes at a time.
+BLOCK = 4096
 
-def true_range_values(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarray:
-    before = np.concatenate([[np.nan], close[:-1]])
-    return np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))
 
+def _within(alpha: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_k", kind="stable")
+        out, v, keep = np.empty(len(frame)), 0.0, 1 - alpha
+        for i, x in enumerate(frame["_e"].tolist()):
+            v = keep * v + x
+            out[i] = v
+        return frame.assign(_v=out)
 
-Values = Callable[[pd.DataFrame], dict[str, np.ndarray]]
+    run.__annotations__.clear()
+    return run
 
 
-def _source(frame: pd.DataFrame, source: str) -> np.ndarray:
-    f = {c: frame[c].to_numpy(np.float64) for c in ("open", "high", "low", "close")}
-    return {"hl2": lambda: (f["high"] + f["low"]) / 2, "hlc3": lambda: (f["high"] + f["low"] + f["close"]) / 3, "ohlc4": lambda: (f["open"] + f["high"] + f["low"] + f["close"]) / 4}.get(source, lambda: f[source])()
+def _carried(frame: pd.DataFrame) -> pd.DataFrame:
+    """What each block of a series begins with, from the blocks' own ends and factors."""
+    frame = frame.sort_values("_block")
+    out, v = [], 0.0
+    for end, factor in zip(frame["_end"].tolist(), frame["_factor"].tolist(), strict=True):
+        out.append(v)
+        v = end + factor * v
+    return frame[["instrument", "_block"]].assign(_begin=out)
 
 
-def ema(n: int, source: str = "close", name: str = "ema") -> Values:
-    return lambda f: {name: ema_values(_source(f, source), n)}
+_carried.__annotations__.clear()
 
 
-def rma(n: int, source: str = "close", name: str = "rma") -> Values:
-    return lambda f: {name: rma_values(_source(f, source), n)}
+def smoothed(bars: DataFrame, x: Column, n: int, alpha: float, name: str) -> DataFrame:
+    """bars with the smoothed series of x: null until n defined values have come, then their mean, which each further value moves by alpha.
 
+    A series is cut into blocks of BLOCK values. Each block is smoothed by itself from zero, the blocks' ends are carried along
+    (a row for each block), and what a block begins with fades within it by 1 - alpha a step; so no task holds a series.
+    """
+    w = by_time()
+    rows = bars.withColumn("_x", x.cast("double"))
+    seen = F.when(F.col("_x").isNotNull(), F.count("_x").over(w.rowsBetween(Window.unboundedPreceding, 0)) - n)
+    # The first n values enter as their mean, at the place of the last of them.
+    seed = F.avg("_x").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_k", seen).withColumn("_e", F.when(F.col("_k") == 0, seed).when(F.col("_k") > 0, alpha * F.col("_x")))
+    moving = rows.where("_k >= 0").select("instrument", "close_ts", "_k", "_e", F.floor(F.col("_k") / BLOCK).alias("_block"))
+    own = moving.groupBy("instrument", "_block").applyInPandas(_within(alpha), "instrument string, close_ts long, _k long, _e double, _block long, _v double")
+    ends = own.groupBy("instrument", "_block").agg(F.max_by("_v", "_k").alias("_end"), F.pow(F.lit(1 - alpha), F.count("*")).alias("_factor"))
+    begins = ends.groupBy("instrument").applyInPandas(_carried, "instrument string, _block long, _begin double")
+    value = F.col("_v") + F.col("_begin") * F.pow(F.lit(1 - alpha), F.col("_k") % BLOCK + 1)
+    made = own.join(begins, ["instrument", "_block"]).select("instrument", "close_ts", value.alias(name))
+    return rows.drop("_x", "_k", "_e").join(made, ["instrument", "close_ts"], "left")
 
-def rsi(n: int = 14, source: str = "close", name: str = "rsi") -> Values:
-    return lambda f: {name: rsi_values(_source(f, source), n)}
 
+def ema(bars: DataFrame, n: int, source: str | Column = "close", name: str = "ema") -> DataFrame:
+    return smoothed(bars, price(source) if isinstance(source, str) else source, n, 2.0 / (n + 1), name)
 
-def macd(fast: int = 12, slow: int = 26, signal: int = 9, source: str = "close") -> Values:
-    return lambda f: dict(zip(("macd", "signal", "histogram"), macd_values(_source(f, source), fast, slow, signal), strict=True))
 
+def rma(bars: DataFrame, n: int, source: str | Column = "close", name: str = "rma") -> DataFrame:
+    return smoothed(bars, price(source) if isinstance(source, str) else source, n, 1.0 / n, name)
 
-def atr(n: int = 14, name: str = "atr") -> Values:
-    return lambda f: {name: rma_values(true_range_values(*(f[c].to_numpy(np.float64) for c in ("high", "low", "close"))), n)}
 
+def rsi(bars: DataFrame, n: int = 14, source: str = "close", name: str = "rsi") -> DataFrame:
+    rows = bars.withColumn("_change", price(source) - F.lag(price(source)).over(by_time()))
+    both = rma(rma(rows, n, F.greatest("_change", F.lit(0)) + F.col("_change") * 0, "_gain"), n, F.greatest(-F.col("_change"), F.lit(0)) + F.col("_change") * 0, "_loss")
+    gain, loss = F.col("_gain"), F.col("_loss")
+    value = F.when(loss == 0, F.when(gain == 0, 50.0).otherwise(100.0)).otherwise(100 - 100 / (1 + gain / F.nullif(loss, F.lit(0.0))))
+    return both.withColumn(name, F.when(gain.isNotNull(), value)).drop("_change", "_gain", "_loss")
 
-def recursive(bars: DataFrame, names: list[str], *values: Values) -> DataFrame:
-    """bars with the named double columns that ``values`` make from each instrument's bars in order; null until defined.
 
-    An instrument's bars must fit into one Python worker: a million bars take about 64 MB.
-    """
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, source: str = "close") -> DataFrame:
+    """bars with macd, signal and histogram."""
+    if fast >= slow:
+        raise ValueError("the fast period must be below the slow one")
+    line = ema(ema(bars, fast, source, "_fast"), slow, source, "_slow").withColumn("_line", F.col("_fast") - F.col("_slow"))
+    out = ema(line, signal, F.col("_line"), "signal")
+    return out.withColumn("macd", F.when(F.col("signal").isNotNull(), F.col("_line"))).withColumn("histogram", F.col("_line") - F.col("signal")).drop("_fast", "_slow", "_line")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("close_ts", kind="stable")
-        out = {k: v for make in values for k, v in make(frame).items()}
-        return frame.assign(**{n: pd.Series(out[n], index=frame.index).astype("Float64").where(~np.isnan(out[n]), pd.NA) for n in names})
 
-    run.__annotations__.clear()
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema] + [f"`{n}` double" for n in names])
-    return bars.groupBy("instrument").applyInPandas(run, schema)
+def atr(bars: DataFrame, n: int = 14, name: str = "atr") -> DataFrame:
+    return rma(bars.withColumn("_range", true_range()), n, F.col("_range"), name).drop("_range")

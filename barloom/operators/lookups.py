@@ -22,6 +22,41 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: s
     return both.select("row.*", *(F.col(f"h.{c}").alias(c) for c in columns))
 
 
+#: A side of at most so many rows may be broadcast.
+MOST_SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is counted to be small; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(MOST_SMALL + 1).count() <= MOST_SMALL else df
+
+
+def step(left: DataFrame, points: DataFrame, ts: Column, at: str, columns: list[str], width: int, strict: bool = True, backward: bool = False) -> DataFrame:
+    """left with ``columns`` of the first of a few points after ts (not strict: at or after it; backward: the last before it), null if there is none.
+
+    Points are a step function of time with unique times. Its cells of ``width`` hold their points and the next point beyond them, so that each row finds
+    its own by the number of its cell, an equality; rows are not sorted, and no key holds them all.
+    """
+    ends = points.agg(F.min(at).alias("a"), F.max(at).alias("z")).first()
+    if ends.a is None:
+        return left.select("*", *(F.lit(None).cast(points.schema[c].dataType).alias(c) for c in columns))
+    cell = lambda c: F.call_function("div", c - F.pmod(c, F.lit(width)), F.lit(width))
+    first, last = (v // width for v in (ends.a, ends.z))
+    held = points.groupBy(cell(F.col(at)).alias("_cell")).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("_at"), *columns))).alias("_own"))
+    cells = points.sparkSession.range(first, last + 1).select(F.col("id").alias("_cell")).join(held, "_cell", "left")
+    # The cells are as many as the points' span has; one task lays the next point beyond over them.
+    beyond = Window.orderBy(F.col("_cell").desc() if not backward else F.col("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = F.last(F.element_at("_own", -1 if backward else 1), ignorenulls=True).over(beyond)
+    cells = cells.select("_cell", "_own", outer.alias("_next"))
+    after = {(True, False): lambda p, t: p["_at"] > t, (False, False): lambda p, t: p["_at"] >= t, (True, True): lambda p, t: p["_at"] < t, (False, True): lambda p, t: p["_at"] <= t}[strict, backward]
+    # Times outside the span look from its edge: the points there are all before or all after them.
+    rows = left.withColumn("_t", ts).withColumn("_cell", F.greatest(F.lit(first), F.least(F.lit(last), cell(F.col("_t")))))
+    met = rows.join(small(cells), "_cell", "left")
+    inside = F.filter("_own", lambda p: after(p, F.col("_t")))
+    chosen = F.coalesce(F.get(inside, F.size(inside) - 1 if backward else F.lit(0)), F.when(after(F.col("_next"), F.col("_t")), F.col("_next")))
+    return met.withColumn("_p", chosen).select(*left.columns, *(F.col(f"_p.{c}").alias(c) for c in columns))
+
+
 def exact(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """left with columns of the row of right that has the same keys."""
     return left.join(right.select(*keys, *columns), keys, "left")

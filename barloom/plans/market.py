@@ -205,12 +205,12 @@ def _smooth(name: str, source: str, x: str, n: int, alpha: str) -> str:
 
 @query(f"WITH RECURSIVE {BARS}, {_smooth('e', 'bars', 'close', 20, '2.0::DOUBLE / 21')} SELECT b.instrument, b.close_ts, round(v, 4) AS ema FROM bars b LEFT JOIN e USING (instrument, close_ts)")
 def ema(spark: SparkSession, d: str) -> DataFrame:
-    return indicators.recursive(adapters.hourly(spark, d), ["ema"], indicators.ema(20)).select("instrument", "close_ts", _r("ema").alias("ema"))
+    return indicators.ema(adapters.hourly(spark, d), 20).select("instrument", "close_ts", _r("ema").alias("ema"))
 
 
 @query(f"WITH RECURSIVE {BARS}, {_smooth('e', 'bars', 'close', 14, '1.0::DOUBLE / 14')} SELECT b.instrument, b.close_ts, round(v, 4) AS rma FROM bars b LEFT JOIN e USING (instrument, close_ts)")
 def rma(spark: SparkSession, d: str) -> DataFrame:
-    return indicators.recursive(adapters.hourly(spark, d), ["rma"], indicators.rma(14)).select("instrument", "close_ts", _r("rma").alias("rma"))
+    return indicators.rma(adapters.hourly(spark, d), 14).select("instrument", "close_ts", _r("rma").alias("rma"))
 
 
 @query(
@@ -218,12 +218,12 @@ def rma(spark: SparkSession, d: str) -> DataFrame:
     SELECT b.instrument, b.close_ts, round(CASE WHEN l.v = 0 THEN CASE WHEN g.v = 0 THEN 50 ELSE 100 END ELSE 100 - 100 / (1 + g.v / l.v) END, 4) AS rsi FROM bars b LEFT JOIN g USING (instrument, close_ts) LEFT JOIN l USING (instrument, close_ts)"""
 )
 def rsi(spark: SparkSession, d: str) -> DataFrame:
-    return indicators.recursive(adapters.hourly(spark, d), ["rsi"], indicators.rsi(14)).select("instrument", "close_ts", _r("rsi").alias("rsi"))
+    return indicators.rsi(adapters.hourly(spark, d), 14).select("instrument", "close_ts", _r("rsi").alias("rsi"))
 
 
 @query(f"WITH RECURSIVE {BARS}, t AS (SELECT instrument, close_ts, {_TR} AS tr FROM bars), {_smooth('e', 't', 'tr', 14, '1.0::DOUBLE / 14')} SELECT b.instrument, b.close_ts, round(v, 4) AS atr FROM bars b LEFT JOIN e USING (instrument, close_ts)")
 def atr(spark: SparkSession, d: str) -> DataFrame:
-    return indicators.recursive(adapters.hourly(spark, d), ["atr"], indicators.atr(14)).select("instrument", "close_ts", _r("atr").alias("atr"))
+    return indicators.atr(adapters.hourly(spark, d), 14).select("instrument", "close_ts", _r("atr").alias("atr"))
 
 
 @query(
@@ -231,7 +231,7 @@ def atr(spark: SparkSession, d: str) -> DataFrame:
     {_smooth('g', 'ln', 'x', 9, '2.0::DOUBLE / 10')} SELECT b.instrument, b.close_ts, round(CASE WHEN g.v IS NOT NULL THEN ln.x END, 4) AS macd, round(g.v, 4) AS signal, round(ln.x - g.v, 4) AS histogram FROM bars b LEFT JOIN ln USING (instrument, close_ts) LEFT JOIN g USING (instrument, close_ts)"""
 )
 def macd(spark: SparkSession, d: str) -> DataFrame:
-    return indicators.recursive(adapters.hourly(spark, d), ["macd", "signal", "histogram"], indicators.macd()).select("instrument", "close_ts", *(_r(c).alias(c) for c in ("macd", "signal", "histogram")))
+    return indicators.macd(adapters.hourly(spark, d)).select("instrument", "close_ts", *(_r(c).alias(c) for c in ("macd", "signal", "histogram")))
 
 
 @query(f"WITH {BARS}, q AS (SELECT o_orderkey AS k, 'click' AS instrument, {19723 * 24 * H} + (o_orderkey * 7919 * 1000000) % {31 * 24 * H} AS ts FROM orders) SELECT q.k, q.ts, b.close_ts AS bar_ts, b.close FROM q ASOF LEFT JOIN bars b ON q.instrument = b.instrument AND q.ts >= b.close_ts")
@@ -262,8 +262,12 @@ def volume_crossover(spark: SparkSession, d: str) -> DataFrame:
     m AS (SELECT DISTINCT instrument, dense_rank() OVER (ORDER BY instrument) - 1 AS k FROM bars) SELECT b.instrument, close_ts, volume, segment, nation FROM bars b JOIN m USING (instrument) JOIN i ON i.k = m.k"""
 )
 def instrument_dim(spark: SparkSession, d: str) -> DataFrame:
-    names = sorted(r[0] for r in adapters.ticks(spark, d).select("instrument").distinct().collect())
-    reference = adapters.table(spark, d, "customer").orderBy("c_custkey").limit(len(names)).join(adapters.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    numbered = reference.select("c_custkey", F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation")).withColumn("k", F.row_number().over(Window.orderBy("c_custkey")) - 1)
-    ids = spark.createDataFrame(list(enumerate(names)), "k int, instrument string").join(numbered, "k")
-    return adapters.hourly(spark, d).join(F.broadcast(ids), "instrument").select("instrument", "close_ts", "volume", "segment", "nation")
+    """Bars with reference data: instruments and customers are numbered, and equal numbers belong together. Only the distinct instruments and as many customers are put in
+    order; the side is broadcast if it is counted to be small."""
+    b = adapters.hourly(spark, d)
+    names = b.select("instrument").distinct().withColumn("k", F.row_number().over(Window.orderBy("instrument")) - 1)
+    reference = adapters.table(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("segment")).orderBy("c_custkey").limit(names.count())
+    numbered = reference.withColumn("k", F.row_number().over(Window.orderBy("c_custkey")) - 1)
+    nations = adapters.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
+    ids = names.join(numbered, "k").join(nations, "c_nationkey").select("instrument", "segment", "nation")
+    return b.join(lookups.small(ids), "instrument").select("instrument", "close_ts", "volume", "segment", "nation")

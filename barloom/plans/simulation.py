@@ -188,8 +188,7 @@ def _shipments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {_SHIP} SELECT symbol, until AS ts, CAST(gap AS BIGINT) AS gap FROM gp WHERE until IS NOT NULL")
 def roll_points(spark: SparkSession, d: str) -> DataFrame:
-    points = futures.roll_points(*_shipments(spark, d))
-    return spark.createDataFrame([(x["symbol"], x["until"], x["gap"]) for x in points if x["until"] is not None], "symbol string, ts long, gap long")
+    return futures.roll_points(*_shipments(spark, d)).where("until is not null").select("symbol", F.col("until").alias("ts"), "gap")
 
 
 @query(f"WITH {_SHIP} SELECT instrument, open_ts, close_ts, open + shift AS open, high + shift AS high, low + shift AS low, close + shift AS close, volume FROM sb JOIN ad ON symbol = instrument AND (after IS NULL OR close_ts > after) AND (until IS NULL OR close_ts <= until)")
@@ -212,7 +211,6 @@ def continuous_ratio(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def volume_roll(spark: SparkSession, d: str) -> DataFrame:
     bars, c = _shipments(spark, d)
-    points = futures.roll_points(bars, c, "volume")
-    return spark.createDataFrame([(x["symbol"], x["until"], x["gap"], x["trigger"]) for x in points if x["until"] is not None], "symbol string, ts long, gap long, trigger string")
+    return futures.roll_points(bars, c, "volume").where("until is not null").select("symbol", F.col("until").alias("ts"), "gap", "trigger")
 
 
