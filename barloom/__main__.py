@@ -1,8 +1,9 @@
-"""Command line: ``python -m barloom run|report|convert``.
+"""Command line: ``python -m barloom run|report|convert|fetch``.
 
-run      simulates a strategy over a tape or a delimited file, stores its events and prints its figures
+run      runs a strategy over a tape or a delimited file, stores its events and prints its figures; each instrument is a run
 report   prints, or writes as JSON or HTML, the figures of a stored run
-convert  turns a delimited file into a tape
+convert  turns the bars of one instrument in a delimited file into a tape
+fetch    reads bars from a venue into a store
 """
 
 from __future__ import annotations
@@ -13,18 +14,14 @@ import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.functions import times
-from barloom.operators import backtest, report
-from barloom.operators.kernel import INSTRUMENTS, PRESETS, Instrument
+from barloom.operators import report, runs
+from barloom.operators.instruments import PRESETS, Instrument, load
 from barloom.operators.strategies import STRATEGIES
 from barloom.session import session
-from barloom.sources import files
-
-
-def _instrument(text: str) -> Instrument:
-    """A preset's name, or a file with an instrument as JSON."""
-    return INSTRUMENTS[text] if text in INSTRUMENTS else Instrument(**json.loads(Path(text).read_text()))
+from barloom.sources import files, venues
 
 
 def _bars(spark: SparkSession, a: argparse.Namespace, own: Instrument) -> DataFrame:
@@ -43,14 +40,27 @@ def _shown(events: DataFrame, run_id: str, a: argparse.Namespace) -> None:
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
-    own = _instrument(a.instrument)
-    bars = _bars(spark, a, own)
-    names = [r[0] for r in bars.select("instrument").distinct().collect()]
-    runs = spark.createDataFrame([(a.run_id, n, a.strategy, a.params) for n in names[:1]], backtest.RUN_SCHEMA)
-    events = backtest.backtest(bars, runs, own, PRESETS[a.preset], cash=int(a.cash * 10**8), flatten=a.flatten).persist()
+    own = load(a.instrument)
+    bars = _bars(spark, a, own).persist()
+    params = json.loads(a.params) | ({"flatten": True} if a.flatten else {})
+    several = bars.select("instrument").distinct().limit(2).count() > 1
+    name = F.concat(F.lit(a.run_id + "/"), "instrument") if several else F.lit(a.run_id)
+    events = runs.run(bars, a.strategy, own, PRESETS[a.preset], name, int(a.cash * 10**8), **params).persist()
     if a.store:
         files.Store(spark, a.store).save_run(events, int(time.time() * 1_000_000))
-    _shown(events, a.run_id, a)
+    for r in events.select("run_id").distinct().orderBy("run_id").toLocalIterator():
+        _shown(events, r.run_id, a)
+
+
+def fetch(spark: SparkSession, a: argparse.Namespace) -> None:
+    own = load(a.instrument)
+    spark.dataSource.register(venues.VenueSource)
+    options = {"venue": a.venue, "base": a.base, "symbol": own.symbol, "timeframe": a.timeframe, "since": a.since, "until": a.until} | ({"fetch": a.fetch} if a.fetch else {})
+    bars = venues.scaled(spark.read.format("venue").options(**options).load(), own.price_exp, own.qty_exp)
+    store = files.Store(spark, a.store)
+    store.put_bars(bars.withColumn("timeframe", F.lit(times.parse_timeframe(a.timeframe))))
+    n = store.coverage().where(F.col("instrument") == own.symbol).agg(F.sum("bar_count")).first()[0]
+    print(f"{n or 0} bars")
 
 
 def show(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -58,7 +68,7 @@ def show(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def convert(spark: SparkSession, a: argparse.Namespace) -> None:
-    own = _instrument(a.instrument)
+    own = load(a.instrument)
     frame = _bars(spark, a, own).orderBy("open_ts").toPandas()
     Path(a.to).write_bytes(files.bars_to_tape(frame, {"symbol": own.symbol, "priceExp": own.price_exp, "qtyExp": own.qty_exp}, times.parse_timeframe(a.timeframe)))
     print(f"{len(frame)} bars")
@@ -67,11 +77,18 @@ def convert(spark: SparkSession, a: argparse.Namespace) -> None:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("barloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = p.add_subparsers(required=True)
-    for name, f in (("run", run), ("report", show), ("convert", convert)):
+    for name, f in (("run", run), ("report", show), ("convert", convert), ("fetch", fetch)):
         c = sub.add_parser(name)
         c.set_defaults(run=f)
-        if name != "report":
+        if name == "fetch":
+            c.add_argument("--venue", default="klines", choices=("klines", "candles"))
+            c.add_argument("--base", required=True)
+            c.add_argument("--since", required=True)
+            c.add_argument("--until", required=True)
+            c.add_argument("--fetch")
+        if name in ("run", "convert"):
             c.add_argument("source")
+        if name != "report":
             c.add_argument("--instrument", default="BTCUSDT")
             c.add_argument("--timeframe", default="1h")
             c.add_argument("--unit", default="iso", choices=("iso", "ms", "s", "us"))
@@ -84,8 +101,9 @@ def parser() -> argparse.ArgumentParser:
         if name == "convert":
             c.add_argument("--to", required=True)
         else:
+            c.add_argument("--store", required=name != "run")
+        if name in ("run", "report"):
             c.add_argument("--run-id", default="run")
-            c.add_argument("--store", required=name == "report")
             c.add_argument("--json")
             c.add_argument("--html")
     return p

@@ -1,13 +1,13 @@
-"""Orders that do not depend on each other, matched against bars as queries: validation, slippage, commission, first touch.
-
-Anything in which orders meet (one-cancels-other, partial fills over several bars, positions) is simulated by ``barloom.operators.kernel``.
-"""
+"""Orders as expressions: validation, slippage, commission, participation, liveness; matching is in ``barloom.operators.matching``."""
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.errors import ConfigError
 from barloom.functions import fixed
 from barloom.operators import bars as _bars
 
@@ -64,6 +64,53 @@ def commission_spot(notional: Column, taker: Column, venue: str) -> Column:
     return fixed.mul_div(notional, F.when(taker, F.lit(take)).otherwise(F.lit(maker)).cast("long"), 100_000, "half-up")
 
 
+def commission_percent(notional: Column, taker: Column, maker: str, take: str, least: str = "0") -> Column:
+    """A share of the notional, given in percent as text, halves away from zero; at least ``least`` of money."""
+    rates = [_decimal(x, 6) for x in (maker, take)]
+    if min(rates) < 0:
+        raise ConfigError("commission percent must not be negative")
+    rate = F.when(taker, F.lit(rates[1])).otherwise(F.lit(rates[0])).cast("long")
+    return F.greatest(fixed.mul_div(notional, rate, 100 * 10**6, "half-up"), F.lit(_decimal(least, 8)).cast("long"))
+
+
+def tariff_per_contract(contract: str, day_trade: bool = False, brokerage: str = "0", usd_brl: str | None = None) -> int:
+    """Money for each contract under the exchange's tariff: its fee, converted where it is in dollars, less the part off for day trades, and the broker's charge."""
+    cents, currency, off = FUTURES_FEES[contract]
+    if (currency == "USD") != (usd_brl is not None):
+        raise ConfigError(f"{contract} is priced in {currency}: a rate of exchange belongs to fees in USD only")
+    fee = cents * 10**6
+    if usd_brl is not None:
+        fee = _half_up(fee * _decimal(usd_brl, 8), 10**8)
+    if day_trade:
+        fee -= _half_up(fee * off, 100)
+    total = fee + _decimal(brokerage, 8)
+    if total < 0:
+        raise ConfigError("costs must not be negative")
+    return total
+
+
+def commission_tariff(qty: Column, contract: str, **options) -> Column:
+    return fixed.mul_div(qty, tariff_per_contract(contract, **options), 1, "half-up")
+
+
+def qty_from_notional(notional: Column, price: Column, point_value: int, divisor: int, lot: int) -> Column:
+    """The most whole lots that money buys at a price."""
+    qty = fixed.mul_div(notional, divisor, F.nullif(price * point_value, F.lit(0)), "floor")
+    return F.greatest(qty - F.pmod(qty, F.lit(lot)), F.lit(0))
+
+
+def _decimal(text: str, exp: int) -> int:
+    """Decimal text in units of 10^-exp, further digits rounded half away from zero."""
+    try:
+        return int(Decimal(text).scaleb(exp).quantize(Decimal(1), ROUND_HALF_UP))
+    except ArithmeticError:
+        raise ConfigError(f"not a decimal: {text!r}") from None
+
+
+def _half_up(n: int, d: int) -> int:
+    return (2 * n + d) // (2 * d)
+
+
 def commission_per_unit(qty: Column, fee: int, qty_exp: int = 0) -> Column:
     return fixed.mul_div(qty, fee, 10**qty_exp, "half-up")
 
@@ -75,37 +122,14 @@ def participation(volume: Column, remaining: Column, bps: int, lot: Column | int
     return F.when(volume <= 0, remaining).otherwise(F.least(remaining, lots))
 
 
-def touched(kind: Column, side: Column, level: Column) -> tuple[Column, Column]:
-    """Whether a bar reaches an order (kind market, limit or stop), and at which price."""
-    buy = side > 0
-    hit = (
-        F.when(kind == "market", F.lit(True))
-        .when(kind == "limit", F.when(buy, F.col("low") <= level).otherwise(F.col("high") >= level))
-        .otherwise(F.when(buy, F.col("high") >= level).otherwise(F.col("low") <= level))
-    )
-    price = (
-        F.when(kind == "market", F.col("open"))
-        .when((kind == "limit") == buy, F.least(level, F.col("open")))
-        .otherwise(F.greatest(level, F.col("open")))
-    )
-    return hit, price
-
-
-def first_touch(orders: DataFrame, bars: DataFrame, most_bars: int) -> DataFrame:
-    """orders (order_id, instrument, active_from, kind, side, level) with fill_ts and price of the first of the next ``most_bars`` bars that
-    reaches them; null if none does.
+def live(status: Column) -> Column:
+    """Whether an order may still fill."""
+    return status.isin("pending", "working", "partially_filled")
 
-    An order's first bar is found as of its time, by one sort; it then meets at most ``most_bars`` bars by their number, by
-    equality, so that the join does not compare every order with every bar.
-    """
-    from barloom.operators.lookups import as_of
 
-    b = _bars.numbered(bars)
-    seen = as_of(orders, b.select("instrument", "close_ts", F.col("i").alias("seen")), "instrument", "active_from", "close_ts", ["seen"])
-    tries = seen.select("order_id", "instrument", "kind", "side", "level", F.explode(F.sequence(F.coalesce("seen", F.lit(-1)) + 1, F.coalesce("seen", F.lit(-1)) + most_bars)).alias("i"))
-    hit, price = touched(F.col("kind"), F.col("side"), F.col("level"))
-    found = tries.join(b, ["instrument", "i"]).where(hit).groupBy("order_id").agg(F.min(F.struct(F.col("close_ts").alias("fill_ts"), price.alias("price"))).alias("x"))
-    return orders.join(found, "order_id", "left").select(*orders.columns, "x.fill_ts", "x.price")
+def jitter(price: Column, side: Column, taker: Column, tick: Column | int, most: int, *keys: Column) -> Column:
+    """The price a taker pays moved against it by 0 to ``most`` whole ticks, drawn by a hash of the keys: repeatable, and independent of the order of rows."""
+    return F.when(taker, price + side * tick * F.pmod(F.xxhash64(*keys, F.lit("jitter")), F.lit(most + 1))).otherwise(price)
 
 
 def next_open(orders: DataFrame, bars: DataFrame) -> DataFrame:

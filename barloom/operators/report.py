@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, metrics
+from barloom.operators import metrics, runs
 
 MOST_TRADES, BUCKETS, BINS = 250, 600, 31
 
@@ -35,7 +35,7 @@ def iso(us: int | None) -> str | None:
 def summary(events: DataFrame, run_id: str, qty_exp: int = 0) -> dict:
     """The figures of a run in groups: period, equity, risk, trades, costs, modelling."""
     own = events.where(F.col("run_id") == run_id)
-    equity, trades, fills = backtest.equity(own), backtest.trades(own).withColumnRenamed("run_id", "run"), backtest.fills(own)
+    equity, trades, fills = runs.equity(own), runs.trades(own).withColumnRenamed("run_id", "run"), runs.fills(own)
     first = lambda df: (df.first() or None) and df.first().asDict()
     ends = equity.agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("bars"), F.min_by("equity", "ts").alias("initial")).first()
     final = own.where("kind = 'final'").select("amount", "commission").first()
@@ -109,14 +109,14 @@ def path(points: list[tuple[float, float]], width: float, height: float) -> str:
 def to_html(events: DataFrame, run_id: str, title: str | None = None) -> str:
     """One file without scripts: figures, equity, drawdown, returns and the first trades."""
     own = events.where(F.col("run_id") == run_id)
-    equity = backtest.equity(own)
+    equity = runs.equity(own)
     s = summary(events, run_id)
     curve = [(r["ts"], r["equity"]) for r in metrics.downsample(equity, "equity", BUCKETS).orderBy("ts").collect()]
     under = [(r["ts"], -r["depth"]) for r in metrics.downsample(metrics.underwater(equity), "depth", BUCKETS).orderBy("ts").collect()]
     bins = {r["bin"]: r["n"] for r in metrics.histogram(metrics.returns(equity), "r", BINS).collect()}
     top = max(bins.values(), default=1)
     bars = "".join(f'<rect x="{i * 600 / BINS:.1f}" y="{120 - 120 * n / top:.1f}" width="{600 / BINS - 1:.1f}" height="{120 * n / top:.1f}"/>' for i, n in sorted(bins.items()))
-    trades = backtest.trades(own).orderBy("entry_ts", "exit_ts").limit(MOST_TRADES).collect()
+    trades = runs.trades(own).orderBy("entry_ts", "exit_ts").limit(MOST_TRADES).collect()
     rows = "".join(f"<tr><td>{html.escape(t['instrument'])}<td>{'long' if t['direction'] > 0 else 'short'}<td>{t['qty']}<td>{iso(t['entry_ts'])}<td>{iso(t['exit_ts'])}<td>{money(t['net'])}" for t in trades)
     figures = "".join(f"<h2>{g}</h2><table>" + "".join(f"<tr><td>{html.escape(k)}<td>{html.escape('n/a' if v is None else str(v))}" for k, v in x.items() if k != "warnings") + "</table>" for g, x in s.items())
     caveats = "".join(f"<p class=w>{html.escape(w)}</p>" for w in s["modelling"]["warnings"])

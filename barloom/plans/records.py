@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import fixed, times
-from barloom.operators import backtest, futures, ledger
-from barloom.operators.kernel import Execution
+from barloom.operators import futures, ledger
 from barloom.plans.market import ORDER, TICKS, _rounded
 from barloom.plans.registry import query
-from barloom.plans.simulation import _SPOT, _runs
 from barloom.plans.trading import DIVISOR, POINT, _basis, _cross, crossover
 from barloom.sources import adapters
 
@@ -74,12 +71,3 @@ def smallest_covering(spark: SparkSession, d: str) -> DataFrame:
     r = adapters.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("range")).agg(times.micros(F.min("o_orderdate")).alias("from_ts"), times.micros(F.max("o_orderdate")).alias("to_ts"), F.count("*").alias("bar_count"))
     covers = (F.col("from_ts") <= times.micros(F.lit("1997-01-01").cast("timestamp"))) & (F.col("to_ts") >= times.micros(F.lit("1999-01-01").cast("timestamp")))
     return r.where(covers).orderBy("bar_count", "range").limit(1)
-
-
-@query()
-def run_counters(spark: SparkSession, d: str) -> DataFrame:
-    """The broker's counters of each run."""
-    runs = _runs(spark, d, "breakout", [{"lookback": 24, "volume": 1.0, "qty": 500}])
-    return backtest.counters(backtest.backtest(adapters.hourly(spark, d), runs, _SPOT, Execution(participation=2_000, latency=(0, 5_000_000_000))))
-
-

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest
-from barloom.operators.kernel import Execution
 from barloom.plans.market import BARS, TICKS
 from barloom.plans.registry import query
-from barloom.plans.simulation import _SPOT
+from barloom.plans.trading import _cross, crossover
 from barloom.sources import adapters
 from barloom.streaming import session
 
@@ -58,18 +55,20 @@ def late_rows(spark: SparkSession, d: str) -> DataFrame:
     return session.late(rows, "ts_us", "arrived").select("instrument", "seq", "ts_us", "newest")
 
 
-@query()
+@query(f"WITH {_cross(8, 24, 10, 0, 0)} SELECT instrument, close_ts AS ts, CAST(sign(delta) AS INTEGER) AS side, abs(delta) AS qty, fill_price AS price, true AS equal FROM run WHERE delta <> 0")
 def stream_kernel_equals_batch(spark: SparkSession, d: str) -> DataFrame:
-    """The fills of a crossover session over a stream of bars, and whether the batch has the same."""
-    bars, params, ex = adapters.hourly(spark, d), json.dumps({"fast": 8, "slow": 24, "qty": 10}), Execution(slippage=("bps", 15), commission=("bps", 10, 10, 0))
+    """The fills of a crossover over a stream of bars, and whether the batch has the same."""
+    bars = adapters.hourly(spark, d)
     at = _folder(spark)
-    rows = bars.select(F.col("instrument").alias("session"), F.lit("bar").alias("kind"), F.lit("sma-crossover").alias("strategy"), F.lit(params).alias("params"), *bars.columns)
-    rows.repartition(2, "session").write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
-    live = session.run_to_end(session.paper(stream, _SPOT, ex), f"{at}/out", f"{at}/state").where("kind = 'fill'").select("instrument", "ts", "side", "price", "qty", "commission")
-    names = [r[0] for r in bars.select("instrument").distinct().collect()]
-    runs = spark.createDataFrame([(n, n, "sma-crossover", params) for n in names], backtest.RUN_SCHEMA)
-    batch = backtest.fills(backtest.backtest(bars, runs, _SPOT, ex, flatten=False)).select("instrument", "ts", "side", "price", "qty", "commission", F.lit(True).alias("batch"))
-    return live.withColumn("live", F.lit(True)).join(batch, ["instrument", "ts", "side", "price", "qty", "commission"], "full").select("instrument", "ts", "side", "price", "qty", "commission", (F.col("live") & F.col("batch")).alias("equal"))
-
-
+    bars.repartition(2, "instrument").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(bars.schema).parquet(f"{at}/in")
+    keys = ["instrument", "ts", "side", "qty", "price"]
+    live = session.run_to_end(session.crossover_fills(stream, 8, 24, 10), f"{at}/out", f"{at}/state").where("kind = 'fill'").select(*keys, F.lit(True).alias("live"))
+    batch = crossover(bars, 8, 24, 10).where("delta <> 0").select("instrument", F.col("close_ts").alias("ts"), F.signum("delta").cast("int").alias("side"), F.abs("delta").alias("qty"), F.col("fill_price").alias("price"), F.lit(True).alias("batch"))
+    return live.join(batch, keys, "full").select(*keys, F.coalesce(F.col("live") & F.col("batch"), F.lit(False)).alias("equal"))
+
+
+@query(f"WITH {TICKS}, g AS (SELECT instrument, lag(ts_us) OVER (PARTITION BY instrument ORDER BY ts_us) AS gap_from, ts_us AS gap_to FROM ticks) SELECT * FROM g WHERE gap_to - gap_from > 900000000")
+def feed_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Quarters of an hour without a tick."""
+    return session.gaps(adapters.ticks(spark, d), "ts_us", 900_000_000)

@@ -6,23 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import fixed, times
-from barloom.operators import bars, ledger, metrics, orders
+from barloom.operators import bars, ledger, matching, metrics, orders
 from barloom.plans.market import BARS, ORDER, TICKS, _rounded
 from barloom.plans.registry import query
 from barloom.sources import adapters
 
 H = times.HOUR
-MOST_BARS = 24
 #: A point of price is worth one unit of money a hundred times over: prices are in cents, money in 10^-8.
 POINT, DIVISOR = 1_000_000, 1
-_ORDERS = f"""{BARS}, ord AS (SELECT seq AS order_id, instrument, ts_us AS active_from, CASE seq // 10 % 3 WHEN 0 THEN 'market' WHEN 1 THEN 'limit' ELSE 'stop' END AS kind, CASE WHEN seq // 30 % 2 = 0 THEN 1 ELSE -1 END AS side,
-  CASE WHEN seq // 10 % 3 = 0 THEN NULL ELSE price + (seq % 97 - 48) * 20 END AS level FROM ticks WHERE seq % 10 = 0)"""
+_ORDERS = f"""{BARS}, ord AS (SELECT seq AS order_id, instrument, ts_us AS active_from, CASE seq % 3 WHEN 0 THEN 'market' WHEN 1 THEN 'limit' ELSE 'stop' END AS kind, CASE WHEN seq // 3 % 2 = 0 THEN 1 ELSE -1 END AS side,
+  CASE WHEN seq % 3 = 0 THEN NULL ELSE price + (seq % 97 - 48) * 20 END AS level FROM ticks)"""
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
-    t = adapters.ticks(spark, d).where("seq % 10 = 0")
-    k = F.call_function("div", F.col("seq"), F.lit(10)) % 3
-    side = F.when(F.call_function("div", F.col("seq"), F.lit(30)) % 2 == 0, 1).otherwise(-1)
+    """An order of every tick."""
+    t, k = adapters.ticks(spark, d), F.col("seq") % 3
+    side = F.when(F.call_function("div", F.col("seq"), F.lit(3)) % 2 == 0, 1).otherwise(-1)
     return t.select(
         F.col("seq").alias("order_id"), "instrument", F.col("ts_us").alias("active_from"), F.when(k == 0, "market").when(k == 1, "limit").otherwise("stop").alias("kind"), side.alias("side"), F.when(k != 0, F.col("price") + (F.col("seq") % 97 - 48) * 20).alias("level")
     )
@@ -31,7 +30,7 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 def _touch(kind: str) -> str:
     return f"""WITH {_ORDERS}, nb AS (SELECT *, row_number() {ORDER}) - 1 AS i FROM bars),
     st AS (SELECT o.*, coalesce((SELECT max(i) FROM nb WHERE nb.instrument = o.instrument AND nb.close_ts <= o.active_from), -1) AS seen FROM ord o WHERE kind = '{kind}'),
-    hit AS (SELECT s.order_id, b.close_ts AS fill_ts, CASE WHEN (s.kind = 'limit') = (s.side > 0) THEN least(s.level, b.open) ELSE greatest(s.level, b.open) END AS price FROM st s JOIN nb b ON b.instrument = s.instrument AND b.i > s.seen AND b.i <= s.seen + {MOST_BARS}
+    hit AS (SELECT s.order_id, b.close_ts AS fill_ts, CASE WHEN (s.kind = 'limit') = (s.side > 0) THEN least(s.level, b.open) ELSE greatest(s.level, b.open) END AS price FROM st s JOIN nb b ON b.instrument = s.instrument AND b.i > s.seen
       WHERE CASE WHEN (s.kind = 'limit') = (s.side > 0) THEN b.low <= s.level ELSE b.high >= s.level END)
     SELECT s.order_id, s.instrument, s.active_from, s.kind, s.side, s.level, x.fill_ts, x.price FROM st s LEFT JOIN (SELECT order_id, min(fill_ts) AS fill_ts, arg_min(price, fill_ts) AS price FROM hit GROUP BY 1) x USING (order_id)"""
 
@@ -44,18 +43,18 @@ def market_next_open(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_touch("limit"))
 def limit_first_touch(spark: SparkSession, d: str) -> DataFrame:
-    return orders.first_touch(_orders(spark, d).where("kind = 'limit'"), adapters.hourly(spark, d), MOST_BARS)
+    return matching.first_touch(_orders(spark, d).where("kind = 'limit'"), adapters.hourly(spark, d))
 
 
 @query(_touch("stop"))
 def stop_first_touch(spark: SparkSession, d: str) -> DataFrame:
-    return orders.first_touch(_orders(spark, d).where("kind = 'stop'"), adapters.hourly(spark, d), MOST_BARS)
+    return matching.first_touch(_orders(spark, d).where("kind = 'stop'"), adapters.hourly(spark, d))
 
 
 @query(f"{_touch('limit')[:-len(' USING (order_id)')]} USING (order_id)".replace("x.fill_ts, x.price", f"CASE WHEN x.fill_ts < (s.active_from // {times.DAY} + 1) * {times.DAY} THEN x.fill_ts END AS fill_ts, (x.fill_ts < (s.active_from // {times.DAY} + 1) * {times.DAY}) IS NOT TRUE AS expired"))
 def day_expiry(spark: SparkSession, d: str) -> DataFrame:
     """Limit orders for the day: they end at the next midnight, before that bar is matched."""
-    o = orders.first_touch(_orders(spark, d).where("kind = 'limit'"), adapters.hourly(spark, d), MOST_BARS)
+    o = matching.first_touch(_orders(spark, d).where("kind = 'limit'"), adapters.hourly(spark, d))
     ends = (times.day_index(F.col("active_from")) + 1) * times.DAY
     alive = F.coalesce(F.col("fill_ts") < ends, F.lit(False))
     return o.withColumn("fill_ts", F.when(alive, F.col("fill_ts"))).withColumn("expired", ~alive).drop("price")
@@ -328,3 +327,21 @@ def mae_mfe(spark: SparkSession, d: str) -> DataFrame:
     held = held.withColumn("entry", F.max("fill_price").over(Window.partitionBy("instrument", "trade")))
     open_ = (F.col("close") - F.col("entry")) * F.col("position") * POINT
     return held.groupBy("instrument", "trade").agg(F.min(open_).alias("mae"), F.max(open_).alias("mfe"), F.count("*").alias("bars_held"))
+
+
+@query(
+    f"WITH {_TAKEN}, n AS (SELECT seq, taker, size, price::HUGEINT * size * 1000000 AS notional FROM x) SELECT seq, greatest({_rounded('(notional * CASE WHEN taker THEN 75000 ELSE 20000 END)', '100000000::HUGEINT', 'half-up')}, 10000000) AS percent, CAST(size * 19500000 AS BIGINT) AS index_day_trade, CAST(size * (64800000 + 25000000) AS BIGINT) AS dollar FROM n"
+)
+def commission_schedules(spark: SparkSession, d: str) -> DataFrame:
+    """Commissions in percent, and by the exchange's tariff: the index for day trades, the dollar at 5.40 with a broker's charge."""
+    x = adapters.ticks(spark, d).select("seq", (F.col("seq") % 3 != 0).alias("taker"), "size", fixed.notional(F.col("price"), F.col("size"), POINT, DIVISOR).alias("notional"))
+    return x.select(
+        "seq", orders.commission_percent(F.col("notional"), F.col("taker"), "0.020", "0.075", "0.1").alias("percent"), orders.commission_tariff(F.col("size"), "WIN", day_trade=True).alias("index_day_trade"), orders.commission_tariff(F.col("size"), "WDO", usd_brl="5.40", brokerage="0.25").alias("dollar")
+    )
+
+
+@query(f"WITH {TICKS} SELECT seq, CASE WHEN price > 0 THEN greatest(((size * 100000000000) // (price * {POINT})) // 3 * 3, 0) END AS qty FROM ticks")
+def qty_from_notional(spark: SparkSession, d: str) -> DataFrame:
+    """The most whole lots of three that a sum of money buys."""
+    t = adapters.ticks(spark, d)
+    return t.select("seq", F.when(F.col("price") > 0, orders.qty_from_notional(F.col("size") * 100_000_000_000, F.when(F.col("price") > 0, F.col("price")), POINT, DIVISOR, 3)).alias("qty"))

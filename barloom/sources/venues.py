@@ -6,6 +6,7 @@ named by the option ``fetch`` (``module:function``, given a URL, returning statu
 
 from __future__ import annotations
 
+import datetime as dt
 import importlib
 import io
 import json
@@ -14,9 +15,12 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from barloom.functions import times
+from barloom.errors import ConfigError, DataError, VenueError
+from barloom.functions import fixed, times
 
 #: Intervals that the venues publish, in microseconds (fixed values).
 KLINE_INTERVALS = {60_000_000 * m: n for m, n in ((1, "1m"), (3, "3m"), (5, "5m"), (15, "15m"), (30, "30m"), (60, "1h"), (120, "2h"), (240, "4h"), (360, "6h"), (480, "8h"), (720, "12h"), (1440, "1d"), (4320, "3d"), (10080, "1w"))}
@@ -48,7 +52,7 @@ def with_retries(fetch: Fetch, url: str, attempts: int = 4, sleep: Callable[[flo
         if status == 200:
             return body
         if status not in RETRY or i == attempts - 1:
-            raise RuntimeError(f"{url} answered {status}")
+            raise VenueError(f"{url} answered {status}")
         wait = str({k.lower(): v for k, v in headers.items()}.get("retry-after", ""))
         sleep(float(wait) if wait.replace(".", "", 1).isdigit() else 0.25 * 2**i)
     raise AssertionError
@@ -90,13 +94,13 @@ class VenueReader(DataSourceReader):
     def partitions(self) -> list[Page]:
         if self.venue == "klines":
             if self.timeframe not in KLINE_INTERVALS:
-                raise ValueError("the venue publishes no such interval")
+                raise ConfigError("the venue publishes no such interval")
             size, name = KLINE_PAGE * self.timeframe, KLINE_INTERVALS[self.timeframe]
             url = lambda a, z: f"{self.base}/api/v3/klines?symbol={self.symbol}&interval={name}&startTime={a // 1_000}&endTime={z // 1_000}&limit={KLINE_PAGE}"
         else:
             seconds = self.timeframe // 1_000_000
             if seconds not in CANDLE_SECONDS:
-                raise ValueError("the venue publishes no such granularity")
+                raise ConfigError("the venue publishes no such granularity")
             size = CANDLE_PAGE * self.timeframe
             url = lambda a, z: f"{self.base}/products/{self.symbol}/candles?granularity={seconds}&start={a // 1_000_000}&end={(z - self.timeframe) // 1_000_000}"
         return [Page(url(a, min(a + size, self.until)), a, min(a + size, self.until)) for a in range(self.since, self.until, size)]
@@ -126,6 +130,59 @@ class VenueSource(DataSource):
         return VenueReader(self.options)
 
 
+def scaled(rows: DataFrame, price_exp: int, qty_exp: int) -> DataFrame:
+    """Bars of SCHEMA with prices and volume at the instrument's scales."""
+    return rows.select("instrument", "open_ts", "close_ts", *(fixed.parse_fixed(F.col(c), price_exp).alias(c) for c in ("open", "high", "low", "close")), fixed.parse_fixed(F.col("volume"), qty_exp).alias("volume"))
+
+
+def _decimals(text: str) -> int:
+    return len(text.partition(".")[2].rstrip("0"))
+
+
+def describe_klines(body: bytes, symbol: str) -> dict:
+    """The specification of an instrument from the venue's exchange information: scales are the decimals of its increments."""
+    found = next((x for x in json.loads(body).get("symbols", []) if x.get("symbol") == symbol), None)
+    if found is None:
+        raise VenueError(f"the venue does not list {symbol}")
+    filters = {f["filterType"]: f for f in found.get("filters", [])}
+    try:
+        tick, lot = filters["PRICE_FILTER"]["tickSize"], filters["LOT_SIZE"]["stepSize"]
+    except KeyError as e:
+        raise DataError(f"{symbol}: no {e.args[0]} in the exchange information") from None
+    return {"symbol": symbol, "venue": "BINANCE", "kind": "spot", "currency": found["quoteAsset"], "priceExp": _decimals(tick), "qtyExp": _decimals(lot), "tickSize": tick.rstrip("0").rstrip("."), "lotSize": lot.rstrip("0").rstrip("."), "pointValue": "1", "accounting": "cash"}
+
+
+def describe_candles(body: bytes) -> dict:
+    """The same from a product record of the other venue."""
+    found = json.loads(body, parse_float=str)
+    try:
+        tick, lot = found["quote_increment"], found["base_increment"]
+        return {"symbol": found["id"], "venue": "COINBASE", "kind": "spot", "currency": found["quote_currency"], "priceExp": _decimals(tick), "qtyExp": _decimals(lot), "tickSize": tick, "lotSize": lot, "pointValue": "1", "accounting": "cash"}
+    except KeyError as e:
+        raise DataError(f"no {e.args[0]} in the product record") from None
+
+
+FRAME = "e string, s string, p string, q string, T long, m boolean, k struct<t: long, T: long, o: string, h: string, l: string, c: string, v: string, x: boolean>"
+
+
+def frames(texts: DataFrame, symbol: str, text: str = "value") -> DataFrame:
+    """A stream's (or a table's) frames with kind (bar, tick, ignored or malformed; only closed candles of the symbol are bars) and the fields of bars (open_ts, close_ts, open, high, low,
+    close, volume) and ticks (ts, price, size, aggressor), prices as text. Counting kinds gives the feed's counters."""
+    wrapped = F.get_json_object(text, "$.data")
+    f = F.from_json(F.coalesce(wrapped, F.col(text)), FRAME)
+    rows = texts.withColumn("_f", f)
+    e, k, own = F.col("_f.e"), F.col("_f.k"), F.col("_f.s") == symbol
+    candle = F.when(~own | F.coalesce(~k["x"], F.lit(False)), "ignored").when(k["t"].isNull() | k["T"].isNull() | k["c"].isNull(), "malformed").otherwise("bar")
+    trade = F.when(~own, "ignored").when(F.col("_f.T").isNull() | F.col("_f.p").isNull() | F.col("_f.q").isNull(), "malformed").otherwise("tick")
+    kind = F.when(e.isNull() | ((e == "kline") & (k.isNull() | F.col("_f.s").isNull())), "malformed").when(e == "kline", candle).when(e == "aggTrade", trade).otherwise("ignored")
+    rows = rows.withColumn("kind", kind)
+    bar, tick = F.col("kind") == "bar", F.col("kind") == "tick"
+    return rows.select(
+        *texts.columns, "kind", F.when(bar, k["t"] * 1_000).alias("open_ts"), F.when(bar, (k["T"] + 1) * 1_000).alias("close_ts"), *(F.when(bar, k[x]).alias(n) for x, n in zip("ohlcv", ("open", "high", "low", "close", "volume"), strict=True)),
+        F.when(tick, F.col("_f.T") * 1_000).alias("ts"), F.when(tick, F.col("_f.p")).alias("price"), F.when(tick, F.col("_f.q")).alias("size"), F.when(tick, F.when(F.col("_f.m"), -1).otherwise(1)).alias("aggressor"),
+    )
+
+
 def frame(text: str, symbol: str) -> tuple[str, tuple | None]:
     """What a stream's frame is (bar, tick, ignored or malformed) and its row, prices as text: only closed candles of the symbol are bars."""
     try:
@@ -164,7 +221,9 @@ def bulletin(data: bytes, wanted: set[str]) -> list[dict[str, str]]:
         with zipfile.ZipFile(io.BytesIO(outer.read(inner))) as z:
             documents = [n for n in z.namelist() if n.lower().endswith(".xml")]
             if not documents:
-                raise ValueError("the bulletin holds no price report")
+                raise DataError("the bulletin holds no price report")
+            if z.getinfo(documents[-1]).flag_bits & 1:
+                raise DataError("the bulletin's report is encrypted")
             content = z.read(documents[-1])
     out = []
     for _, element in ElementTree.iterparse(io.BytesIO(content)):
@@ -185,3 +244,44 @@ def bulletin_bars(records: list[dict[str, str]], open_ts: int, close_ts: int, se
         if all((r.get("open"), r.get("high"), r.get("low"), close)):
             out.append((r["ticker"], open_ts, close_ts, r["open"], r["high"], r["low"], close, r.get("volume") or "0"))
     return out
+
+
+class Session(InputPartition):
+    def __init__(self, url: str, open_ts: int, close_ts: int):
+        super().__init__(url)
+        self.url, self.open_ts, self.close_ts = url, open_ts, close_ts
+
+
+class BulletinReader(DataSourceReader):
+    """A partition for each session: ``sessions`` is a list of [date, open_ts, close_ts] as JSON, ``tickers`` a comma-separated list."""
+
+    def __init__(self, options: dict[str, str]):
+        self.o = options
+
+    def partitions(self) -> list[Session]:
+        base = self.o["base"].rstrip("/")
+        return [Session(f"{base}/{bulletin_name(dt.date.fromisoformat(day))}", a, z) for day, a, z in json.loads(self.o["sessions"])]
+
+    def read(self, session: Session) -> Iterator[tuple]:
+        fetch = fetch_url
+        if named := self.o.get("fetch"):
+            module, _, name = named.partition(":")
+            fetch = getattr(importlib.import_module(module), name)
+        # A session without a bulletin, as on days that turned out to be holidays, has no bars.
+        missing = lambda url: (200, {}, b"") if (got := fetch(url))[0] == 404 else got
+        found = bulletin(with_retries(missing, session.url), {t.strip().upper() for t in self.o["tickers"].split(",")})
+        yield from bulletin_bars(found, session.open_ts, session.close_ts, self.o.get("settlement") == "true")
+
+
+class BulletinSource(DataSource):
+    """``spark.read.format("bulletin")`` with options base, sessions, tickers and settlement; prices stay text."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bulletin"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> BulletinReader:
+        return BulletinReader(self.options)

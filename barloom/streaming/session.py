@@ -1,72 +1,62 @@
-"""Paper sessions over a stream: the kernel as a stateful processor, lag, late rows, gaps and bars from ticks.
+"""Streams of market data: a crossover's fills as they come, lag, late rows, gaps, bars from ticks, and stops.
 
-A session's whole account is the state of its key; the checkpoint restores it after a restart. Rows that are older than the state's clock are not
+A stateful operator's whole memory is the state of its key; the checkpoint restores it after a restart. Rows that are older than the state's clock are not
 dropped silently but reported as ``late``.
 """
 
 from __future__ import annotations
 
-import json
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from barloom.operators.kernel import EVENT_FIELDS, EVENT_SCHEMA, Bar, Execution, Instrument, Session
-from barloom.operators.strategies import STRATEGIES
+FILL_SCHEMA = "instrument string, kind string, ts long, side int, qty long, price long"
 
-OUT_SCHEMA = f"session string, {EVENT_SCHEMA}"
-_NUMBERS = [f.split()[0] for f in EVENT_SCHEMA.split(", ") if f.split()[1] in ("long", "int")]
 
+class CrossoverProcessor(StatefulProcessor):
+    """For each instrument the fills of a crossover of two averages over bars as they come: what a bar decides fills at the next bar's open."""
 
-class PaperProcessor(StatefulProcessor):
-    """Runs a strategy for each session key over rows (session, kind, strategy, params, and a bar's columns).
-
-    Rows of kind ``bar`` are bars; ``heartbeat`` rows only move the clock to close_ts, which fires timers but cannot fill; ``end`` finishes the session.
-    """
-
-    def __init__(self, instrument: Instrument, execution: Execution, cash: int, seed: int = 1):
-        self.instrument, self.execution, self.cash, self.seed = instrument, execution, cash, seed
+    def __init__(self, fast: int, slow: int, qty: int):
+        self.fast, self.slow, self.qty = fast, slow, qty
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("account", "data binary")
+        self.state = handle.getValueState("account", "closes array<long>, target long, position long, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["close_ts", "instrument"], kind="stable")
-        own = Instrument(**{**self.instrument.__dict__, "symbol": frame.iloc[0]["instrument"]})
-        if self.state.exists():
-            session = pickle.loads(bytes(self.state.get()[0]))
-        else:
-            params = json.loads(frame.iloc[0]["params"])
-            session = Session(STRATEGIES[frame.iloc[0]["strategy"]](instrument=own.symbol, **params), {own.symbol: own}, cash=self.cash, execution=self.execution, seed=self.seed)
-        for r in frame.itertuples(index=False):
-            if r.close_ts < session.now or r.kind == "bar" and r.open_ts < session.closes.get(r.instrument, -(2**62)):
-                session.emit("late", ts=int(r.close_ts), instrument=r.instrument)
-            elif r.kind == "bar":
-                session.bar(Bar(r.instrument, *(int(getattr(r, f)) for f in Bar._fields[1:])))
-            elif r.kind == "heartbeat":
-                session.heartbeat(int(r.close_ts))
-            else:
-                session.advance(int(r.close_ts))
-                session.finish()
-        out = pd.DataFrame(session.take_events(), columns=EVENT_FIELDS)
-        self.state.update((pickle.dumps(session),))
-        for c in _NUMBERS:
-            out[c] = out[c].astype("Int64")
-        out.insert(0, "session", key[0])
-        yield out
+        closes, target, position, last = ([], 0, 0, -(2**62)) if not self.state.exists() else self.state.get()
+        closes, out = list(closes), []
+        for frame in rows:
+            for r in frame.sort_values("close_ts", kind="stable").itertuples(index=False):
+                if r.open_ts < last:
+                    out.append((key[0], "late", r.close_ts, None, None, None))
+                    continue
+                if delta := target - position:
+                    out.append((key[0], "fill", r.close_ts, 1 if delta > 0 else -1, abs(delta), r.open))
+                    position = target
+                last, closes = r.close_ts, [*closes, r.close][-self.slow :]
+                if len(closes) == self.slow:
+                    gap = sum(closes[-self.fast :]) * self.slow - sum(closes) * self.fast
+                    target = self.qty if gap > 0 else -self.qty if gap < 0 else target
+        self.state.update(([int(c) for c in closes], int(target), int(position), int(last)))
+        made = pd.DataFrame(out, columns=["instrument", "kind", "ts", "side", "qty", "price"])
+        yield made.astype({"ts": "Int64", "side": "Int32", "qty": "Int64", "price": "Int64"})
 
     def close(self) -> None: ...
 
 
-def paper(rows: DataFrame, instrument: Instrument, execution: Execution | None = None, cash: int = 10_000_000 * 10**8) -> DataFrame:
-    """Events of the sessions in rows, batch or stream."""
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy("session").transformWithStateInPandas(PaperProcessor(instrument, execution or Execution(), cash), OUT_SCHEMA, "Append", "None")
+def crossover_fills(bars: DataFrame, fast: int, slow: int, qty: int) -> DataFrame:
+    """Fills (FILL_SCHEMA; kind fill, or late for bars older than what has been seen) of a stream of bars."""
+    bars.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return bars.groupBy("instrument").transformWithStateInPandas(CrossoverProcessor(fast, slow, qty), FILL_SCHEMA, "Append", "None")
+
+
+def gaps(events: DataFrame, ts: str, most: int) -> DataFrame:
+    """instrument, gap_from, gap_to: times of more than ``most`` microseconds without an event, as a feed that was cut leaves them."""
+    before = F.lag(ts).over(Window.partitionBy("instrument").orderBy(ts))
+    return events.select("instrument", before.alias("gap_from"), F.col(ts).alias("gap_to")).where(F.col("gap_to") - F.col("gap_from") > most)
 
 
 def lag(events: DataFrame, ts: str, arrived: str) -> DataFrame:
@@ -77,8 +67,6 @@ def lag(events: DataFrame, ts: str, arrived: str) -> DataFrame:
 
 def late(events: DataFrame, ts: str, arrival: str) -> DataFrame:
     """Rows that arrive after a row of their instrument with a later time."""
-    from pyspark.sql import Window
-
     newest = F.max(ts).over(Window.partitionBy("instrument").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
     return events.withColumn("newest", newest).where(F.col(ts) < F.col("newest"))
 
@@ -102,9 +90,9 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def upsert_fills(spark: SparkSession, path: str):
-    """For foreachBatch: appends fills by (session, fill) once, however often a batch is repeated: each batch has a folder of its own, which a repetition replaces."""
+    """For foreachBatch: fills once, however often a batch is repeated: each batch has a folder of its own, which a repetition replaces."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.where("kind = 'fill'").dropDuplicates(["session", "seq"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.where("kind = 'fill'").dropDuplicates(["instrument", "ts"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import times
-from barloom.operators import backtest, report
-from barloom.operators.kernel import Bar, Execution, Instrument
+from barloom.operators import report, runs
+from barloom.operators.instruments import Costs, Instrument
 from barloom.sources import venues
 
 
@@ -80,9 +80,8 @@ def test_bulletins():
 
 def test_reports(spark):
     n = 800
-    bars = spark.createDataFrame([Bar("X", i * times.HOUR, (i + 1) * times.HOUR, *(p := 100 + (i * 7) % 40,), p + 3, p - 3, p + 1, 50) for i in range(n)], "instrument string, open_ts long, close_ts long, open long, high long, low long, close long, volume long")
-    runs = spark.createDataFrame([("r<1>", "X", "sma-crossover", json.dumps({"fast": 3, "slow": 9}))], backtest.RUN_SCHEMA)
-    events = backtest.backtest(bars, runs, Instrument("X", kind="spot", accounting="cash"), Execution(commission=("bps", 2, 10, 0)), cash=10**12).persist()
+    bars = spark.createDataFrame([("X", i * times.HOUR, (i + 1) * times.HOUR, *(p := 100 + (i * 7) % 40,), p + 3, p - 3, p + 1, 50) for i in range(n)], "instrument string, open_ts long, close_ts long, open long, high long, low long, close long, volume long")
+    events = runs.run(bars, "sma-crossover", Instrument("X", kind="spot", accounting="cash"), Costs(commission=("bps", 2, 10, 0)), F.lit("r<1>"), 10**12, fast=3, slow=9).persist()
     s = report.summary(events, "r<1>")
     assert s["period"]["bars"] == n and s["trades"]["count"] == s["trades"]["wins"] + s["trades"]["losses"] + events.where("kind='trade' and amount = commission").count()
     total = events.where("kind = 'trade'").agg(F.sum(F.col("amount") - F.col("commission"))).first()[0]
