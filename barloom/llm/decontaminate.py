@@ -1,7 +1,8 @@
 """Benchmark passages in documents, by a distributed positional inverted index (operator 7).
 
-1. Forward pass: every document becomes the list of its benchmark terms by number, zero for any other word. The terms
-   are the distinct words of the benchmark, so their number follows the benchmark and not the corpus.
+0. The benchmark is taken in parts of about PART_BYTES, one after another, so that what is held at once does not grow with it: of a part the items as
+   numbers of terms, and the places of their windows' rarest terms. Most benchmarks are one part.
+1. Forward pass: every document becomes the list of the part's terms by number, zero for any other word.
 2. How often each term occurs is counted over all documents. Each window of a benchmark item gets its RAREST
    terms; only those are looked up, so only their postings (term, document, position) are stored, as segments
    sorted by term, as the forward pass leaves them: nothing is shuffled by term, so a term in a third of
@@ -11,10 +12,11 @@
 4. Where all rarest terms of a window agree, the forward list of the document is compared with the item, which gives
    the exact phrases.
 
-``proximity_matches`` uses the same index for terms that lie near each other in any order.
+``proximity_matches`` uses the same index for windows all of whose terms lie near each other in any order.
 
 Defined cases: null, empty and wordless texts have no words and no hits; such items occur nowhere. Rows with the same
-doc_id and text get equal results, as do repeated items; a null doc_id is one like any other. Very long texts are handled whole.
+doc_id and text get equal results, as do repeated items; a null doc_id is one like any other. An item without an item_id hits words like any other, and is not
+listed among the items. Very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from barloom.llm.common import durable, small_side, text_bytes
 from barloom.llm.grams import slices
 
 RAREST = 3
-#: The benchmark is read by the driver; more bytes than this are refused rather than risked.
-MOST_BENCHMARK_BYTES = 256 << 20
+#: Text of the benchmark that is looked up at a time. An item is never divided.
+PART_BYTES = 16 << 20
 _NOT_WORD = bytes(b for b in range(128) if not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A))
 _TO_SPACE = bytes.maketrans(_NOT_WORD, b" " * len(_NOT_WORD))
 
@@ -42,32 +44,28 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Benchmark:
-    """Items as term numbers, from 1 on; windows as item ranges."""
+    """Items of a part as term numbers, from 1 on."""
 
     def __init__(self, rows: list[tuple[object, bytes]], width: int):
         self.width, self.terms, self.items, self.ids = width, {}, [], []
-        for item_id, text in sorted(((str(i), t) for i, t in rows if i is not None and t), key=lambda r: r):
+        for item_id, text in sorted(((None if i is None else str(i), t) for i, t in rows if t), key=lambda r: (r[0] is None, r)):
             w = words(text)
             if w:
                 self.items.append(np.array([self.terms.setdefault(x, len(self.terms) + 1) for x in w], np.int32))
                 self.ids.append(item_id)
 
-    def windows(self) -> Iterator[tuple[int, int, int]]:
-        """(item, start, length)."""
-        for i, w in enumerate(self.items):
+    def anchors(self, counts: np.ndarray) -> list[np.ndarray]:
+        """For each item its windows' rarest places: a row of (at most) RAREST offsets in rising order for each window."""
+        out = []
+        for w in self.items:
             n = min(self.width, len(w))
-            for s in range(len(w) - n + 1):
-                yield i, s, n
-
-    def anchors(self, counts: np.ndarray) -> tuple[list[tuple[int, int, int]], list[list[tuple[int, int, tuple]]]]:
-        """Anchors (term, item, offset), and for each item its windows (start, length, offsets of the anchors)."""
-        found, by_item = set(), [[] for _ in self.items]
-        for i, s, n in self.windows():
-            w = self.items[i]
-            rarest = sorted(range(s, s + n), key=lambda o: (counts[w[o]], w[o], o))[:RAREST]
-            found.update((int(w[o]), i, o) for o in rarest)
-            by_item[i].append((s, n, tuple(sorted(rarest))))
-        return sorted(found), by_item
+            # Places by how rare their terms are, then by term and place: a window has those of the least rank.
+            rank = np.empty(len(w), np.int64)
+            rank[np.lexsort((np.arange(len(w)), w, counts[w]))] = np.arange(len(w))
+            k = min(RAREST, n)
+            within = np.argsort(np.lib.stride_tricks.sliding_window_view(rank, n), axis=1)[:, :k]
+            out.append(np.sort(within + np.arange(len(within))[:, None], axis=1).astype(np.int32))
+        return out
 
 
 def _forward(terms):
@@ -112,7 +110,7 @@ def term_counts(forward: DataFrame, benchmark: Benchmark) -> np.ndarray:
     return out
 
 
-def postings(forward: DataFrame, terms: list[int], most: int) -> DataFrame:
+def postings(forward: DataFrame, terms: np.ndarray, most: int) -> DataFrame:
     """The index: term, doc_id, key, at (positions), in segments sorted by term."""
     wanted = np.zeros(most, bool)
     wanted[terms] = True
@@ -134,45 +132,51 @@ def postings(forward: DataFrame, terms: list[int], most: int) -> DataFrame:
     return forward.select("doc_id", "key", "terms").mapInArrow(run, "term int, doc_id long, key long, at int")
 
 
-def read_benchmark(benchmark: DataFrame, width: int) -> Benchmark:
-    """The items, after a check of their size."""
+def parts(benchmark: DataFrame) -> list[DataFrame]:
+    """The benchmark (item_id, text) in parts of about PART_BYTES, dealt by a hash of the item."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MOST_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; run it in parts of at most {MOST_BENCHMARK_BYTES}")
-    return Benchmark([(r[0], bytes(r[1])) for r in benchmark.select("item_id", text_bytes(F.col("text"))).collect()], width)
+    k = max(1, -(-size // PART_BYTES))
+    rows = benchmark.select("item_id", "text")
+    return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == i) for i in range(k)] if k > 1 else [rows]
 
 
 class Index:
-    """Forward lists, term counts and stored postings of a corpus for one benchmark."""
+    """Forward lists, term counts and stored postings of a corpus for one part of a benchmark."""
 
-    def __init__(self, docs: DataFrame, benchmark: DataFrame, width: int = 10):
+    def __init__(self, docs: DataFrame, part: DataFrame, width: int = 10):
         self.spark = docs.sparkSession
-        self.benchmark = read_benchmark(benchmark, width)
+        self.benchmark = Benchmark([(r[0], bytes(r[1])) for r in part.select("item_id", text_bytes(F.col("text"))).collect()], width)
         self.forward = durable(forward_lists(docs, self.benchmark), "forward")
         self.counts = term_counts(self.forward, self.benchmark)
-        self.anchors, self.by_item = self.benchmark.anchors(self.counts)
-        self.postings = durable(postings(self.forward, sorted({t for t, _, _ in self.anchors}), len(self.counts)), "postings")
+        self.windows = self.benchmark.anchors(self.counts)
+        terms = np.unique(np.concatenate([w[np.unique(o)] for w, o in zip(self.benchmark.items, self.windows, strict=True)] or [np.empty(0, np.int32)]))
+        self.postings = durable(postings(self.forward, terms, len(self.counts)), "postings")
 
     def anchor_table(self) -> DataFrame:
-        """term, item, offset, and need: the least number of rarest terms that a window of the item has."""
-        need = [min((len(set(o)) for _, _, o in w), default=1) for w in self.by_item]
-        rows = self.spark.createDataFrame([(t, i, o, need[i]) for t, i, o in self.anchors], "term int, item int, offset int, need int")
+        """term, item, offset, and need: the number of rarest terms that a window of the item has. Made in tasks from the part's items."""
+        sent = self.spark.sparkContext.broadcast((self.benchmark.items, self.windows))
+
+        def run(batches):
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    w, o = sent.value[0][i], sent.value[1][i]
+                    own = np.unique(o)
+                    yield pa.RecordBatch.from_arrays([pa.array(w[own]), pa.array(np.full(len(own), i, np.int32)), pa.array(own), pa.array(np.full(len(own), o.shape[1], np.int32))], ["term", "item", "offset", "need"])
+
+        rows = self.spark.range(len(self.benchmark.items)).mapInArrow(run, "term int, item int, offset int, need int")
         return small_side(durable(rows, "anchors"))
 
     def starts(self) -> DataFrame:
         """Per document: the (item, start) at which all rarest terms of some window of the item agree."""
         hits = self.postings.join(self.anchor_table(), "term").select("doc_id", "key", "item", (F.col("at") - F.col("offset")).alias("start"), "offset", "need")
-        # Fewer agreeing terms than any window of the item has cannot be a window; most starts end here.
+        # Fewer agreeing terms than a window of the item has cannot be a window; most starts end here.
         found = hits.groupBy("doc_id", "key", "item", "start", "need").agg(F.collect_set("offset").alias("offsets")).where("size(offsets) >= need").drop("need")
-        sent = self.spark.sparkContext.broadcast([sorted({frozenset(o) for _, _, o in w}, key=sorted) for w in self.by_item])
+        sent = self.spark.sparkContext.broadcast(self.windows)
 
         def run(batches):
             for batch in batches:
                 items, sets = batch.column(2).to_pylist(), batch.column(4).to_pylist()
-                keep = []
-                for i, (item, have) in enumerate(zip(items, sets, strict=True)):
-                    have = frozenset(have)
-                    keep.append(any(w <= have for w in sent.value[item]))
+                keep = [bool(np.isin(sent.value[item], have).all(axis=1).any()) for item, have in zip(items, sets, strict=True)]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:4]], ["doc_id", "key", "item", "start"])
 
         kept = found.mapInArrow(run, "doc_id long, key long, item int, start int")
@@ -204,7 +208,8 @@ class Index:
                             run_of = np.concatenate([[0], np.cumsum(item[a:b] == doc[start + a : start + b])])
                             begin = np.flatnonzero(run_of[n:] - run_of[:-n] == n) + start + a
                             if len(begin):
-                                found.add(ids[s["item"]])
+                                if ids[s["item"]] is not None:
+                                    found.add(ids[s["item"]])
                                 np.add.at(covered, begin, 1), np.add.at(covered, begin + n, -1)
                     inside = np.cumsum(covered)[:-1] > 0 if covered is not None else np.zeros(0, bool)
                     hits.append(int(inside.sum()))
@@ -220,22 +225,70 @@ class Index:
         return rows.select("doc_id", "key", "n_words", "terms", "starts").mapInArrow(run, kinds)
 
     def proximity_matches(self, slop: int = 5) -> DataFrame:
-        """(doc_id, key, item_id, at): documents in which the RAREST terms of a window of an item occur, in any order,
-        within the window's length and slop words from position at on."""
-        wanted = [(i, n, sorted({int(self.benchmark.items[i][o]) for o in offs})) for i, w in enumerate(self.by_item) for _, n, offs in w]
-        rows = self.spark.createDataFrame([(q, self.benchmark.ids[i], n, len(t), x) for q, (i, n, t) in enumerate(wanted) for x in t] or [], "q long, item_id string, n int, need int, term int")
+        """(doc_id, key, item, at): documents in which all terms of a window of an item occur, in any order, as often as there, within the window's length and
+        slop words from position at on. item is its number in ``benchmark.ids``.
+
+        Postings of the windows' rarest terms that lie near each other are candidates, which are then compared with the forward list.
+        """
+        items, width = self.benchmark.items, self.benchmark.width
+        sent = self.spark.sparkContext.broadcast((items, self.windows))
+
+        def wanted(batches):
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    w, o = sent.value[0][i], sent.value[1][i]
+                    for s, places in enumerate(o):
+                        terms = np.unique(w[places])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), x, np.int32)) for x in (i, s, len(terms))] + [pa.array(terms)], ["item", "s", "need", "term"])
+
+        rows = self.spark.range(len(items)).mapInArrow(wanted, "item int, s int, need int, term int")
         near = self.postings.join(small_side(durable(rows, "proximity")), "term")
-        reach = F.col("n") + slop
+        reach = width + slop
         # Each posting belongs to two overlapping stretches, so that any span of the reach lies within one.
         cut = near.withColumn("cell", F.explode(F.array(F.floor(F.col("at") / reach), F.floor(F.col("at") / reach) - 1)))
-        by_cell = cut.groupBy("doc_id", "key", "q", "item_id", "need", "n", "cell").agg(F.sort_array(F.collect_set(F.struct("at", "term"))).alias("p"))
-        first = F.expr(f"filter(p, x -> size(array_distinct(transform(filter(p, y -> y.at >= x.at and y.at < x.at + n + {int(slop)}), y -> y.term))) = need)")
-        return by_cell.withColumn("x", F.explode(first)).select("doc_id", "key", "item_id", F.col("x.at").alias("at")).distinct()
+        met = cut.groupBy("doc_id", "key", "item", "s", "need", "cell").agg(F.count_distinct("term").alias("k")).where("k = need")
+        spots = met.groupBy("doc_id", "key").agg(F.collect_set(F.struct("item", "s", "cell")).alias("spots"))
+        placed = spots.withColumnRenamed("doc_id", "_d").withColumnRenamed("key", "_k")
+        lists = self.forward.join(placed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).dropDuplicates(["doc_id", "key"])
+
+        def checked(batches):
+            for batch in batches:
+                docs, keys, lists, spots = (c.to_pylist() for c in batch.columns)
+                out = set()
+                for d, k, doc, found in zip(docs, keys, lists, spots, strict=True):
+                    for x in found:
+                        w = sent.value[0][x["item"]]
+                        window = w[x["s"] : x["s"] + width]
+                        size = len(window) + slop
+                        terms, need = np.unique(window, return_counts=True)
+                        for at in range(max(0, x["cell"] * reach), min(len(doc), (x["cell"] + 2) * reach)):
+                            have, n = np.unique(np.array(doc[at : at + size], np.int32), return_counts=True)
+                            counts = dict(zip(have.tolist(), n.tolist(), strict=True))
+                            if doc[at] in terms and all(counts.get(t, 0) >= c for t, c in zip(terms.tolist(), need.tolist(), strict=True)):
+                                out.add((d, k, x["item"], at))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*sorted(out, key=str), strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "key", "item", "at"])
+
+        return lists.select("doc_id", "key", "terms", "spots").mapInArrow(checked, "doc_id long, key long, item int, at int").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, n_hit, items, spans; words are those of ``words``."""
-    return Index(docs, benchmark, width).exact_matches()
+    """Per row of docs (doc_id, text): doc_id, key (of the text), n_words, n_hit, items, spans; words are those of ``words``."""
+    found = [Index(docs, part, width).exact_matches() for part in parts(benchmark)]
+    if len(found) == 1:
+        return found[0]
+    # Documents that parts hit are few; their spans are laid together, and the rest have none.
+    found = [durable(f, "part") for f in found]
+    hits = None
+    for f in found:
+        some = f.where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "items", "spans").dropDuplicates(["_d", "_k"])
+        hits = some if hits is None else hits.unionByName(some)
+    spans = F.array_sort(F.flatten(F.collect_list("spans")))
+    # Sorted spans are walked through with the place that is covered so far.
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("until"))
+    covered = F.aggregate("spans", zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s[1] - F.greatest(s[0], a["until"]))).alias("n"), F.greatest(a["until"], s[1]).alias("until")), lambda a: a["n"])
+    whole = hits.groupBy("_d", "_k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), spans.alias("spans")).withColumn("n_hit", covered)
+    rows = found[0].select("doc_id", "key", "n_words").join(whole, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left")
+    return rows.select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<array<bigint>>")).alias("spans"))
 
 
 def digests(matches: DataFrame) -> DataFrame:

@@ -20,24 +20,25 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the sample that a dictionary is cut from, for each language: rows, and characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 600
-DICTIONARY_BYTES = 96 << 10
-MOST_LANGUAGES = 512
+#: Bound of the sample that a dictionary is made of, for each language: texts, and characters of the block that is drawn from anywhere in each.
+SAMPLE_ROWS, SAMPLE_CHARS = 200, 600
+#: A dictionary takes whole blocks up to this size; with many languages less, so that all dictionaries together keep within MODEL_BYTES.
+DICTIONARY_BYTES, MODEL_BYTES = 128 << 10, 64 << 20
 BLOCK = 1000
 #: Short matches tell languages apart best: on held-out texts far better than the presets for speed or for size.
 SEARCH = {"window_log": 18, "chain_log": 16, "hash_log": 16, "search_log": 4, "min_match": 4, "target_length": 32, "strategy": zstandard.STRATEGY_GREEDY}
 
 
 def sample(docs: DataFrame, learn: Column) -> dict[str, list[str]]:
-    """For each language up to SAMPLE_ROWS different texts, picked by a hash of the text, evenly over all rows.
+    """For each language blocks from up to SAMPLE_ROWS different texts, picked by a hash of the text, evenly over all rows, each from a place that
+    another hash picks.
 
     The rows are cut down by hash before they are ranked, so that no task ranks all rows of a language.
     """
-    rows = docs.where(learn & F.col("lang").isNotNull() & (F.col("lang") != "und") & (F.octet_length("text") > 0)).select("lang", F.pmod(F.xxhash64("text"), F.lit(1 << 32)).alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t"))
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    place = F.pmod(F.xxhash64("text", F.lit("place")), F.greatest(F.lit(1), F.char_length("text") - SAMPLE_CHARS + 1)) + 1
+    rows = docs.where(learn & F.col("lang").isNotNull() & (F.col("lang") != "und") & (F.octet_length("text") > 0)).select("lang", F.pmod(F.xxhash64("text"), F.lit(1 << 32)).alias("h"), F.substring("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("t"))
+    # One row for each language: what the driver gets follows the languages.
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n")).collect()
     if not sizes:
         return {}
     part = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, 2.0 * SAMPLE_ROWS / max(1, r.n)) * (1 << 32))) for r in sizes], "lang string, below long")
@@ -53,10 +54,22 @@ def plain(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
+def _joined(blocks: list[bytes], most: int) -> bytes:
+    """Whole blocks up to a size; the first is taken in any case."""
+    out, size = [], 0
+    for b in blocks:
+        if out and size + len(b) + 1 > most:
+            break
+        out.append(b)
+        size += len(b) + 1
+    return b" ".join(out)
+
+
 class Model:
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(texts)
-        self.dictionaries = [" ".join(plain(t) for t in texts[x]).encode()[:DICTIONARY_BYTES] for x in self.languages]
+        most = min(DICTIONARY_BYTES, MODEL_BYTES // max(1, len(texts)))
+        self.dictionaries = [_joined([plain(t).encode() for t in texts[x]], most) for x in self.languages]
         self.coders = None
 
     def __getstate__(self):
@@ -93,7 +106,7 @@ def fit(docs: DataFrame, learn: Column) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, least_margin: float = 0.02) -> DataFrame:
-    """docs with lang_pred, score (0 to 1), margin and accepted (margin reached), from the column text alone."""
+    """docs with lang_pred, score (0 to 1), margin and accepted (margin reached), from the column text alone; columns of these names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, margin double")
@@ -104,4 +117,5 @@ def identify(docs: DataFrame, model: Model, least_margin: float = 0.02) -> DataF
 
     predicted.func.__annotations__.clear()
     out = docs.withColumn("_p", predicted("text"))
-    return out.select(*docs.columns, "_p.lang_pred", "_p.score", "_p.margin", (F.col("_p.margin") >= least_margin).alias("accepted"))
+    made = ("lang_pred", "score", "margin", "accepted")
+    return out.select(*(c for c in docs.columns if c not in made), "_p.lang_pred", "_p.score", "_p.margin", (F.col("_p.margin") >= least_margin).alias("accepted"))

@@ -4,7 +4,8 @@
 2. Targets: sources in code point order (null last) have weights that repeat; they share ``share`` times all words, but none gets
    more than ``most_copies`` times its own; the excess goes to the others by weight.
 3. Rates: documents get rates r that stay closest to 1 in relative entropy, weighted by size, such that each source's words meet
-   its target. The optimum is r = exp(lambda), one multiplier for each source, held below most_copies; the multipliers
+   its target. A source's words are its only constraint, so the tilt is the same for all its documents: the optimum is
+   r = exp(lambda) = target / source_size, one multiplier for each source, held below most_copies. The multipliers
    solve the convex dual, whose gradient and curvature are grouped sums over documents. Newton steps are taken until no
    gradient exceeds TOLERANCE of its target. All sources step at once; the sums combine before they shuffle.
 4. Copies: a rate's whole part, and one more for documents whose hash falls below a cut of the source. The cut is set where the

@@ -117,26 +117,43 @@ def _ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
 
 
-def find(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
-    """docs (text and more) with assign, access, hex, markov and spans (all of them by start, then kind): arrays of
-    struct(start, kind, end, value), end exclusive, kind a place in KINDS."""
+#: What looks random and is not secret: UUIDs, as identifiers have them (fixed pattern).
+PUBLIC = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+
+
+def _listing(value: Column) -> Column:
+    """Whether at least half of a string's characters are followed by the next one of the alphabet, as in written-out alphabets."""
+    codes = _codes(value)
+    steps = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: (b - a == 1).cast("int"))
+    return 2 * F.aggregate(steps, F.lit(0), lambda s, x: s + x) >= F.char_length(value)
+
+
+def _found(docs: DataFrame, model: list[float] | None) -> DataFrame:
+    """_row (all columns of docs), text, and assign, access, hex, markov and spans: so that columns of the same names do not meet."""
     model = train(docs) if model is None else model
-    df = docs.withColumn("t", F.coalesce("text", F.lit("")))
+    df = docs.select(F.struct(*docs.columns).alias("_row"), "text", F.coalesce("text", F.lit("")).alias("t"))
     df = _located(df, "assign", ASSIGN, 0, 2)
     df = _located(df, "access", ACCESS, 1)
     df = _located(df, "hex", HEX, 2)
     df = _located(df, "_token", TOKEN, 3)
-    open_token = F.filter("_token", lambda x: ~x["value"].rlike(f"{HEX}|{ACCESS}"))
+    open_token = F.filter("_token", lambda x: ~x["value"].rlike(f"{HEX}|{ACCESS}") & ~x["value"].rlike(PUBLIC))
     df = df.withColumn("_token", F.when(F.size("_token") > 0, open_token).otherwise(F.col("_token")))
 
     def random(x: Column) -> Column:
-        return _ratio(x["value"], model) >= F.greatest(F.lit(LEAST_RATIO), LEAST_MEAN * F.char_length(x["value"]))
+        return (_ratio(x["value"], model) >= F.greatest(F.lit(LEAST_RATIO), LEAST_MEAN * F.char_length(x["value"]))) & ~_listing(x["value"])
 
     free = F.filter("_token", lambda x: ~F.exists("assign", lambda a: (a["start"] < x["end"]) & (x["start"] < a["end"])) & random(x))
     df = df.withColumn("markov", F.when(F.size("_token") > 0, free).otherwise(F.col("_token"))).drop("_token", "t")
     return df.withColumn("spans", F.sort_array(F.concat("assign", "access", "hex", "markov")))
 
 
+def find(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
+    """docs (text and more) with assign, access, hex, markov and spans (all of them by start, then kind), which replace columns of these names: arrays of
+    struct(start, kind, end, value), end exclusive, kind a place in KINDS."""
+    made = ("assign", "access", "hex", "markov", "spans")
+    return _found(docs, model).select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in made), *made)
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of each, joined by commas."""
     name = F.array(*(F.lit(k) for k in KINDS))
@@ -151,10 +168,10 @@ def digests(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, marker: str = "[SECRET]", model: list[float] | None = None) -> DataFrame:
     """docs with each secret in text replaced; overlapping ones by one marker. A text without any stays as it is."""
-    found = find(docs, model).withColumn("_n", F.size("spans")).withColumn("_ends", F.when(F.col("_n") > 0, F.transform("spans", lambda s: s["end"])))
+    found = _found(docs, model).withColumn("_n", F.size("spans")).withColumn("_ends", F.when(F.col("_n") > 0, F.transform("spans", lambda s: s["end"])))
     found = found.withColumn("_ends", F.when(F.col("_n") > 0, _running(F.col("_ends"), "int", "max")))
     before = F.concat(F.array(F.lit(0)), F.slice("_ends", F.lit(1), F.col("_n") - 1))
     piece = F.zip_with("spans", before, lambda s, p: F.when(s["start"] >= p, F.concat(F.substring(F.col("text"), p + 1, s["start"] - p), F.lit(marker))).otherwise(F.lit("")))
     tail = F.substring(F.col("text"), F.element_at("_ends", -1) + 1, F.char_length("text"))
     text = F.when(F.col("_n") > 0, F.concat(F.array_join(piece, ""), tail)).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    return found.select(*((text if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns))

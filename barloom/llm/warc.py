@@ -3,7 +3,8 @@
 Writing: each page becomes an HTTP response in chunked framing. Of records with equal payloads of at least LEAST_SHARED bytes the one
 with the smallest page_id is stored, the others are revisit records that refer to it. A block of more than ``segment``
 bytes is written as a first segment and continuation records. Archives are files in the shared folder, written by
-Spark's own committer and compressed, so that a lost executor leaves no half file behind; a file holds about FILE_BYTES.
+Spark's own committer and compressed, so that a lost executor leaves no half file behind. A file is cut by bytes: it holds records of at most file_bytes and one
+segment more before they are compressed, however large pages are.
 
 Reading: files are parsed record by record. Continuations are grouped by the record they continue, ordered by segment number,
 and checked for gaps and for the total length; then the chunked framing is decoded. Only segmented records are shuffled.
@@ -31,7 +32,7 @@ from barloom.llm.common import shared_dir, text_bytes
 LEAST_SHARED = 100
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
-FILE_BYTES = 8 << 20
+FILE_BYTES = 16 << 20
 END = b"\r\n\r\n"
 VERSION = b"WARC/1.1"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -82,24 +83,31 @@ def records(page_id: int | None, identifier: str, url: str, body: bytes, digest:
     return out
 
 
-def _written(segment: int, archive: str):
+def _written(segment: int, archive: str, file_bytes: int):
+    """The contents of files: records up to the size of a file, with the separator between them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Identifiers name the archive, the task and the record's place in it: rows that repeat differ.
-        own, n = f"{archive}/{TaskContext.get().partitionId()}", 0
+        own, n, out, size = f"{archive}/{TaskContext.get().partitionId()}", 0, [], 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                out = []
-                for page_id, url, body, digest, refers_to in zip(*(c.to_pylist() for c in batch.slice(i, 500).columns), strict=True):
-                    # Line ends in a url would end its header.
-                    url = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-                    out += records(page_id, f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{own}/{n}')}", url, body, digest, refers_to, segment)
-                    n += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+            for row in range(batch.num_rows):
+                page_id, url, body, digest, refers_to = (c[row].as_py() for c in batch.columns)
+                # Line ends in a url would end its header.
+                url = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+                for record in records(page_id, f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{own}/{n}')}", url, body, digest, refers_to, segment):
+                    if size and size + len(record) > file_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([END.join(out)], pa.binary())], ["file"])
+                        out, size = [], 0
+                    out.append(record)
+                    size += len(record) + len(END)
+                n += 1
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([END.join(out)], pa.binary())], ["file"])
 
     return run
 
 
-def write(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) -> None:
+def write(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """pages (page_id, url, html) as archives under path."""
     body = text_bytes(F.col("html"))
     rows = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("digest"))
@@ -108,9 +116,9 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) -> None:
     shared = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     refers = F.when(large & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))), F.col("first"))
     out = rows.join(shared, "digest", "left").select("page_id", "url", text_bytes(F.col("html")).alias("b"), "digest", refers.alias("refers_to"))
-    text = out.mapInArrow(_written(segment, path), "record binary").select(F.col("record").cast("string").alias("value"))
-    # The text writer puts the bytes as they are, and the end of a record between them.
-    text.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // 4096)).mode("errorifexists").text(path)
+    files = out.mapInArrow(_written(segment, path, file_bytes), "file binary").select(F.col("file").cast("string").alias("value"))
+    # A row is a file. The text writer puts its bytes as they are, and the end of the last record behind them.
+    files.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", 1).mode("errorifexists").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -199,9 +207,9 @@ def decode(found: DataFrame, with_payload: bool = True) -> DataFrame:
     return found.mapInPandas(_decoded(with_payload), kinds)
 
 
-def round_trip(pages: DataFrame, segment: int = SEGMENT_BYTES) -> DataFrame:
+def round_trip(pages: DataFrame, segment: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the pages as archives into the shared folder and reads them back."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write(pages, path, segment)
+    write(pages, path, segment, file_bytes)
     return decode(read(spark, path), False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

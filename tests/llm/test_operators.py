@@ -385,7 +385,7 @@ def test_vectors_around_one_direction(spark):
 def test_archives(spark):
     big, small = "é" * 30000, "x" * 99
     rows = [(1, "u", "a" * 300), (3, "u", "a" * 300), (2, "v", "a" * 300), (3, "u", "a" * 300), (4, "u", small), (5, "u", small), (6, None, None), (7, "a\r\nb", ""), (8, "u", big), (9, "u", big), (9, "u", big), (None, "u", "b" * 200), (None, "u", "b" * 200), (10, "u", "WARC/1.1\r\n\r\n" * 40)]
-    got = Counter(map(tuple, warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), 4096).collect()))
+    got = Counter(map(tuple, warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), 4096, 20_000).collect()))
     first = {"a" * 300: 1, big: 8, "WARC/1.1\r\n\r\n" * 40: 10}
     want = Counter()
     for i, _, h in rows:
@@ -395,6 +395,19 @@ def test_archives(spark):
     assert got == want
 
 
+def test_files_are_cut_by_bytes(spark, tmp_path):
+    import gzip
+
+    r = random.Random(50)
+    rows = [(i, "u", "".join(r.choice("abcdef") for _ in range(300_000 if i % 5 == 0 else 2000)), i) for i in range(40)] + [(99, None, "x" * 2_000_000, 0), (None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    warc.write(pages, str(tmp_path / "w"), 16_384, 100_000)
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").glob("*.gz")]
+    assert max(sizes) < 100_000 + 17_000 and len(sizes) > 40
+    got = {x["page_id"]: x["payload"] for x in warc.decode(warc.read(spark, str(tmp_path / "w"))).collect()}
+    assert got == {i: (h or "").encode() for i, _, h, _ in rows}
+
+
 def test_framing_and_broken_archives(spark, tmp_path):
     for n in (0, 1, 4096, 4097, 20000):
         assert warc.dechunked(warc.chunked(b"z" * n)) == b"z" * n
@@ -418,6 +431,33 @@ def test_framing_and_broken_archives(spark, tmp_path):
 # 6
 
 
+def test_random_strings_are_told_from_ordinary_ones(spark, data):
+    """Precision and recall of the method's own spans on labelled strings, and each ratio against a plain loop."""
+    r, letters = random.Random(66), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secret = ["".join(r.choice(letters) for _ in range(n)) for n in (24, 32, 40) for _ in range(60)]
+    parts = "user account configuration internal request handler service message default timeout connection environment production application controller repository transaction".split()
+    plain = ["_".join(r.sample(parts, 3)) for _ in range(60)] + ["".join(w.title() for w in r.sample(parts, 3)) for _ in range(60)] + ["/".join(r.sample(parts, 4)) for _ in range(60)]
+    plain += ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789", "123e4567-e89b-12d3-a456-426614174000", "F47AC10B-58CC-4372-A567-0E02B2C3D479"]
+    model = secrets.train(spark.read.parquet(f"{data}/documents.parquet"))
+    found = {x["doc_id"]: [s["value"] for s in x["markov"]] for x in secrets.find(docs(spark, secret + plain), model).collect()}
+    hits, false = sum(found[i] == [t] for i, t in enumerate(secret)), sum(bool(found[len(secret) + i]) for i in range(len(plain)))
+    assert hits / len(secret) >= 0.95 and hits / (hits + false) >= 0.97 and not any(found[len(secret) + i] for i in range(180, 184))
+    code = lambda c: ord(c) - 32 if 32 <= ord(c) <= 126 else 95
+    for i, t in enumerate(secret + plain[:180]):
+        ratio = sum(model[code(a) * 96 + code(b)] for a, b in zip(t, t[1:], strict=False))
+        own = re.search("[0-9a-f]{16}|AKIA[A-Z0-9]{14}", t)
+        assert bool(found[i]) == (len(t) >= 20 and not own and ratio >= max(12.0, 0.55 * len(t)) - 1e-9), t
+
+
+def test_redaction_keeps_clashing_columns(spark, data):
+    model = secrets.train(spark.read.parquet(f"{data}/documents.parquet"))
+    d = spark.createDataFrame([(1, "token=abcdefghijklmnop", "a", "b", 5), (None, None, "c", None, None), (1, "token=abcdefghijklmnop", "a", "b", 5)], "doc_id long, text string, t string, spans string, assign int")
+    out = secrets.redact(d, model=model)
+    assert out.columns == d.columns and sorted(map(str, map(tuple, out.collect()))) == sorted(["(1, '[SECRET]', 'a', 'b', 5)"] * 2 + ["(None, None, 'c', None, None)"])
+    long = "x " * 1_000_000 + "secret: 0123456789abcdef"
+    assert secrets.redact(docs(spark, [long]), model=model).first()["text"] == "x " * 1_000_000 + "[SECRET]"
+
+
 def brute_secrets(t):
     t = t or ""
     a = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 12]
@@ -461,7 +501,7 @@ def brute_benchmark(texts, items, width):
         for n in {len(k) for k in wins}:
             for s in range(len(w) - n + 1):
                 if k := wins.get(tuple(w[s : s + n])):
-                    found |= k
+                    found |= k - {"None"}
                     hit |= set(range(s, s + n))
         out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return out
@@ -492,7 +532,31 @@ def test_benchmark_passages_without_a_doc_id(spark):
     assert got == Counter((i, *x) for i, x in zip([None, None, 1, None, None], brute_benchmark(texts, [(1, item)], 10), strict=True))
 
 
+def test_items_without_an_id_and_several_parts(spark, monkeypatch):
+    r = random.Random(78)
+    items = [(None, sentence(r, 14)), (2, sentence(r, 30)), (3, sentence(r, 12)), (4, "two words"), (5, sentence(r, 60))]
+    texts = [f"{sentence(r, 6)} {items[0][1]}", items[0][1] + " " + items[1][1], f"{items[2][1]} two words {items[4][1]} {items[2][1]}", sentence(r, 40), None, items[1][1]]
+    bench, d = spark.createDataFrame(items, "item_id long, text string"), docs(spark, [*texts, texts[1]], ids=[0, 1, 2, 3, 4, None, 1])
+    want = Counter((i, *x) for i, x in zip([0, 1, 2, 3, 4, None, 1], brute_benchmark([*texts, texts[1]], items, 10), strict=True))
+    assert Counter(map(tuple, decontaminate.digests(decontaminate.decontaminate(d, bench)).collect())) == want
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 200)
+    assert len(decontaminate.parts(bench)) > 3
+    assert Counter(map(tuple, decontaminate.digests(decontaminate.decontaminate(d, bench)).collect())) == want
+
+
 def test_proximity(spark):
+    r = random.Random(79)
+    item = sentence(r, 10)
+    mixed = lambda n: " ".join(r.sample(item.split() + [f"z{i}" for i in range(n)], 10 + n))
+    texts = [f"{sentence(r, 8)} {mixed(k % 9)} {sentence(r, 8)}" for k in range(24)] + [item[: len(item) // 2], None]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    index = decontaminate.Index(docs(spark, texts), bench, 10)
+    got = {(x["doc_id"], x["at"]) for x in index.proximity_matches(4).collect()}
+    want, need = set(), Counter(item.encode().lower().split())
+    for i, t in enumerate(texts):
+        w = decontaminate.words((t or "").encode())
+        want |= {(i, at) for at in range(len(w)) if w[at] in need and not need - Counter(w[at : at + 14])}
+    assert got == want and len({i for i, _ in want}) > 5
     bench = spark.createDataFrame([(1, "quick brown fox jumps over lazy dogs near river banks")], "item_id long, text string")
     d = docs(spark, ["banks of the river where lazy dogs and a quick brown fox jumps over near", "quick", "nothing"])
     assert {r["doc_id"] for r in decontaminate.Index(d, bench, 10).proximity_matches(8).collect()} == {0}
