@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("market", "trading", "simulation", "streams", "records")
+MODULES = ("market", "trading", "simulation", "streams", "records", "sources")
 
 
 def load() -> None:

@@ -121,6 +121,27 @@ def ticks_to_tape(frame: pd.DataFrame, instrument: dict, source: str = "barloom"
     return encode_tape(header, [frame[n].to_numpy().astype("<f8" if d == "f64" else "i1") for n, d in TICK_COLUMNS])
 
 
+#: A tape holds at most so many microseconds of an instrument, so that a task makes or reads one whole.
+TAPE_SPAN = 400 * times.DAY
+
+
+def write_tapes(rows: DataFrame, path: str, timeframe: int, price_exp: int, qty_exp: int, kind: str = "bars", span: int = TAPE_SPAN) -> None:
+    """Bars (or ticks: instrument, ts, price, size, aggressor) as tapes under path, one for each instrument and span of time. Spark's committer writes them, so a lost
+    executor leaves no half tape."""
+    at = "open_ts" if kind == "bars" else "ts"
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        about = {"symbol": str(frame["instrument"].iloc[0]), "priceExp": price_exp, "qtyExp": qty_exp}
+        frame = frame.sort_values(at, kind="stable")
+        return pd.DataFrame({"tape": [bars_to_tape(frame, about, timeframe) if kind == "bars" else ticks_to_tape(frame, about)]})
+
+    run.__annotations__.clear()
+    cut = rows.withColumn("_span", F.floor(F.col(at) / span))
+    tapes = cut.groupBy("instrument", "_span").applyInPandas(run, "tape binary").select(F.col("tape").cast("string").alias("value"))
+    # A row is a file; readers know a tape's length from its header, so the line's end behind it does no harm.
+    tapes.write.option("maxRecordsPerFile", 1).mode("errorifexists").text(path)
+
+
 class Store:
     """Bars, runs and fills as Parquet under a path that Spark reaches: bars by instrument and timeframe, runs by id; rewriting a partition replaces it."""
 

@@ -162,24 +162,21 @@ def describe_candles(body: bytes) -> dict:
         raise DataError(f"no {e.args[0]} in the product record") from None
 
 
-FRAME = "e string, s string, p string, q string, T long, m boolean, k struct<t: long, T: long, o: string, h: string, l: string, c: string, v: string, x: boolean>"
-
-
 def frames(texts: DataFrame, symbol: str, text: str = "value") -> DataFrame:
     """A stream's (or a table's) frames with kind (bar, tick, ignored or malformed; only closed candles of the symbol are bars) and the fields of bars (open_ts, close_ts, open, high, low,
     close, volume) and ticks (ts, price, size, aggressor), prices as text. Counting kinds gives the feed's counters."""
-    wrapped = F.get_json_object(text, "$.data")
-    f = F.from_json(F.coalesce(wrapped, F.col(text)), FRAME)
-    rows = texts.withColumn("_f", f)
-    e, k, own = F.col("_f.e"), F.col("_f.k"), F.col("_f.s") == symbol
-    candle = F.when(~own | F.coalesce(~k["x"], F.lit(False)), "ignored").when(k["t"].isNull() | k["T"].isNull() | k["c"].isNull(), "malformed").otherwise("bar")
-    trade = F.when(~own, "ignored").when(F.col("_f.T").isNull() | F.col("_f.p").isNull() | F.col("_f.q").isNull(), "malformed").otherwise("tick")
-    kind = F.when(e.isNull() | ((e == "kline") & (k.isNull() | F.col("_f.s").isNull())), "malformed").when(e == "kline", candle).when(e == "aggTrade", trade).otherwise("ignored")
+    # Names of fields differ by their case only, so they are read by path.
+    rows = texts.withColumn("_f", F.coalesce(F.get_json_object(text, "$.data"), F.col(text)))
+    field = lambda path: F.get_json_object("_f", f"$.{path}")
+    e, own = field("e"), field("s") == symbol
+    candle = F.when(~own | (field("k.x") == "false"), "ignored").when(field("k.t").isNull() | field("k.T").isNull() | field("k.c").isNull(), "malformed").otherwise("bar")
+    trade = F.when(~own, "ignored").when(field("T").isNull() | field("p").isNull() | field("q").isNull(), "malformed").otherwise("tick")
+    kind = F.when(e.isNull() | ((e == "kline") & (field("k").isNull() | field("s").isNull())), "malformed").when(e == "kline", candle).when(e == "aggTrade", trade).otherwise("ignored")
     rows = rows.withColumn("kind", kind)
     bar, tick = F.col("kind") == "bar", F.col("kind") == "tick"
     return rows.select(
-        *texts.columns, "kind", F.when(bar, k["t"] * 1_000).alias("open_ts"), F.when(bar, (k["T"] + 1) * 1_000).alias("close_ts"), *(F.when(bar, k[x]).alias(n) for x, n in zip("ohlcv", ("open", "high", "low", "close", "volume"), strict=True)),
-        F.when(tick, F.col("_f.T") * 1_000).alias("ts"), F.when(tick, F.col("_f.p")).alias("price"), F.when(tick, F.col("_f.q")).alias("size"), F.when(tick, F.when(F.col("_f.m"), -1).otherwise(1)).alias("aggressor"),
+        *texts.columns, "kind", F.when(bar, field("k.t").cast("long") * 1_000).alias("open_ts"), F.when(bar, (field("k.T").cast("long") + 1) * 1_000).alias("close_ts"), *(F.when(bar, field(f"k.{x}")).alias(n) for x, n in zip("ohlcv", ("open", "high", "low", "close", "volume"), strict=True)),
+        F.when(tick, field("T").cast("long") * 1_000).alias("ts"), F.when(tick, field("p")).alias("price"), F.when(tick, field("q")).alias("size"), F.when(tick, F.when(field("m") == "true", -1).otherwise(1)).alias("aggressor"),
     )
 
 
