@@ -95,6 +95,38 @@ def test_language_by_compression(spark):
     assert {r["lang_pred"] for r in language_id.identify(d, none).collect()} == {"und"}
 
 
+def test_languages_are_those_of_a_plain_loop():
+    """Sizes under raw-content dictionaries, block by block, against fresh coders; samples come from anywhere in a text."""
+    import zstandard
+
+    r = random.Random(11)
+    words = {"aa": "und der die nicht schule".split(), "bb": "and the with school street".split(), "cc": "avec une les ecole fenetre".split()}
+    model = language_id.Model({k: [" ".join(r.choice(w) for _ in range(80)) for _ in range(20)] for k, w in words.items()})
+    for _ in range(40):
+        text = " ".join(r.choice(words[r.choice(["aa", "bb", "cc"])]) for _ in range(r.randrange(1, 600)))
+        text = text.upper() + " 12, !" if r.random() < 0.3 else text
+        clean = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+        sizes = []
+        for d in model.dictionaries:
+            z = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters(**language_id.SEARCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(zstandard.ZstdCompressor(compression_params=how, dict_data=z).compress(clean[i : i + 1000].encode())) for i in range(0, len(clean), 1000)))
+        got = model.predict(text)
+        assert got[0] == ["aa", "bb", "cc"][int(np.argmin(sizes))] and got[2] == pytest.approx((sorted(sizes)[1] - min(sizes)) / sorted(sizes)[1])
+    assert all(len(d) <= language_id.DICTIONARY_BYTES for d in model.dictionaries) and language_id._joined([b"a" * 50, b"b" * 60], 100) == b"a" * 50
+
+
+def test_language_of_long_and_clashing_rows(spark):
+    r = random.Random(12)
+    rows = [(i, " ".join(r.choice(["und der die nicht", "and the with school"][i % 2].split()) for _ in range(60)), "de" if i % 2 == 0 else "en", 5) for i in range(40)]
+    long = "vorwort " * 120_000 + " ".join(r.choice("and the with school".split()) for _ in range(200_000))
+    d = spark.createDataFrame([*rows, *rows[:3], (900, long, "en", 5), (None, None, None, None)], "doc_id long, text string, lang string, margin int")
+    out = language_id.identify(d, language_id.fit(d, F.col("doc_id").isNotNull()))
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score", "margin", "accepted"] and out.count() == 45
+    got = {x["doc_id"]: x["lang_pred"] for x in out.collect()}
+    assert got[900] == "en" and got[None] == "und" and all(got[i] == x for i, _, x, _ in rows)
+
+
 def test_language_on_held_out_rows(spark, data):
     q = queries.op1_language_id(spark, data).join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = q.where("held_out").collect()
