@@ -46,8 +46,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     several = bars.select("instrument").distinct().limit(2).count() > 1
     name = F.concat(F.lit(a.run_id + "/"), "instrument") if several else F.lit(a.run_id)
     events = runs.run(bars, a.strategy, own, PRESETS[a.preset], name, int(a.cash * 10**8), **params).persist()
-    if a.store:
-        files.Store(spark, a.store).save_run(events, int(time.time() * 1_000_000))
+    store = files.Store(spark, a.store) if a.store else files.NullStore()
+    store.save_run(events, int(time.time() * 1_000_000))
     for r in events.select("run_id").distinct().orderBy("run_id").toLocalIterator():
         _shown(events, r.run_id, a)
 

@@ -19,6 +19,11 @@ def by_time(*keys: str):
     return Window.partitionBy(*(keys or ("instrument",))).orderBy("close_ts")
 
 
+def laid_out(bars: DataFrame, partitions: int) -> DataFrame:
+    """bars dealt by instrument and sorted by time, as every window wants them: kept that way (persisted, or written in buckets), windows over them neither shuffle nor sort."""
+    return bars.repartition(partitions, "instrument").sortWithinPartitions("instrument", "close_ts")
+
+
 def from_ticks(ticks: DataFrame, size: int) -> DataFrame:
     """Bars of ``size`` microseconds from ticks (instrument, ts_us, price, size, seq); times without a tick have no bar."""
     slot = (F.col("ts_us") - F.pmod("ts_us", F.lit(size))).alias("open_ts")

@@ -318,3 +318,18 @@ def next_open(spark: SparkSession, d: str) -> DataFrame:
 def session_is_open(spark: SparkSession, d: str) -> DataFrame:
     s = futures.sessions(spark, futures.B3, "2023-01-01", "2025-12-31")
     return futures.is_open(adapters.ticks(spark, d).select("seq", "ts_us"), s, "ts_us").select("seq", "is_open")
+
+
+@query(
+    f"""WITH {_DAYS}, {_NB}, ses AS (SELECT epoch_us(date::TIMESTAMP) + 21 * 3600000000 AS c FROM td WHERE year(date) BETWEEN 2023 AND 2025),
+    so AS (SELECT t.seq, t.instrument, t.price - (seq % 50) * 30 AS level, coalesce(b.i, -1) + 1 AS start, t.ts_us FROM ticks t ASOF LEFT JOIN nb b ON t.instrument = b.instrument AND t.ts_us >= b.close_ts),
+    hit AS (SELECT so.seq, min(b.close_ts) AS fill_ts FROM so JOIN nb b ON b.instrument = so.instrument AND b.i >= so.start AND b.low <= so.level GROUP BY 1), nc AS (SELECT seq, (SELECT min(c) FROM ses WHERE c > ts_us) AS ends FROM so)
+    SELECT seq, ends, CASE WHEN fill_ts <= ends THEN fill_ts END AS fill_ts, (fill_ts <= ends) IS NOT TRUE AS expired FROM so LEFT JOIN hit USING (seq) JOIN nc USING (seq)"""
+)
+def session_expiry(spark: SparkSession, d: str) -> DataFrame:
+    """Limit orders of every tick to buy, for the session: they end with the close that comes next."""
+    o = adapters.ticks(spark, d).select(F.col("seq").alias("order_id"), "instrument", F.col("ts_us").alias("active_from"), F.lit("limit").alias("kind"), F.lit(1).alias("side"), (F.col("price") - (F.col("seq") % 50) * 30).alias("level"))
+    found = matching.first_touch(o, adapters.hourly(spark, d))
+    ended = futures.next_close(found, futures.sessions(spark, futures.B3, "2023-01-01", "2025-12-31"), "active_from")
+    alive = F.coalesce(F.col("fill_ts") <= F.col("next_close"), F.lit(False))
+    return ended.select(F.col("order_id").alias("seq"), F.col("next_close").alias("ends"), F.when(alive, F.col("fill_ts")).alias("fill_ts"), (~alive).alias("expired"))
