@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_WRITTEN: list[DataFrame] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes the tables that ``durable`` wrote within it, but those that are put into its list: for steps whose results are written when it ends."""
+    first, keep = len(_WRITTEN), []
+    yield keep
+    for df in _WRITTEN[first:]:
+        if not any(df.written_to == k.written_to for k in keep):
+            drop(df)
+    del _WRITTEN[first:]
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read back: cuts the lineage, and survives the
     loss of any executor."""
@@ -36,6 +52,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.written_to = path
+    _WRITTEN.append(out)
     return out
 
 
