@@ -75,6 +75,13 @@ def weighted_average(v1, w1, v2, w2) -> Column:
     return F.when(total == 0, F.lit(0).cast("long")).otherwise(narrow(divide((_times(v1, w1) + _times(v2, w2)).cast("decimal(38,0)"), F.nullif(total, wide(0)), "half-even")))
 
 
+def running_average(values: Column, weights: Column) -> Column:
+    """The average of an array of values by weights as it is kept from one to the next: rounded, halves to even, at each step, so that the order matters. 0 without weight."""
+    zero = F.struct(F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("w"))
+    pairs = F.arrays_zip(values.alias("v"), weights.alias("w"))
+    return F.aggregate(pairs, zero, lambda a, x: F.struct(weighted_average(a["v"], a["w"], x["v"], x["w"]).alias("v"), (a["w"] + x["w"]).cast("long").alias("w")), lambda a: a["v"])
+
+
 def round_to_tick(v: Column, tick: Column | int, mode: str = "nearest") -> Column:
     """v to a multiple of tick: nearest (halves up), down, up or toward-zero."""
     tick = F.lit(tick).cast("long") if isinstance(tick, int) else tick

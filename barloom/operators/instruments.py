@@ -165,4 +165,24 @@ PRESETS = {
     "coinbaseExchange": Costs(("bps", 2), ("percent", "0.40", "0.60"), 1_000),
     "b3Futures": Costs(("ticks", 1), ("tariff", "WIN", {"day_trade": True}), 500),
     "b3Stocks": Costs(("ticks", 1), ("bps", 3, 3, 0), 500),
+    "stress": Costs(("bps", 15), ("percent", "0.100", "0.100"), 100),
 }
+#: The presets that belong to each venue, its own first (fixed values); those in ANYWHERE are neutral.
+VENUE_PRESETS = {"binance": ("binanceSpot", "binanceSpotBnb"), "coinbase": ("coinbaseExchange",)}
+ANYWHERE = ("stress", "ideal")
+
+
+def presets_for(market: str) -> tuple[str, ...]:
+    """The presets that a market, written venue-symbol, may be run under."""
+    return (*VENUE_PRESETS.get(market.partition("-")[0], ()), *ANYWHERE)
+
+
+def found(left: DataFrame, table: DataFrame, key: str = "key") -> DataFrame:
+    """left with the columns of a registry's row of the same key, and known: whether there is one."""
+    return left.join(table.withColumn("known", F.lit(True)), key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def required(left: DataFrame, table: DataFrame, key: str = "key") -> DataFrame:
+    """As ``found``; a key that is not registered fails the query by name."""
+    rows = found(left, table, key)
+    return rows.where(F.when(F.col("known"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not registered: "), F.col(key))).cast("boolean"))).drop("known")

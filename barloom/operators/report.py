@@ -96,6 +96,33 @@ def to_text(s: dict) -> str:
     return "\n".join(lines).strip() + "\n"
 
 
+def percent(v: float | None, digits: int = 2) -> str:
+    return "n/a" if v is None or not math.isfinite(v) else f"{100 * v:.{digits}f}%"
+
+
+def compact(v: float | None) -> str:
+    """A number with three digits or so and a letter for thousands, millions and so on."""
+    if v is None or not math.isfinite(v):
+        return "n/a"
+    for size, letter in ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "k")):
+        if abs(v) >= size:
+            return f"{v / size:.1f}{letter}"
+    return f"{v:.2f}"
+
+
+def axis(low: float, high: float, n: int = 5, pad: float = 0.05) -> tuple[float, float, list[float]]:
+    """Bounds with a margin on both sides, and n evenly spaced ticks; a flat series gets room of its own size, or of one."""
+    room = (high - low) * pad if high > low else abs(high) * pad or 1.0
+    a, z = low - room, high + room
+    return a, z, [a + (z - a) * i / (n - 1) for i in range(n)]
+
+
+def comparison_json(rows: DataFrame) -> str:
+    """The same strategy under several venues' costs (venue, instrument, fills, commission, final_equity) as JSON, ordered by venue and instrument."""
+    found = rows.orderBy("venue", "instrument").collect()
+    return json.dumps([{"venue": r["venue"], "instrument": r["instrument"], "fills": r["fills"], "commission": money(r["commission"]), "finalEquity": money(r["final_equity"])} for r in found], indent=2) + "\n"
+
+
 def path(points: list[tuple[float, float]], width: float, height: float) -> str:
     """Points as an SVG path that fills the box; a flat series lies in its middle."""
     if not points:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from urllib.parse import parse_qsl, urlencode
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import fixed
 from barloom.operators import ledger
 from barloom.operators.bars import by_time
-from barloom.operators.instruments import Costs, Instrument
+from barloom.operators.instruments import VENUE_PRESETS, Costs, Instrument, presets_for
 from barloom.operators.lookups import as_of
 from barloom.operators.strategies import STRATEGIES
 
@@ -85,6 +89,88 @@ def run(bars: DataFrame, strategy: str, own: Instrument, costs: Costs, run_id: C
     return out
 
 
+#: Parameters of strategies that a configuration may set: kind, default, least and most (fixed bounds).
+PARAMS: dict[str, dict[str, tuple]] = {
+    "sma-crossover": {"fast": (int, 24, 1, 1_000), "slow": (int, 72, 2, 5_000), "short": (bool, True, None, None)},
+    "breakout": {"lookback": (int, 48, 2, 5_000), "atr": (int, 14, 1, 1_000), "stop": (float, 2.0, 0.01, 100), "target": (float, 3.0, 0.01, 100), "volume": (float, 1.2, 0, 100)},
+    "mean-reversion": {"rsi": (int, 14, 1, 1_000), "entry": (float, 30.0, 0, 100), "exit": (float, 55.0, 0, 100), "most_bars": (int, 48, 1, 10_000)},
+    "session-breakout": {"period": (int, 20, 2, 1_000), "deviations": (float, 2.0, 0.01, 100), "stop_atr": (float, 2.0, 0.01, 100), "no_entry_minutes": (int, 30, 0, 1_440)},
+}
+TIMEFRAMES = ("1h", "4h", "1d")
+
+
+@dataclass(frozen=True)
+class Config:
+    """A run that can be written into a link: market (venue-symbol), timeframe, strategy with its parameters, position size in money, and costs."""
+
+    market: str
+    timeframe: str
+    strategy: str
+    params: dict
+    size: float
+    costs: str
+
+    def query(self) -> str:
+        shown = lambda v: str(int(v)) if isinstance(v, bool) else f"{v:g}"
+        return urlencode({"symbol": self.market, "tf": self.timeframe, "strategy": self.strategy, "size": f"{self.size:g}", "costs": self.costs} | {f"p.{k}": shown(v) for k, v in self.params.items()})
+
+
+def parse_config(query: str) -> Config | None:
+    """A run from a link's query; None if anything in it is out of bounds, since a corrected link would report a run that nobody asked for."""
+    given = dict(parse_qsl(query.lstrip("?"), keep_blank_values=True))
+    strategy, timeframe, market, costs = given.get("strategy", "sma-crossover"), given.get("tf", "1h"), given.get("symbol", ""), given.get("costs", "")
+    # A market without a venue is the first venue's, as links have always meant.
+    market = market if "-" in market else f"binance-{market}"
+    venue, _, symbol = market.partition("-")
+    if not symbol or venue not in VENUE_PRESETS or costs not in presets_for(market) or timeframe not in TIMEFRAMES or strategy not in PARAMS:
+        return None
+
+    def number(text: str) -> float | None:
+        try:
+            return x if math.isfinite(x := float(text)) else None
+        except ValueError:
+            return None
+
+    size, params = number(given.get("size", "")), {}
+    if size is None or not 0 < size <= 1e12:
+        return None
+    for name, (kind, default, least, most) in PARAMS[strategy].items():
+        text = given.get(f"p.{name}")
+        if text is None:
+            params[name] = default
+        elif kind is bool:
+            if text not in ("0", "1"):
+                return None
+            params[name] = text == "1"
+        else:
+            x = number(text)
+            if x is None or not least <= x <= most or kind is int and x != int(x):
+                return None
+            params[name] = kind(x)
+    return Config(market, timeframe, strategy, params, size, costs)
+
+
+def exposure(events: DataFrame) -> DataFrame:
+    """run_id, trades, avg_bars and exposure: bars held by closed trades, on average and as a share of all bars."""
+    held = events.groupBy("run_id").agg(F.count_if(F.col("kind") == "trade").alias("trades"), F.sum(F.when(F.col("kind") == "trade", F.col("bars"))).alias("_held"), F.count_if(F.col("kind") == "equity").alias("_bars"))
+    ratio = lambda a, b: F.coalesce(F.col(a), F.lit(0)) / F.nullif(F.col(b), F.lit(0))
+    return held.select("run_id", "trades", F.coalesce(ratio("_held", "trades"), F.lit(0.0)).alias("avg_bars"), F.coalesce(ratio("_held", "_bars"), F.lit(0.0)).alias("exposure"))
+
+
+def identity(bars: DataFrame, fills: DataFrame, own: Instrument, cash: int = CASH) -> DataFrame:
+    """instrument, gap: what an account's last equity differs from its cash, realised and unrealised results less commission; 0 for sound books."""
+    last = account(bars, fills, own, cash).groupBy("instrument").agg(F.max_by(F.struct("equity", "position", "close"), "close_ts").alias("x"))
+    books = ledger.cost_basis(fills.select("instrument", "ts_us", "seq", "side", "qty", "price", "commission"), own.point_value, own.divisor).groupBy("instrument").agg(F.sum("realised").alias("got"), F.sum("commission").alias("paid"), F.max_by("basis", F.struct("ts_us", "seq")).alias("basis"))
+    worth = fixed.price_delta_to_money(F.col("x.close"), F.col("x.position"), own.point_value, own.divisor)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return last.join(books, "instrument", "left").select("instrument", (F.col("x.equity") - (F.lit(cash) + zero("got") + worth - zero("basis") - zero("paid"))).alias("gap"))
+
+
+def fills_after(fills: DataFrame, number: int) -> DataFrame:
+    """instrument, n: fills that a snapshot with this next number has not seen."""
+    return fills.where(F.col("seq") >= number).groupBy("instrument").agg(F.count("*").alias("n"))
+
+
 def fills(events: DataFrame) -> DataFrame:
     return events.where("kind = 'fill'").select("run_id", "ts", "seq", "order_id", "instrument", "side", "price", "qty", "leaves", "commission", "slippage", "liquidity", "tag")
 

@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import fixed, times
-from barloom.operators import futures, instruments, report, runs
+from barloom.operators import futures, instruments, orders, report, runs, strategies
 from barloom.operators.instruments import Costs
 from barloom.plans.market import BARS, TICKS
 from barloom.plans.registry import query
 from barloom.plans.simulation import SPOT
 from barloom.plans.streams import shared_folder
-from barloom.plans.trading import _cross
+from barloom.plans.trading import FILLS, _cross
 from barloom.sources import adapters, files, venues
+from barloom.streaming import feed, session
 
 H = times.HOUR
 
@@ -228,3 +229,83 @@ def scale_from_decimals(spark: SparkSession, d: str) -> DataFrame:
 def significant_digits(spark: SparkSession, d: str) -> DataFrame:
     o = adapters.table(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("k"), fixed.significant(F.col("o_totalprice") / (F.col("o_custkey") % 97 + 3)).alias("figure"))
+
+
+def _made(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    b = adapters.hourly(spark, d)
+    return b, strategies.crossover(b, SPOT, Costs(("bps", 15), ("bps", 10, 10, 0)), fast=8, slow=24, qty=10)
+
+
+@query(f"WITH {BARS} SELECT DISTINCT instrument, 0::BIGINT AS gap FROM bars")
+def ledger_identity(spark: SparkSession, d: str) -> DataFrame:
+    """Equity is cash plus realised and unrealised results less commission, for every run."""
+    return runs.identity(*_made(spark, d), SPOT)
+
+
+@query(
+    f"""WITH {_cross(8, 24, 10, 10, 15)}, t AS (SELECT *, CAST(sum(CASE WHEN delta <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY instrument ORDER BY close_ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS trade FROM run),
+    h AS (SELECT instrument, trade, count(*) AS n, trade < max(max(trade)) OVER (PARTITION BY instrument) AS closed FROM t GROUP BY 1, 2) SELECT instrument, count(*) FILTER (trade > 0 AND closed) AS trades, round(coalesce(avg(n) FILTER (trade > 0 AND closed), 0), 6) AS avg_bars,
+    round(coalesce(sum(n) FILTER (trade > 0 AND closed), 0) / sum(n), 6) AS exposure FROM h GROUP BY 1"""
+)
+def exposure(spark: SparkSession, d: str) -> DataFrame:
+    """Bars held by closed trades, on average and of all bars."""
+    events = runs.run(adapters.hourly(spark, d), "sma-crossover", SPOT, Costs(("bps", 15), ("bps", 10, 10, 0)), F.col("instrument"), fast=8, slow=24, qty=10)
+    return runs.exposure(events).select(F.col("run_id").alias("instrument"), "trades", F.round("avg_bars", 6).alias("avg_bars"), F.round("exposure", 6).alias("exposure"))
+
+
+@query(f"WITH {FILLS} SELECT instrument, count(*) AS n FROM fills WHERE seq >= 1000 GROUP BY 1")
+def fills_after_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    return runs.fills_after(adapters.fills(spark, d), 1000)
+
+
+@query(
+    f"""WITH RECURSIVE {FILLS}, n AS (SELECT o_custkey AS k, o_orderkey AS seq, CAST(round(o_totalprice * 100) AS BIGINT) AS v, o_custkey % 20 + o_orderkey % 3 AS w, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+    a(k, i, v, w) AS (SELECT DISTINCT k, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM n UNION ALL SELECT n.k, n.i, CASE WHEN a.w + n.w = 0 THEN 0 ELSE CAST(CASE WHEN abs((a.v::HUGEINT * a.w + n.v * n.w) % (a.w + n.w)) * 2 > a.w + n.w OR abs((a.v::HUGEINT * a.w + n.v * n.w) % (a.w + n.w)) * 2 = a.w + n.w AND ((a.v::HUGEINT * a.w + n.v * n.w) // (a.w + n.w)) % 2 <> 0
+      THEN (a.v::HUGEINT * a.w + n.v * n.w) // (a.w + n.w) + 1 ELSE (a.v::HUGEINT * a.w + n.v * n.w) // (a.w + n.w) END AS BIGINT) END, a.w + n.w FROM a JOIN n ON n.k = a.k AND n.i = a.i + 1)
+    SELECT k, arg_max(v, i) AS average FROM a WHERE i > 0 GROUP BY 1"""
+)
+def weighted_price(spark: SparkSession, d: str) -> DataFrame:
+    """The average price of each customer's orders as it is kept from one to the next, rounded at each step. A group is one customer's orders."""
+    o = adapters.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.struct(F.col("o_orderkey").alias("seq"), adapters.cents("o_totalprice").alias("v"), (F.col("o_custkey") % 20 + F.col("o_orderkey") % 3).alias("w")).alias("x"))
+    lists = o.groupBy("k").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return lists.select("k", fixed.running_average(F.col("xs.v"), F.col("xs.w")).alias("average"))
+
+
+@query("SELECT o_orderkey AS k, ['pending', 'working', 'partially_filled', 'filled', 'cancelled', 'rejected', 'expired'][o_orderkey % 7 + 1] IN ('pending', 'working', 'partially_filled') AS live FROM orders")
+def live_orders(spark: SparkSession, d: str) -> DataFrame:
+    status = F.element_at(F.array(*(F.lit(x) for x in ("pending", "working", "partially_filled", "filled", "cancelled", "rejected", "expired"))), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return adapters.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), orders.live(status).alias("live"))
+
+
+@query("WITH r AS (SELECT 'V' || n_regionkey || ':' || n_name AS key, n_nationkey AS id FROM nation), q AS (SELECT c_custkey AS k, 'V' || (c_custkey % 6) || ':' || n_name AS key FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT q.k, q.key, r.id, r.id IS NOT NULL AS known FROM q LEFT JOIN r USING (key)")
+def registry_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of venue and symbol looked up in a registry; some are not in it."""
+    nation = adapters.table(spark, d, "nation")
+    registry = nation.select(F.concat(F.lit("V"), F.col("n_regionkey").cast("string"), F.lit(":"), "n_name").alias("key"), F.col("n_nationkey").alias("id"))
+    wanted = adapters.table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("k"), F.concat(F.lit("V"), (F.col("c_custkey") % 6).cast("string"), F.lit(":"), "n_name").alias("key"))
+    return instruments.found(wanted, registry).select("k", "key", "id", "known")
+
+
+@query("SELECT m AS market, p AS preset FROM (VALUES ('binance-BTCUSDT', 'binanceSpot'), ('binance-BTCUSDT', 'binanceSpotBnb'), ('binance-BTCUSDT', 'stress'), ('binance-BTCUSDT', 'ideal'), ('coinbase-BTC-USD', 'coinbaseExchange'), ('coinbase-BTC-USD', 'stress'), ('coinbase-BTC-USD', 'ideal'), ('other-X', 'stress'), ('other-X', 'ideal')) t(m, p)")
+def market_presets(spark: SparkSession, d: str) -> DataFrame:
+    """The costs that markets may be run under."""
+    return spark.createDataFrame([(m, p) for m in ("binance-BTCUSDT", "coinbase-BTC-USD", "other-X") for p in instruments.presets_for(m)], "market string, preset string")
+
+
+def received(url: str, place: int) -> list[str]:
+    """A feed of a hundred frames, which is cut now and then (every third time that it is asked)."""
+    received.asked = getattr(received, "asked", 0) + 1
+    if received.asked % 3 == 2:
+        raise ConnectionError(url)
+    texts = [f'{{"e":"aggTrade","s":"S","p":"{i}","q":"2","T":{i},"m":{"true" if i % 2 else "false"}}}' if i % 10 else "broken" for i in range(100)]
+    return texts[place : place + 40]
+
+
+@query("SELECT i AS place, CASE WHEN i % 10 = 0 THEN 'malformed' ELSE 'tick' END AS kind, CASE WHEN i % 10 <> 0 THEN i * 1000 END AS ts, CASE WHEN i % 10 <> 0 THEN CASE WHEN i % 2 = 1 THEN -1 ELSE 1 END END AS aggressor FROM (SELECT unnest(generate_series(0, 99)) AS i)")
+def feed_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A feed read as a stream until all its frames have come, over cuts of its connection."""
+    spark.dataSource.register(feed.FeedSource)
+    at = shared_folder(spark, "feed")
+    stream = spark.readStream.format("feed").options(url="wss://venue.invalid/ws", source="barloom.plans.sources:received").load()
+    rows = session.run_until(stream, f"{at}/out", f"{at}/state", seconds=120, most_rows=100)
+    return venues.frames(rows.where("kind = 'frame'").drop("kind"), "S").select("place", "kind", "ts", "aggressor").distinct()

@@ -6,6 +6,7 @@ dropped silently but reported as ``late``.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -89,6 +90,24 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def run_until(stream: DataFrame, path: str, checkpoint: str, seconds: float | None = None, most_rows: int | None = None, wait: float = 0.5) -> DataFrame:
+    """Runs a stream into Parquet until so many seconds have passed or so many rows have come, or until it is interrupted; then it stops in order."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime="0 seconds").start()
+    began, rows, seen = time.monotonic(), 0, -1
+    try:
+        while not query.awaitTermination(wait):
+            for p in query.recentProgress:
+                if p["batchId"] > seen:
+                    seen, rows = p["batchId"], rows + p["numInputRows"]
+            if seconds is not None and time.monotonic() - began >= seconds or most_rows is not None and rows >= most_rows:
+                break
+    except KeyboardInterrupt:
+        pass
+    finally:
+        query.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def upsert_fills(spark: SparkSession, path: str):
     """For foreachBatch: fills once, however often a batch is repeated: each batch has a folder of its own, which a repetition replaces."""
 
