@@ -141,9 +141,9 @@ class Costs:
         model, amount = self.slippage
         return orders.slippage(model, price, side, taker, own.tick, amount, bar_range)
 
-    def fee(self, own: Instrument, price: Column, qty: Column, taker: Column) -> Column:
+    def fee(self, own: Instrument, worth: Column, qty: Column, taker: Column) -> Column:
+        """Commission of a fill worth so much. worth should be a column of its own, as exact products are long expressions that must not be written into each other."""
         model, *x = self.commission
-        worth = fixed.notional(price, qty, own.point_value, own.divisor)
         if model == "none":
             return F.lit(0).cast("long")
         if model == "per-unit":

@@ -15,6 +15,7 @@ from barloom.operators.bars import by_time
 from barloom.operators.instruments import VENUE_PRESETS, Costs, Instrument, presets_for
 from barloom.operators.lookups import as_of
 from barloom.operators.strategies import STRATEGIES
+from barloom.session import written
 
 EVENT_SCHEMA = (
     "kind string, ts long, seq long, order_id long, instrument string, side int, type string, price long, qty long, leaves long, commission long, slippage long, liquidity string, tag string, reason string, "
@@ -65,7 +66,8 @@ def closed_trades(bars: DataFrame, fills: DataFrame, own: Instrument) -> DataFra
 
 def run(bars: DataFrame, strategy: str, own: Instrument, costs: Costs, run_id: Column, cash: int = CASH, **params) -> DataFrame:
     """Events (run_id and EVENT_SCHEMA) of a strategy over the bars: each instrument is a run with an account of its own, named by run_id (of the column instrument)."""
-    fills = STRATEGIES[strategy](bars, own, costs, **params)
+    # Fills are few, and the account, the trades and the books all read them.
+    fills = written(STRATEGIES[strategy](bars, own, costs, **params), "fills")
     equity = account(bars, fills, own, cash)
     trades = closed_trades(bars, fills, own)
     realised = ledger.cost_basis(fills.select("instrument", "ts_us", "seq", "side", "qty", "price", "commission", "slippage", "taker", "tag"), own.point_value, own.divisor)
@@ -86,7 +88,8 @@ def run(bars: DataFrame, strategy: str, own: Instrument, costs: Costs, run_id: C
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return out
+    # Reports ask a run many things; it is made once.
+    return written(out, "run")
 
 
 #: Parameters of strategies that a configuration may set: kind, default, least and most (fixed bounds).

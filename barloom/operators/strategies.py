@@ -26,7 +26,8 @@ def charged(rows: DataFrame, own: Instrument, costs: Costs) -> DataFrame:
     """Fills from rows (instrument, ts_us, seq, side, qty, reference, taker, tag and the bar's high and low): price, commission and what slippage cost."""
     taker, side = F.col("taker"), F.col("side").cast("int")
     made = rows.withColumn("side", side).withColumn("price", costs.price(own, F.col("reference"), F.col("side"), taker, F.col("high") - F.col("low")))
-    made = made.withColumn("commission", costs.fee(own, F.col("price"), F.col("qty"), taker))
+    made = made.withColumn("_worth", fixed.notional(F.col("price"), F.col("qty"), own.point_value, own.divisor))
+    made = made.withColumn("commission", costs.fee(own, F.col("_worth"), F.col("qty"), taker))
     slip = fixed.price_delta_to_money(F.col("price") - F.col("reference"), F.col("side") * F.col("qty"), own.point_value, own.divisor)
     return made.withColumn("slippage", slip).select(*FILL)
 

@@ -17,8 +17,8 @@ from barloom.operators.instruments import Costs
 from barloom.plans.market import BARS, TICKS
 from barloom.plans.registry import query
 from barloom.plans.simulation import SPOT
-from barloom.plans.streams import shared_folder
 from barloom.plans.trading import FILLS, _cross
+from barloom.session import shared_folder
 from barloom.sources import adapters, files, venues
 from barloom.streaming import feed, session
 

@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.plans.market import BARS, TICKS
 from barloom.plans.registry import query
 from barloom.plans.trading import _cross, crossover
+from barloom.session import shared_folder
 from barloom.sources import adapters
 from barloom.streaming import session
 
 
-def shared_folder(spark: SparkSession, name: str = "stream") -> str:
-    """A folder that all machines share; a local one where the session has none and runs on one machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    return f"{at or 'file://' + tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     schema = adapters.table(spark, d, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
@@ -32,7 +22,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {BARS} SELECT instrument, open_ts, close_ts, open, high, low, close, volume FROM bars WHERE close_ts <= (SELECT max(ts_us) FROM ticks)")
 def stream_bars(spark: SparkSession, d: str) -> DataFrame:
     """Hourly bars of a stream whose windows have closed when the last tick has come."""
-    at = shared_folder(spark)
+    at = shared_folder(spark, "stream")
     out = session.run_to_end(session.bars_of_stream(_stream(spark, d), "1 hour", "0 seconds"), f"{at}/out", f"{at}/state")
     return out.where(F.col("close_ts") <= F.lit(adapters.ticks(spark, d).agg(F.max("ts_us")).first()[0]))
 
@@ -59,7 +49,7 @@ def late_rows(spark: SparkSession, d: str) -> DataFrame:
 def stream_kernel_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     """The fills of a crossover over a stream of bars, and whether the batch has the same."""
     bars = adapters.hourly(spark, d)
-    at = shared_folder(spark)
+    at = shared_folder(spark, "stream")
     bars.repartition(2, "instrument").write.parquet(f"{at}/in")
     stream = spark.readStream.schema(bars.schema).parquet(f"{at}/in")
     keys = ["instrument", "ts", "side", "qty", "price"]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.errors import ConfigError, DataError, VenueError
+from barloom.functions import fixed
 from barloom.operators import instruments, orders, report, runs
 from barloom.sources import venues
 from barloom.streaming import feed
@@ -40,7 +41,7 @@ def test_presets_price_and_charge(spark):
     row = spark.range(1).select(F.lit(5_000_000).cast("long").alias("p"), F.lit(100_000).cast("long").alias("q"), F.lit(1).alias("s"), F.lit(True).alias("t"))
     for name, (price, fee) in {"ideal": (5_000_000, 0), "binanceSpot": (5_001_000, 50 * 10**8), "binanceSpotBnb": (5_001_000, 3_750_000_000), "coinbaseExchange": (5_001_000, 300 * 10**8)}.items():
         costs = instruments.PRESETS[name]
-        got = row.select(costs.price(own, F.col("p"), F.col("s"), F.col("t")).alias("price"), costs.fee(own, F.col("p"), F.col("q"), F.col("t")).alias("fee")).first()
+        got = row.select(costs.price(own, F.col("p"), F.col("s"), F.col("t")).alias("price"), costs.fee(own, fixed.notional(F.col("p"), F.col("q"), own.point_value, own.divisor), F.col("q"), F.col("t")).alias("fee")).first()
         assert tuple(got) == (price, fee), name
     jitter = spark.range(1000).select(orders.jitter(F.lit(100), F.lit(1), F.lit(True), 5, 3, F.col("id")).alias("p"), orders.jitter(F.lit(100), F.lit(1), F.lit(False), 5, 3, F.col("id")).alias("m"))
     assert {r["p"] for r in jitter.collect()} == {100, 105, 110, 115} and {r["m"] for r in jitter.collect()} == {100}
