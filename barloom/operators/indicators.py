@@ -1,13 +1,13 @@
 """Indicators over bars, per instrument, null until they have enough bars.
 
-Those with a fixed reach are window expressions. Recursive ones (exponential averages and what builds on them) are smoothed in blocks
-(``smoothed``), each a task's work, with a row for each block carried along. An instrument has one bar for each close.
+Those with a fixed reach are window expressions. Recursive ones (exponential averages and what builds on them) are window sums in blocks
+(``smoothed``). An instrument has one bar for each close.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,55 +78,32 @@ def true_range() -> Column:
 
 # Recursive indicators: v moves by alpha toward each new value, v = (1 - alpha) v + alpha x, which is affine in the v before.
 
-#: Values of a series that a task takes at a time.
-BLOCK = 4096
-
-
-def _within(alpha: float):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_k", kind="stable")
-        out, v, keep = np.empty(len(frame)), 0.0, 1 - alpha
-        for i, x in enumerate(frame["_e"].tolist()):
-            v = keep * v + x
-            out[i] = v
-        return frame.assign(_v=out)
-
-    run.__annotations__.clear()
-    return run
-
-
-def _carried(frame: pd.DataFrame) -> pd.DataFrame:
-    """What each block of a series begins with, from the blocks' own ends and factors."""
-    frame = frame.sort_values("_block")
-    out, v = [], 0.0
-    for end, factor in zip(frame["_end"].tolist(), frame["_factor"].tolist(), strict=True):
-        out.append(v)
-        v = end + factor * v
-    return frame[["instrument", "_block"]].assign(_begin=out)
-
-
-_carried.__annotations__.clear()
+#: A block ends when what it began with has faded to 2 ** -FADED of itself; powers within a block stay within a double's range.
+FADED = 600
 
 
 def smoothed(bars: DataFrame, x: Column, n: int, alpha: float, name: str) -> DataFrame:
     """bars with the smoothed series of x: null until n defined values have come, then their mean, which each further value moves by alpha.
 
-    A series is cut into blocks of BLOCK values. Each block is smoothed by itself from zero, the blocks' ends are carried along
-    (a row for each block), and what a block begins with fades within it by 1 - alpha a step; so no task holds a series.
+    With q = 1 - alpha, a value is q ** j times the running sum of e / q ** j, e being what enters at place j. A series is cut into blocks
+    that are so long that what a block begins with is gone at its end; so a block needs no more than the end of the one before it, and all
+    are window sums over one shuffle by instrument. No blocks where alpha is 1, as nothing is carried.
     """
     w = by_time()
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = bars.withColumn("_x", x.cast("double"))
-    seen = F.when(F.col("_x").isNotNull(), F.count("_x").over(w.rowsBetween(Window.unboundedPreceding, 0)) - n)
     # The first n values enter as their mean, at the place of the last of them.
-    seed = F.avg("_x").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_k", seen).withColumn("_e", F.when(F.col("_k") == 0, seed).when(F.col("_k") > 0, alpha * F.col("_x")))
-    moving = rows.where("_k >= 0").select("instrument", "close_ts", "_k", "_e", F.floor(F.col("_k") / BLOCK).alias("_block"))
-    own = moving.groupBy("instrument", "_block").applyInPandas(_within(alpha), "instrument string, close_ts long, _k long, _e double, _block long, _v double")
-    ends = own.groupBy("instrument", "_block").agg(F.max_by("_v", "_k").alias("_end"), F.pow(F.lit(1 - alpha), F.count("*")).alias("_factor"))
-    begins = ends.groupBy("instrument").applyInPandas(_carried, "instrument string, _block long, _begin double")
-    value = F.col("_v") + F.col("_begin") * F.pow(F.lit(1 - alpha), F.col("_k") % BLOCK + 1)
-    made = own.join(begins, ["instrument", "_block"]).select("instrument", "close_ts", value.alias(name))
-    return rows.drop("_x", "_k", "_e").join(made, ["instrument", "close_ts"], "left")
+    rows = rows.withColumn("_k", F.when(F.col("_x").isNotNull(), F.count("_x").over(so_far) - n)).withColumn("_seed", F.avg("_x").over(so_far))
+    if alpha == 1:
+        return rows.withColumn(name, F.when(F.col("_k") >= 0, F.col("_x"))).drop("_x", "_k", "_seed")
+    q, length = F.lit(1 - alpha), max(1, math.ceil(FADED / -math.log2(1 - alpha)))
+    enters = F.when(F.col("_k") == 0, F.col("_seed")).when(F.col("_k") > 0, alpha * F.col("_x"))
+    rows = rows.withColumn("_j", F.col("_k") % length).withColumn("_block", F.when(F.col("_k") >= 0, F.floor(F.col("_k") / length)))
+    block = Window.partitionBy("instrument", "_block").orderBy("close_ts").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.sum(enters * F.pow(q, -F.col("_j"))).over(block) * F.pow(q, "_j"))
+    end = F.last(F.when(F.col("_j") == length - 1, F.col("_own")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    value = F.col("_own") + F.coalesce(end, F.lit(0.0)) * F.pow(q, F.col("_j") + 1)
+    return rows.withColumn(name, F.when(F.col("_k") >= 0, value)).drop("_x", "_k", "_seed", "_j", "_block", "_own")
 
 
 def ema(bars: DataFrame, n: int, source: str | Column = "close", name: str = "ema") -> DataFrame:

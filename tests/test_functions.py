@@ -63,13 +63,42 @@ def test_resample(spark):
         bars.resample(_bars(spark, enumerate(rows)), times.HOUR // 2, times.HOUR)
 
 
-def test_recursive_indicators():
-    x = np.arange(1.0, 40)
-    assert indicators.rsi_values(x, 14)[14] == 100 and np.isnan(indicators.rsi_values(x, 14)[13]) and indicators.rsi_values(-x, 14)[20] == 0 and indicators.rsi_values(x * 0, 14)[20] == 50
-    line, signal, _ = indicators.macd_values(x, 3, 6, 3)
-    assert np.flatnonzero(~np.isnan(line))[0] == 7 and not np.isnan(signal[7])
-    assert indicators.true_range_values(np.array([12.0]), np.array([8.0]), np.array([9.0]))[0] == 4
-    assert np.isnan(indicators.ema_values(x[:3], 5)).all()
+def _plain(values, n, alpha):
+    """The smoothed series of values by a loop."""
+    out, seen, v = [], [], None
+    for x in values:
+        if x is not None:
+            seen.append(x)
+            if len(seen) == n:
+                v = sum(seen) / n
+            elif len(seen) > n:
+                v = (1 - alpha) * v + alpha * x
+        out.append(v if x is not None else None)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 26])
+def test_smoothed_series_over_many_blocks(spark, n):
+    x = [None if i % 11 == 5 else float(round(1000 + 300 * np.sin(i / 7) + i % 13)) for i in range(6000)]
+    rows = spark.createDataFrame([(name, i, None if v is None else v * scale) for name, scale in (("a", 1), ("b", -3)) for i, v in enumerate(x)], "instrument string, close_ts long, v double")
+    made = indicators.ema(indicators.rma(rows, n, F.col("v"), "r"), n, F.col("v"), "e").orderBy("instrument", "close_ts").collect()
+    for column, alpha in (("r", 1 / n), ("e", 2 / (n + 1))):
+        for name, scale in (("a", 1), ("b", -3)):
+            wanted = _plain([None if v is None else v * scale for v in x], n, alpha)
+            got = [r[column] for r in made if r["instrument"] == name]
+            assert [v is None for v in got] == [v is None for v in wanted]
+            assert np.allclose([v for v in got if v is not None], [v for v in wanted if v is not None], rtol=1e-12)
+
+
+def test_recursive_indicators(spark):
+    series = lambda close: spark.createDataFrame([("i", i, c + 2, c - 2, c) for i, c in enumerate(close)], "instrument string, close_ts long, high long, low long, close long")
+    of = lambda df, name: [r[name] for r in df.orderBy("close_ts").collect()]
+    up = range(1, 40)
+    assert of(indicators.rsi(series(up), 14), "rsi")[13:15] == [None, 100]
+    assert of(indicators.rsi(series([-x for x in up]), 14), "rsi")[20] == 0 and of(indicators.rsi(series([0] * 39), 14), "rsi")[20] == 50
+    lines = indicators.macd(series(up), 3, 6, 3)
+    assert [v is None for v in of(lines, "macd")][6:8] == [True, False] and of(lines, "signal")[7] is not None
+    assert of(indicators.atr(series([10]), 1), "atr") == [4] and of(indicators.ema(series([1, 2, 3]), 5), "ema") == [None] * 3
 
 
 def test_drawdowns(spark):
