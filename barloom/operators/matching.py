@@ -110,8 +110,9 @@ def brackets(entries: DataFrame, numbered: DataFrame, tables: list[DataFrame], p
     long = F.col("side") > 0
     rows = entries.withColumn("_below", F.when(long, F.col("stop")).otherwise(F.col("target"))).withColumn("_above", F.when(long, F.col("target")).otherwise(F.col("stop")))
     rows = first_reached(rows, tables, "start", "_below", "_above", "_b")
-    low, high = F.col("_b.low") <= F.col("_below"), F.col("_b.high") >= F.col("_above")
-    both = F.coalesce(low & high, F.lit(False))
+    # A leg that is null is not reached.
+    low, high = (F.coalesce(c, F.lit(False)) for c in (F.col("_b.low") <= F.col("_below"), F.col("_b.high") >= F.col("_above")))
+    both = low & high
     # A bar that opens beyond a leg has reached it first, whatever the policy.
     at_low, at_high = F.col("_b.open") <= F.col("_below"), F.col("_b.open") >= F.col("_above")
     path_low = F.col("_b.open") - F.col("_b.low") <= F.col("_b.high") - F.col("_b.open")

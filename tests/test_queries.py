@@ -53,3 +53,16 @@ def test_ledger_identity_holds_in_runs(spark, data):
         assert lines == runs.canonical(events.repartition(3)).orderBy("run_id", "kind", "ts", "seq").collect()
         events.unpersist()
     assert seen > 0
+
+
+def test_a_bracket_with_one_leg_closes_at_that_leg(spark):
+    from barloom.operators import matching
+
+    bars = spark.createDataFrame([("A", 0, 10, 100, 105, 95, 101, 1), ("A", 10, 20, 100, 130, 70, 101, 1)], "instrument string, open_ts long, close_ts long, open long, high long, low long, close long, volume long").selectExpr("*", "open_ts div 10 as i")
+    entries = spark.createDataFrame([("A", 0, 1, 80, None), ("A", 0, -1, 120, None), ("A", 0, 1, None, 110), ("A", 0, -1, None, 90), ("A", 0, 1, None, None)], "instrument string, start long, side int, stop long, target long")
+    tables = matching.levels(bars)
+    for policy in matching.POLICIES:
+        found = {(r["side"], r["stop"], r["target"]): (r["exit_i"], r["leg"], r["exit_price"], r["ambiguous"]) for r in matching.brackets(entries, bars, tables, policy).collect()}
+        assert found == {
+            (1, 80, None): (1, "stop", 80, False), (-1, 120, None): (1, "stop", 120, False), (1, None, 110): (1, "target", 110, False), (-1, None, 90): (1, "target", 90, False), (1, None, None): (None, None, None, False),
+        }
