@@ -14,6 +14,15 @@ def test_query_has_the_rows_of_its_sql(name, spark, data, duck):
     same_rows(QUERIES[name](spark, data), duck, SQL[name])
 
 
+def test_short_positions_have_the_rows_of_the_sql_on_a_larger_table(spark):
+    """The smallest table has hardly a short that its stop ends within a bar."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.01/events.parquet'")
+    same_rows(QUERIES["b3_breakout"](spark, "/root/testdata/sf0.01"), con, SQL["b3_breakout"])
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(name, spark, data):
     assert QUERIES[name](spark, data).count() >= 0
