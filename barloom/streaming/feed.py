@@ -24,7 +24,8 @@ class FeedReader(SimpleDataSourceStreamReader):
     """Rows of kind frame (a text as it came) or gap (the connection was lost before this place).
 
     ``source`` names what reads (``module:function``, given the url and a place, returning the frames from there on; it raises ConnectionError
-    when it is cut). A place is the number of frames read, which the checkpoint keeps, so a restart goes on where it was.
+    when it is cut). A place is the number of frames read, which the checkpoint keeps, so a restart goes on where it was. Where the connection was lost and no
+    frame has come since, the offset counts these cuts too, as it must differ from the one before if there are rows.
     """
 
     def __init__(self, options: dict[str, str], sleep: Callable[[float], None] = time.sleep):
@@ -45,18 +46,35 @@ class FeedReader(SimpleDataSourceStreamReader):
                 for text in self.receive(self.url, place):
                     rows.append((place, "frame", text))
                     place += 1
-                return iter(rows), {"place": place}
+                if place > start["place"]:
+                    return iter(rows), {"place": place}
+                return iter(rows), {"place": place, "cuts": start.get("cuts", 0) + len(rows)} if rows else start
             except ConnectionError:
                 rows.append((place, "gap", None))
                 self.sleep(backoff(attempt))
         raise VenueError(f"{self.url} was cut {self.attempts} times")
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        """After a failure: the same frames again; where it was cut is not known any more."""
-        for place, text in enumerate(self.receive(self.url, start["place"]), start["place"]):
-            if place >= end["place"]:
-                return
-            yield place, "frame", text
+        """After a failure: the same frames again, however many answers they take; of cuts only those behind the last frame are known any more."""
+        place, attempt = start["place"], 0
+        while place < end["place"]:
+            before = place
+            try:
+                for text in self.receive(self.url, place):
+                    yield place, "frame", text
+                    place += 1
+                    if place == end["place"]:
+                        break
+            except ConnectionError:
+                pass
+            # An answer that brings nothing on is one like a cut: these frames have been there.
+            attempt = attempt + 1 if place == before else 0
+            if attempt == self.attempts:
+                raise VenueError(f"{self.url} did not give frames {place} to {end['place']} again")
+            if attempt:
+                self.sleep(backoff(attempt))
+        for _ in range(start.get("cuts", 0) if start["place"] == place else 0, end.get("cuts", 0)):
+            yield place, "gap", None
 
 
 class FeedSource(DataSource):

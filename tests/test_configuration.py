@@ -83,6 +83,40 @@ def test_feeds_ask_again_and_refuse_credentials():
         reader.read({"place": 0})
 
 
+def test_feeds_that_are_cut_while_no_frame_comes(spark, tmp_path):
+    from barloom.streaming import session
+
+    reader = feed.FeedReader({"url": "wss://x.invalid", "source": "test_configuration:cut"}, lambda _: None)
+    for cuts, start, gaps, end in (([True], {"place": 2}, 1, {"place": 2, "cuts": 1}), ([True, True], {"place": 2, "cuts": 1}, 2, {"place": 2, "cuts": 3}), ([], {"place": 2, "cuts": 3}, 0, {"place": 2, "cuts": 3}), ([True], {"place": 1, "cuts": 3}, 1, {"place": 2})):
+        CUTS[:] = cuts
+        rows, found = reader.read(start)
+        rows = list(rows)
+        assert [r for r in rows if r[1] == "gap"] == [(start["place"], "gap", None)] * gaps and found == end
+        if found["place"] == start["place"]:
+            assert list(reader.readBetweenOffsets(start, found)) == rows
+    # The whole stream goes on over cuts that no frame follows.
+    spark.dataSource.register(feed.FeedSource)
+    stream = spark.readStream.format("feed").options(url="wss://venue.invalid/ws", source="barloom.plans.sources:received").load()
+    seen = session.run_until(stream, f"{tmp_path}/out", f"{tmp_path}/state", seconds=120, most_rows=103).collect()
+    assert sorted(r["place"] for r in seen if r["kind"] == "frame") == list(range(100)) and sum(r["kind"] == "gap" and r["place"] == 100 for r in seen) >= 2
+
+
+def test_feeds_give_their_frames_again_over_cuts_and_in_parts():
+    waits = []
+    reader = feed.FeedReader({"url": "wss://x.invalid", "source": "test_configuration:bit", "attempts": "3"}, waits.append)
+    CUTS[:] = [True, False, True, True, False]
+    assert list(reader.readBetweenOffsets({"place": 0}, {"place": 4, "cuts": 1})) == [*((i, "frame", str(i)) for i in range(4)), (4, "gap", None)] and waits == [0.25, 0.25, 0.5]
+    CUTS[:] = [False, True, True, True]
+    with pytest.raises(VenueError):
+        list(reader.readBetweenOffsets({"place": 0}, {"place": 4}))
+
+
+def bit(url: str, place: int) -> list[str]:
+    """A feed that answers in parts of two frames."""
+    cut(url, 0)
+    return [str(i) for i in range(place, place + 2)]
+
+
 CUTS: list[bool] = []
 
 
