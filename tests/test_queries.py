@@ -75,3 +75,39 @@ def test_a_bracket_with_one_leg_closes_at_that_leg(spark):
         assert found == {
             (1, 80, None): (1, "stop", 80, False), (-1, 120, None): (1, "stop", 120, False), (1, None, 110): (1, "target", 110, False), (-1, None, 90): (1, "target", 90, False), (1, None, None): (None, None, None, False),
         }
+
+
+@pytest.mark.parametrize("forward", [False, True])
+@pytest.mark.parametrize("strict", [False, True])
+def test_long_lines_of_time_are_cut_into_blocks(spark, monkeypatch, forward, strict):
+    """Three keys of different lengths, one of a single time, null keys and times, bars that are few, many, or at one end only."""
+    import random
+    from bisect import bisect_left, bisect_right
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from barloom.operators import lookups
+
+    pick = random.Random(7)
+    wanted = [("A", pick.randrange(10_000)) for _ in range(4000)] + [("B", pick.randrange(300)) for _ in range(700)] + [("C", 5)] * 300 + [("D", t) for t in range(20)] + [(None, t) for t in range(150)]
+    wanted += [("A", None)] * 5
+    points = {"A": [*range(4000, 4040), 9000], "B": [*range(0, 300, 2)], "C": [5, 6], "E": [1], None: [70]}
+    left = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(wanted)], "id int, key string, at long").repartition(3)
+    right = spark.createDataFrame([(k, t, t * 3) for k, ts in points.items() for t in ts] + [("B", None, -1)], "key string, ts long, v long")
+    run = lambda: lookups.as_of(left, right, "key", "at", "ts", ["v"], forward=forward, strict=strict)
+    rows = lambda df: Counter((r["id"], r["key"], r["at"], r["v"]) for r in df.collect())
+    whole = rows(run())
+    monkeypatch.setattr(lookups, "MOST_LINE", 100, raising=False)
+    cut = run()
+    assert rows(cut) == whole and len(whole) == len(wanted)
+
+    def found(key, at):
+        ts = points.get(key, [])
+        n = (bisect_right if strict else bisect_left)(ts, at) if forward else (bisect_left if strict else bisect_right)(ts, at) - 1
+        return ts[n] * 3 if 0 <= n < len(ts) else -1 if key == "B" and not forward else None
+
+    assert all(v == found(k, t) for _, k, t, v in whole if t is not None)
+    # Values are counted too, as else no line would be sorted.
+    most = cut.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("n"), F.count("v").alias("met")).agg(F.max("n"), F.sum("met")).first()[0]
+    assert most < 800
