@@ -64,7 +64,7 @@ def _in_blocks(both: DataFrame, cuts: DataFrame, sizes: list[int], forward: bool
     else:
         ends = ends.withColumn("from", F.col("block") + 1).withColumn("to", F.coalesce(F.lead("block").over(w), F.col("last")))
     carried = ends.where("from <= to").select("k", "h", F.explode(F.sequence("from", "to")).alias("block"), F.lit(-1).alias("o"))
-    dealt = max(2 * sum(n + 1 for n in sizes), int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = max(sum(n + 1 for n in sizes), int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.select("row", "k", "t", "o", "h", "block").unionByName(carried, allowMissingColumns=True).repartition(dealt, "k", "block")
 
 
