@@ -24,10 +24,16 @@ def laid_out(bars: DataFrame, partitions: int) -> DataFrame:
     return bars.repartition(partitions, "instrument").sortWithinPartitions("instrument", "close_ts")
 
 
+def priced(ts: str) -> Column:
+    """The order of ticks with a price, null for others; of ticks at one time those without a number come last."""
+    return F.when(F.col("price").isNotNull(), F.struct(ts, F.isnull("seq"), "seq"))
+
+
 def from_ticks(ticks: DataFrame, size: int) -> DataFrame:
-    """Bars of ``size`` microseconds from ticks (instrument, ts_us, price, size, seq); times without a tick have no bar."""
+    """Bars of ``size`` microseconds from ticks (instrument, ts_us, price, size, seq); times without a tick have no bar.
+    Ticks without a price add their size only."""
     slot = (F.col("ts_us") - F.pmod("ts_us", F.lit(size))).alias("open_ts")
-    order = F.struct("ts_us", "seq")
+    order = priced("ts_us")
     return (
         ticks.groupBy("instrument", slot)
         .agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("size").alias("volume"))

@@ -38,7 +38,7 @@ def account(bars: DataFrame, fills: DataFrame, own: Instrument, cash: int = CASH
 
 def closed_trades(bars: DataFrame, fills: DataFrame, own: Instrument) -> DataFrame:
     """Flat-to-flat trades: instrument, trade, direction, qty, entry_ts, exit_ts, entry_price, exit_price (means, halves to even), gross, commission, net, bars (held at their closes),
-    mae and mfe (worst and best result at these closes)."""
+    mae and mfe (worst and best result at these closes). What rests on a fill without a price is null."""
     rows = ledger.trade_ids(fills)
     turns = F.col("ends") & (F.col("position") != 0)
     parts = rows.select("*", F.explode(F.when(turns, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("part"))
@@ -49,9 +49,9 @@ def closed_trades(bars: DataFrame, fills: DataFrame, own: Instrument) -> DataFra
     first = Window.partitionBy("instrument", "trade").orderBy("ts_us", "seq")
     parts = parts.withColumn("_direction", F.first("side").over(first))
     opens = F.col("side") == F.col("_direction")
-    total = lambda c, when: F.coalesce(F.sum(F.when(when, c)), F.lit(0))
+    total = lambda c, when: F.when(F.count_if(when & c.isNull()) == 0, F.coalesce(F.sum(F.when(when, c)), F.lit(0)))
     whole = parts.groupBy("instrument", "trade").agg(
-        F.max("_direction").alias("direction"), F.min("ts_us").alias("entry_ts"), F.max("ts_us").alias("exit_ts"), (-F.sum("_money")).alias("gross"), F.sum("_fee").alias("commission"), F.max("_closes").alias("_closed"),
+        F.max("_direction").alias("direction"), F.min("ts_us").alias("entry_ts"), F.max("ts_us").alias("exit_ts"), (-total(F.col("_money"), F.lit(True))).alias("gross"), F.sum("_fee").alias("commission"), F.max("_closes").alias("_closed"),
         total(F.col("_qty"), opens).alias("qty"), total(F.col("_qty") * F.col("price"), opens).alias("_in"), total(F.col("_qty") * F.col("price"), ~opens).alias("_out"),
     )
     mean = lambda c: fixed.narrow(fixed.divide(F.col(c), F.nullif(F.col("qty"), F.lit(0)), "half-even"))

@@ -82,6 +82,11 @@ def _round_trips(trips: DataFrame, own: Instrument, costs: Costs, side: Column,
     )
 
 
+def _timed(bars: DataFrame) -> DataFrame:
+    """Bars of ticks without a time have no place among the others."""
+    return bars.where("close_ts is not null")
+
+
 def _next(column: str) -> Column:
     return F.lead(column).over(by_time())
 
@@ -99,6 +104,7 @@ def breakout(bars: DataFrame, own: Instrument, costs: Costs, lookback: int = 48,
     """Buys a close above the highest high of the bars before it on high volume, and brackets the entry by multiples of the average true range."""
     if lookback < 2 or stop <= 0 or target <= 0 or qty <= 0:
         raise ConfigError("lookback must be 2 at least, the others positive")
+    bars = _timed(bars)
     channel = indicators.channel(lookback)
     rows = _entries(numbered(indicators.atr(bars, atr, "_atr"))).withColumn("_top", channel["highest"]).withColumn("_mean", channel["mean_volume"])
     signal = (F.col("close") > F.col("_top")) & ~((F.col("_mean") > 0) & (F.col("volume") < F.col("_mean") * volume)) & (F.col("_atr") > 0) & F.col("entry").isNotNull()
@@ -129,7 +135,7 @@ def mean_reversion(bars: DataFrame, own: Instrument, costs: Costs, rsi: int = 14
     """Buys when the strength index is low; sells when it is high again, or after so many bars."""
     if entry >= exit or most_bars < 1 or qty <= 0:
         raise ConfigError("entry must be below exit, the others positive")
-    b = numbered(indicators.rsi(bars, rsi, name="_rsi"))
+    b = numbered(indicators.rsi(_timed(bars), rsi, name="_rsi"))
     # From the bar after the signal on, the position is held and may be given up.
     rows = _entries(b).withColumn("_high", _first_later(F.col("_rsi") > exit)).withColumn("_high", _next("_high"))
     decided = F.least(F.coalesce("_high", F.col("i") + most_bars), F.col("i") + most_bars)
@@ -141,6 +147,7 @@ def mean_reversion(bars: DataFrame, own: Instrument, costs: Costs, rsi: int = 14
 def session_breakout(bars: DataFrame, own: Instrument, costs: Costs, period: int = 20, deviations: float = 2.0, stop_atr: float = 2.0, no_entry_minutes: int = 30, qty: int = 1, session_end: Column | None = None) -> DataFrame:
     """Follows a close outside the Bollinger bands with a protective stop for the session, and is flat before it ends. ``session_end`` is the end of a bar's session,
     by default the next midnight after its open."""
+    bars = _timed(bars)
     end = session_end if session_end is not None else F.col("open_ts") - F.pmod("open_ts", F.lit(86_400_000_000)) + 86_400_000_000
     bands = indicators.bollinger(period, deviations)
     rows = numbered(indicators.atr(bars, period, "_atr")).withColumn("_left", end - F.col("close_ts")).withColumn("_up", bands["upper"]).withColumn("_down", bands["lower"])

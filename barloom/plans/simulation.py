@@ -143,8 +143,9 @@ _LEAD = f"lead(close_ts) {ORDER}) AS entry_ts, lead(open) {ORDER}) AS entry_pric
 def _trips(bars: DataFrame, fills: DataFrame) -> DataFrame:
     """Closed trades with the tag of what ended them."""
     t = runs.closed_trades(bars, fills, SPOT).select("instrument", "entry_ts", "exit_ts", "entry_price", "exit_price", "gross")
-    ended = fills.where("tag <> 'entry'").select("instrument", F.col("ts_us").alias("exit_ts"), F.col("price").alias("exit_price"), "tag")
-    return t.join(ended, ["instrument", "exit_ts", "exit_price"])
+    # An instrument has one exit at a time; prices may be null.
+    ended = fills.where("tag <> 'entry'").select("instrument", F.col("ts_us").alias("exit_ts"), "tag")
+    return t.join(ended, ["instrument", "exit_ts"])
 
 
 _BREAKOUT = f"""WITH RECURSIVE {_NB}, t AS (SELECT instrument, close_ts, {_TR} AS tr FROM bars), {_smooth('e', 't', 'tr', 14, '1.0::DOUBLE / 14')},

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from barloom.operators.bars import priced
+
 FILL_SCHEMA = "instrument string, kind string, ts long, side int, qty long, price long"
 
 
@@ -74,7 +76,7 @@ def late(events: DataFrame, ts: str, arrival: str) -> DataFrame:
 
 def bars_of_stream(ticks: DataFrame, window: str, lateness: str) -> DataFrame:
     """Bars of closed windows from a stream of ticks (instrument, at, price, size, seq): each is emitted once, when the watermark passes it."""
-    order = F.struct("at", "seq")
+    order = priced("at")
     return (
         ticks.withWatermark("at", lateness)
         .groupBy("instrument", F.window("at", window).alias("w"))

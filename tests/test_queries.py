@@ -23,6 +23,19 @@ def test_short_positions_have_the_rows_of_the_sql_on_a_larger_table(spark):
     same_rows(QUERIES["b3_breakout"](spark, "/root/testdata/sf0.01"), con, SQL["b3_breakout"])
 
 
+@pytest.mark.parametrize("name", ["b3_breakout", "breakout_bracket", "mean_reversion", "bars_1h", "stream_bars"])
+def test_ticks_without_price_or_time_have_the_rows_of_the_sql(spark, tmp_path, name):
+    """Bars that begin or end with a tick without a price, bars of such ticks alone, and ticks without a time or an instrument."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS event_id, CASE WHEN i % 41 <> 0 THEN TIMESTAMP '2024-01-01' + to_seconds(i * 700 + i * 37 % 600) END AS ts, 1::BIGINT AS user_id, CASE i % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN CASE WHEN i % 17 <> 0 THEN 'c' END END AS event_type,
+      CASE WHEN i * 7919 % 4001 % 5 > 1 THEN (20000 + 5000 * sin(i / 50) + i * 7919 % 4001)::BIGINT / 100 END AS value, NULL::VARCHAR AS props FROM range(3000) r(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    same_rows(QUERIES[name](spark, str(tmp_path)), con, SQL[name])
+    assert con.execute(f"SELECT count(*) FROM ({SQL[name]})").fetchone()[0] > 0
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(name, spark, data):
     assert QUERIES[name](spark, data).count() >= 0
